@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import byte_bpe, decontaminate, orc_tokens, sharding
+from usagelens.llm import byte_bpe, decontaminate, language_id, orc_tokens, quality, sharding, toxicity
 from usagelens.llm.common import table
 
 
@@ -14,6 +14,18 @@ def op1_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_files(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,7 +39,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_orc_tokens, op7_jump_sharding, op8_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_orc_tokens, op2_language_id, op5_quality, op6_toxicity, op7_jump_sharding, op8_decontamination, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
