@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import byte_bpe, decontaminate, language_id, near_text, orc_tokens, quality, sharding, toxicity
+from usagelens.llm import byte_bpe, decontaminate, language_id, near_text, near_vectors, orc_tokens, quality, sharding, toxicity
 from usagelens.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_links(table(spark, sf_dir, "embeddings"))
+
+
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.classes(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_orc_tokens, op2_language_id, op4_order_minhash, op5_quality, op6_toxicity, op7_jump_sharding, op8_decontamination, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_orc_tokens, op2_language_id, op3_nn_descent, op4_order_minhash, op5_quality, op6_toxicity, op7_jump_sharding, op8_decontamination, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
