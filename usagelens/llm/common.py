@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,9 +50,9 @@ def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list[tuple]], dict[str, list]]],
     schema: str,
-    rows_at_once: int = 256,
+    slice_bytes: int = 1 << 20,
 ) -> DataFrame:
-    """df through Python in small Arrow slices.
+    """df through Python in Arrow slices of about slice_bytes, one row at least.
 
     make runs once in each task and returns a function from lists of column
     tuples to a dict of output columns. A slice is small so that very long
@@ -63,8 +64,7 @@ def map_texts(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                part = batch.slice(at, rows_at_once)
+            for part in slices(batch, slice_bytes):
                 out = work(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
                 arrays = [_column(out[f.name], f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
@@ -72,6 +72,20 @@ def map_texts(
     return df.mapInArrow(run, names)
 
 
+def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about `size` bytes of its texts at a time, one row at least."""
+    weight = np.full(batch.num_rows, 64, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            weight += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(weight), 0
+    while at < batch.num_rows:
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _column(values, kind):
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values

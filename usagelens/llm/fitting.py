@@ -12,11 +12,11 @@ MOST_CLASSES = 1000
 _PARTS = 1 << 30
 
 
-def class_sample(rows: DataFrame, target: str, per_class: int, salt: str) -> tuple[DataFrame, dict]:
-    """About per_class rows of each class of `target`, and how many rows each class has.
+def class_share(rows: DataFrame, target: str, per_class: int, salt: str) -> tuple[DataFrame, dict]:
+    """Rows (doc_id and others) of a sample of about per_class of each class of `target`, and the size of each class.
 
-    rows has doc_id, text and target. A row is in by a hash of its id, so the
-    choice is the same at every run and takes no sort. Null classes are left out.
+    A row is in by a hash of its id, so the choice is the same at every run and
+    takes no sort. Null classes are left out.
     """
     rows = rows.where(F.col(target).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(target).count().limit(MOST_CLASSES + 1).collect()}
@@ -25,12 +25,21 @@ def class_sample(rows: DataFrame, target: str, per_class: int, salt: str) -> tup
     share: Column = F.lit(0)
     for value, count in counts.items():
         share = F.when(F.col(target) == F.lit(value), F.lit(int(_PARTS * min(1.0, per_class / count)))).otherwise(share)
-    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(_PARTS)) < share
-    fit = rows.where(chosen & F.col("text").isNotNull() & (F.length("text") <= LONGEST_FIT_TEXT))
-    return fit, counts
+    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(_PARTS)) < share), counts
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
-    """doc_id, text and one label of the documents that have it; of several labels of a document the least."""
-    one = labels.where(F.col(target).isNotNull()).groupBy("doc_id").agg(F.min(target).alias(target))
-    return docs.select("doc_id", "text").join(one, "doc_id")
+def fit_texts(rows: DataFrame) -> DataFrame:
+    """The rows whose text is used for fitting."""
+    return rows.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST_FIT_TEXT))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, salt: str) -> tuple[DataFrame, dict]:
+    """doc_id, text and label (0 or 1) of a sample of the labelled documents, and how many labels of each class there are.
+
+    Of several labels of a document the least counts; labels above 0 are 1. The
+    sample is drawn from the small label table first; its size is bounded, so
+    it is broadcast and no text is shuffled.
+    """
+    one = labels.where(F.col(target).isNotNull()).groupBy("doc_id").agg(F.min((F.col(target) > 0).cast("int")).alias("label"))
+    chosen, counts = class_share(one, "label", per_class, salt)
+    return fit_texts(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id"), counts

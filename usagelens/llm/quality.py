@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import bucket_of_id, kept_in_worker, map_texts
-from usagelens.llm.fitting import class_sample, labelled
+from usagelens.llm.fitting import labelled_sample
 
 #: Labelled documents of each class that vote, about.
 VOTERS_A_CLASS = 1000
@@ -106,9 +106,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm > 0, norm, 1)
 
 
-def fit(rows: DataFrame, target: str = "quality", per_class: int = VOTERS_A_CLASS) -> Model | None:
-    """A model from rows with doc_id, text and the target; None without labelled rows."""
-    chosen, counts = class_sample(rows.withColumn(target, (F.col(target) > 0).cast("int")), target, per_class, "quality")
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class: int = VOTERS_A_CLASS) -> Model | None:
+    """A model from documents (doc_id, text) and their labels (doc_id and the target); None without labelled rows."""
+    chosen, counts = labelled_sample(docs, labels, target, per_class, "quality")
 
     def make():
         featurizer = Featurizer()
@@ -123,7 +123,7 @@ def fit(rows: DataFrame, target: str = "quality", per_class: int = VOTERS_A_CLAS
 
         return work
 
-    told = map_texts(chosen.select(F.col("doc_id").cast("string"), "text", target), make, "doc_id string, label int, ids array<int>, values array<float>")
+    told = map_texts(chosen.select(F.col("doc_id").cast("string"), "text", "label"), make, "doc_id string, label int, ids array<int>, values array<float>")
     found = sorted(told.collect(), key=lambda r: zlib.crc32((r["doc_id"] or "").encode()))
     if not found:
         return None
@@ -186,15 +186,14 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
-    """The rows whose labels may be learned."""
-    allowed = bucket_of_id(F.col("doc_id"), 5) != 0
-    return labelled(docs.where(allowed), labels.where(allowed), target)
+def may_learn(rows: DataFrame) -> DataFrame:
+    """The rows (with doc_id) whose labels may be learned."""
+    return rows.where(bucket_of_id(F.col("doc_id"), 5) != 0)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
-    model = fit(training_rows(docs, labels))
+    model = fit(docs, may_learn(labels))
     held_out = (bucket_of_id(F.col("doc_id"), 5) == 0).alias("held_out")
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", predicted)
