@@ -171,9 +171,9 @@ class Codec:
         return b"".join([bytes_of[i] for i in ids])
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (binary) of every row of docs (doc_id, text)."""
-    return _run(docs, path, pattern, whole=True)
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, keep_text: bool = False) -> DataFrame:
+    """doc_id, ids (array of int) and decoded (binary) of every row of docs (doc_id, text), with its text if asked."""
+    return _run(docs, path, pattern, whole=True, keep_text=keep_text)
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -181,7 +181,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return _run(docs, path, pattern, whole=False)
 
 
-def _run(docs: DataFrame, path: str | None, pattern: str | None, whole: bool) -> DataFrame:
+def _run(docs: DataFrame, path: str | None, pattern: str | None, whole: bool, keep_text: bool = False) -> DataFrame:
     path = path or public_tokenizers.path(DEFAULT_RANKS)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     pattern = pattern or public_tokenizers.PATTERN
@@ -190,13 +190,14 @@ def _run(docs: DataFrame, path: str | None, pattern: str | None, whole: bool) ->
         codec = kept_in_worker(("byte_bpe", path, pattern), lambda: Codec(ranks.value, pattern))
 
         def work(rows: list[tuple]) -> dict[str, list]:
-            out: dict[str, list] = {"doc_id": [], "ids": [], "decoded": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+            out: dict[str, list] = {"doc_id": [], "text": [], "ids": [], "decoded": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for doc_id, text in rows:
                 raw = codec.encode(text or "")
                 ids = array("I", raw)
                 decoded = codec.decode(ids)
                 out["doc_id"].append(doc_id)
                 if whole:
+                    out["text"].append(text or "")
                     out["ids"].append(ids.tolist())
                     out["decoded"].append(decoded)
                 else:
@@ -207,6 +208,6 @@ def _run(docs: DataFrame, path: str | None, pattern: str | None, whole: bool) ->
 
         return work
 
-    columns = "ids array<int>, decoded binary" if whole else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    columns = ("text string, " if keep_text else "") + "ids array<int>, decoded binary" if whole else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_texts(kept, make, f"doc_id bigint, {columns}")
