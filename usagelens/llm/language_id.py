@@ -14,16 +14,18 @@ are scored each; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import bucket_of_id, kept_in_worker, map_texts
-from usagelens.llm.fitting import class_sample
+from usagelens.llm.fitting import class_share, fit_texts
 
 DEFAULT_PIECES = "piece_bpe_32k.model"
 #: Documents a language that the probabilities are fitted on, about.
@@ -36,7 +38,8 @@ BLOCK = 24
 #: Probability of a letter that no piece covers, and pseudo-count of each piece.
 UNSEEN = 1e-7
 PSEUDO_COUNT = 0.05
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
+SLICE_BYTES = 3 << 20
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,64 +52,70 @@ def words_of(text: str) -> list[str]:
 
 
 class Segmenter:
-    """All occurrences of vocabulary pieces in words, and sums over segmentations."""
+    """All occurrences of vocabulary pieces in words, and sums over segmentations.
+
+    Words stand behind each other in one text, each after its start mark and
+    before a separator; `place` counts positions in that text.
+    """
 
     def __init__(self, pieces: list[str]):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for i, piece in enumerate(pieces):
-            self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.add_word(piece, len(piece) << 32 | i)
         self.automaton.make_automaton()
         self.size = len(pieces)
 
     def lattice(self, words: list[str]):
-        """(word, end, length, piece) of every occurrence, and each word's length with its start mark.
+        """(end, start, piece, end within the word) of every occurrence by that end, then each word's first and last place.
 
         A letter without a piece of its own gets the piece number `size`.
         """
-        marked = ["▁" + w for w in words]
-        found = [(i, end + 1, length, piece) for i, w in enumerate(marked) for end, (length, piece) in self.automaton.iter(w)]
-        table = np.array(found, dtype=np.int64).reshape(-1, 4)
-        lengths = np.array([len(w) for w in marked], dtype=np.int64)
-        width = int(lengths.max(initial=1)) + 1
-        single = np.zeros((len(words), width), dtype=bool)
-        ones = table[table[:, 2] == 1]
-        single[ones[:, 0], ones[:, 1]] = True
-        inside = (np.arange(width) >= 1) & (np.arange(width) <= lengths[:, None])
-        word, end = np.nonzero(inside & ~single)
-        bare = np.stack([word, end, np.ones_like(word), np.full_like(word, self.size)], axis=1)
-        return np.concatenate([table, bare]), lengths
-
-    def forward(self, lattice, lengths, probabilities) -> np.ndarray:
-        """alpha[word, position, language]: summed probability of all segmentations up to a position.
+        joined = "▁" + "\n▁".join(words)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        first = np.cumsum(lengths + 1) - lengths - 1
+        told = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), dtype=np.int64).reshape(-1, 2)
+        end, length, piece = told[:, 0] + 1, told[:, 1] >> 32, told[:, 1] & 0xFFFFFFFF
+        bare = np.zeros(len(joined) + 1, dtype=bool)
+        within = np.arange(len(joined) + 1) - np.repeat(first, lengths + 1)[: len(joined) + 1]
+        bare[1:] = within[1:] > 0
+        bare[end[length == 1]] = False
+        more = np.flatnonzero(bare)
+        end = np.concatenate([end, more])
+        start = end - np.concatenate([length, np.ones(len(more), dtype=np.int64)])
+        piece = np.concatenate([piece, np.full(len(more), self.size)])
+        order = np.argsort(within[end], kind="stable")
+        return end[order], start[order], piece[order], within[end][order], first, first + lengths
+
+    def forward(self, lattice, probabilities) -> np.ndarray:
+        """alpha[place, language]: summed probability of all segmentations of a word up to a place.
 
         probabilities has a row a piece and one for letters without a piece.
         """
-        alpha = np.zeros((len(lengths), int(lengths.max(initial=0)) + 1, probabilities.shape[1]))
-        alpha[:, 0] = 1
-        for end, rows in _by(lattice, lattice[:, 1]):
-            np.add.at(alpha[:, end], rows[:, 0], alpha[rows[:, 0], end - rows[:, 2]] * probabilities[rows[:, 3]])
+        end, start, piece, within, first, last = lattice
+        alpha = np.zeros((int(last[-1]) + 1, probabilities.shape[1]))
+        alpha[first] = 1
+        for a, b in _runs(within):
+            np.add.at(alpha, end[a:b], alpha[start[a:b]] * probabilities[piece[a:b]])
         return alpha
 
-    def expected(self, lattice, lengths, probabilities, counts) -> np.ndarray:
+    def expected(self, lattice, probabilities, counts) -> np.ndarray:
         """Expected uses of each piece over all segmentations of words with counts, for one language."""
-        alpha = self.forward(lattice, lengths, probabilities[:, None])[:, :, 0]
+        end, start, piece, within, first, last = lattice
+        alpha = self.forward(lattice, probabilities[:, None])[:, 0]
         beta = np.zeros_like(alpha)
-        beta[np.arange(len(lengths)), lengths] = 1
-        for end, rows in reversed(_by(lattice, lattice[:, 1])):
-            start = end - rows[:, 2]
-            np.add.at(beta, (rows[:, 0], start), beta[rows[:, 0], end] * probabilities[rows[:, 3]])
-        word, end, length, piece = lattice.T
-        total = alpha[np.arange(len(lengths)), lengths]
-        use = alpha[word, end - length] * probabilities[piece] * beta[word, end] / total[word] * counts[word]
-        return np.bincount(piece, weights=use, minlength=self.size + 1)
+        beta[last] = counts / alpha[last]
+        for a, b in reversed(_runs(within)):
+            np.add.at(beta, start[a:b], beta[end[a:b]] * probabilities[piece[a:b]])
+        return np.bincount(piece, weights=alpha[start] * probabilities[piece] * beta[end], minlength=self.size + 1)
 
 
-def _by(table: np.ndarray, key: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(key, kind="stable")
-    values, first = np.unique(key[order], return_index=True)
-    return [(int(v), part) for v, part in zip(values, np.split(table[order], first[1:]), strict=True)] if len(table) else []
+def _runs(key: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    bounds = [0, *edge.tolist(), len(key)]
+    return list(zip(bounds[:-1], bounds[1:], strict=True)) if len(key) else []
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -127,7 +136,7 @@ def fit(docs: DataFrame, pieces_path: str | None = None, per_language: int = FIT
     """Piece probabilities of each language from rows with doc_id, text and lang (null: not used)."""
     spark = docs.sparkSession
     pieces = vocabulary(pieces_path)
-    chosen, counts = class_sample(docs.select("doc_id", "text", "lang"), "lang", per_language, "language")
+    chosen, counts = class_share(docs.select("doc_id", "text", "lang"), "lang", per_language, "language")
     languages = sorted(counts)
     if not languages:
         return Model(pieces, [], np.zeros((len(pieces) + 1, 0)))
@@ -143,25 +152,25 @@ def fit(docs: DataFrame, pieces_path: str | None = None, per_language: int = FIT
 
         return work
 
-    typed = map_texts(chosen.select("lang", "text"), make, "lang string, word string").groupBy("lang", "word").count().collect()
+    typed = map_texts(fit_texts(chosen).select("lang", "text"), make, "lang string, word string").groupBy("lang", "word").count().collect()
     segmenter = Segmenter(pieces)
     size = len(pieces)
     probabilities = np.empty((size + 1, len(languages)))
     for k, language in enumerate(languages):
         own = sorted(((r["count"], r["word"]) for r in typed if r["lang"] == language), key=lambda r: (-r[0], r[1]))[:FIT_WORDS]
-        lattice, lengths = segmenter.lattice([w for _, w in own])
+        lattice = segmenter.lattice([w for _, w in own]) if own else None
         weight = np.array([c for c, _ in own], dtype=float)
         p = np.full(size + 1, 1.0 / size)
         p[size] = UNSEEN
         for _ in range(ROUNDS if own else 0):
-            uses = segmenter.expected(lattice, lengths, p, weight)[:size] + PSEUDO_COUNT
+            uses = segmenter.expected(lattice, p, weight)[:size] + PSEUDO_COUNT
             p[:size] = uses / uses.sum()
         probabilities[:, k] = p
     return Model(pieces, languages, probabilities)
 
 
 class Scorer:
-    """Log-probabilities of texts; whitespace-separated words are remembered as rows of a bounded table."""
+    """Log-probabilities of texts; words are remembered as rows of a bounded table."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -172,34 +181,44 @@ class Scorer:
         self.row: dict[str, int] = {}
         self.table = np.zeros((0, len(self.model.languages) + 1))
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _scores(self, chunks: list[str]) -> np.ndarray:
+        """How many words each chunk has, and their log-probability in each language."""
         parts = [words_of(c) for c in chunks]
-        types = sorted({w for p in parts for w in p})
-        at = {w: i for i, w in enumerate(types)}
-        scores = np.zeros((len(types), len(self.model.languages)))
-        for i in range(0, len(types), 4096):
-            some = types[i : i + 4096]
-            lattice, lengths = self.segmenter.lattice(some)
-            alpha = self.segmenter.forward(lattice, lengths, self.model.probabilities)
-            scores[i : i + 4096] = np.log(alpha[np.arange(len(some)), lengths])
-        owner = np.array([i for i, p in enumerate(parts) for _ in p], dtype=np.int64)
-        word = np.array([at[w] for p in parts for w in p], dtype=np.int64)
-        new = np.zeros((len(chunks), self.table.shape[1]))
-        np.add.at(new[:, 1:], owner, scores[word])
-        np.add.at(new[:, 0], owner, 1)
-        for i, c in enumerate(chunks):
-            self.row[c] = len(self.table) + i
-        self.table = np.concatenate([self.table, new])
+        words = list(chain.from_iterable(parts))
+        out = np.zeros((len(chunks), len(self.model.languages) + 1))
+        if words:
+            lattice = self.segmenter.lattice(words)
+            told = np.log(self.segmenter.forward(lattice, self.model.probabilities)[lattice[-1]])
+            owner = np.repeat(np.arange(len(chunks)), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+            np.add.at(out, owner, np.concatenate([np.ones((len(words), 1)), told], axis=1))
+        return out
+
+    def _rows(self, chunks: list[str]) -> np.ndarray:
+        """Rows of the table for distinct chunks, after learning what is new."""
+        if len(self.row) + len(chunks) > MEMO_WORDS:
+            self._forget()
+        new = [c for c in chunks if c not in self.row]
+        added = [self.table]
+        for at in range(0, len(new), 16384):
+            added.append(self._scores(new[at : at + 16384]))
+        self.row.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+        self.table = np.concatenate(added)
+        return np.fromiter(map(self.row.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        chunks = [(t or "").split() for t in texts]
-        if len(self.row) > MEMO_WORDS:
-            self._forget()
-        row = self.row
-        self._learn(list({c for found in chunks for c in found if c not in row}))
+        # Whatever is not a letter ends a word, so the commonest signs may become spaces.
+        lowered = [(t or "").lower().replace(". ", " ").replace(", ", " ") for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        row = self._rows(coded.dictionary.to_pylist())
+        per_word = self.table[row][coded.indices.to_numpy()]
+        edge = split.offsets.to_numpy()
+        totals = np.zeros((len(texts), self.table.shape[1]))
+        filled = np.flatnonzero(np.diff(edge) > 0)
+        if len(filled):
+            totals[filled] = np.add.reduceat(per_word, edge[filled], axis=0)
         langs, scores = [], []
-        for found in chunks:
-            total = self.table[[row[c] for c in found]].sum(axis=0) if found else self.table[:0].sum(axis=0)
+        for total in totals:
             if not total[0] or not self.model.languages:
                 langs.append("und")
                 scores.append(0.0)
@@ -211,10 +230,10 @@ class Scorer:
         return langs, scores
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (all columns) with lang_pred and score; columns of these names are replaced."""
+def predict(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (all columns) with the predicted language and its score; columns of these names are replaced."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    names = [n for n in docs.columns if n not in ("lang_pred", "score")]
+    names = [n for n in docs.columns if n.lower() not in [c.lower() for c in columns]]
     at = names.index("text")
     key = ("language_id", hash(model.probabilities.tobytes()), len(model.pieces))
 
@@ -223,13 +242,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         def work(rows):
             out = {n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
-            out["lang_pred"], out["score"] = scorer.predict([r[at] for r in rows])
+            out[columns[0]], out[columns[1]] = scorer.predict([r[at] for r in rows])
             return out
 
         return work
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, lang_pred string, score double")
+    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, `{columns[0]}` string, `{columns[1]}` double", SLICE_BYTES)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
