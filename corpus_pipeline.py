@@ -1,8 +1,91 @@
-"""A training-data pipeline of five stages over documents."""
+"""A training-data pipeline over documents: quality, language, near-duplicates, benchmark passages, tokens.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept. All but the last return the columns of documents. Between stages the rows
+are written as Parquet to the shared folder and read again.
+
+Cases: rows without text or letters go at the language stage at the latest; rows
+with a null doc_id pass as documents of their own; an empty table stays empty;
+further columns of documents are kept, whatever they are called.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from usagelens.llm import byte_bpe, decontaminate, language_id, near_text, quality
+from usagelens.llm.common import fresh_path, table
+
+#: No stage but the last can be told in SQL at whole size; tests hold brute-force versions.
 ORACLE_SQL = None
-STAGES: list = []
+
+#: A language is taken as known from this score on.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the classifier's threshold."""
+    model = quality.fit(docs, quality.may_learn(table(spark, sf_dir, "labels")))
+    scored = quality.score(docs, model, _free("quality", docs))
+    return scored.where(F.col(_free("quality", docs)) >= quality.THRESHOLD).select(_columns(docs))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language the model knows; texts without a letter have none."""
+    model = language_id.fit(language_id.training_rows(docs))
+    lang, score = _free("language", docs), _free("language_score", docs)
+    told = language_id.predict(docs, model, (lang, score))
+    return told.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(_columns(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of the smallest doc_id."""
+    return near_text.deduplicate(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark; n_chars counts what is left."""
+    left = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    left = left.where(F.length(F.trim("text")) > 0)
+    return left.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(_columns(docs))
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding them gives the text back."""
+    told = byte_bpe.encode_documents(docs, keep_text=True)
+    same = (F.col("decoded") == F.col("text").cast("binary")).alias("round_trip")
+    return told.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", same)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", without_benchmark),
+    ("tokens", as_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
