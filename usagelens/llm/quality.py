@@ -165,10 +165,10 @@ class Voter:
         return np.where(total > 0, (weight * m.labels[nearest]).sum(axis=1) / np.where(total > 0, total, 1), m.prior)
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (all columns) with score, 0 to 1; a column of this name is replaced."""
+def score(docs: DataFrame, model: Model | None, column: str = "score") -> DataFrame:
+    """docs (all columns) with a score of 0 to 1 in `column`; a column of this name is replaced."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    names = [n for n in docs.columns if n != "score"]
+    names = [n for n in docs.columns if n.lower() != column.lower()]
     at = names.index("text")
     key = ("quality", None if model is None else hash(model.voters.tobytes()))
 
@@ -177,13 +177,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
         def work(rows):
             out = {n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
-            out["score"] = [0.5] * len(rows) if voter is None else np.clip(voter.scores([r[at] for r in rows]), 0, 1)
+            out[column] = [0.5] * len(rows) if voter is None else np.clip(voter.scores([r[at] for r in rows]), 0, 1)
             return out
 
         return work
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, score double")
+    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, `{column}` double")
 
 
 def may_learn(rows: DataFrame) -> DataFrame:

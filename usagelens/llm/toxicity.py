@@ -16,57 +16,76 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import bucket_of_id, kept_in_worker, map_texts
-from usagelens.llm.fitting import class_sample
-from usagelens.llm.quality import training_rows
+from usagelens.llm.common import bucket_of_id, map_texts
+from usagelens.llm.fitting import labelled_sample
+from usagelens.llm.quality import may_learn
 
-#: Labelled documents of each class for fitting, about.
+#: Labelled documents of each class for fitting, about; longer texts than this are not used for it.
 FIT_DOCUMENTS = 1500
-SIZES = (3, 4, 5, 6)
-FEATURES = 1 << 18
+LONGEST_FIT_TEXT = 8_000
+SIZES = (3, 4, 5)
+FEATURES_BITS = 18
+FEATURES = 1 << FEATURES_BITS
+#: Features of fewer fitted texts than this have no weight.
+LEAST_TEXTS = 3
 SMOOTHING = 1.0
-PENALTY = 1e-3
-STEPS = 150
+PENALTY = 1e-6
+STEPS = 80
+RATE = 0.02
 THRESHOLD = 0.5
-#: Longer words are taken in overlapping blocks.
-BLOCK = 40
-MEMO_WORDS = 150_000
-
-
-def _grams(word: str) -> np.ndarray:
-    """Hashed n-grams of a lower-cased word between boundary marks."""
-    word = f"<{word.lower().strip('.,;:!?')}>"
-    if len(word) > BLOCK:
-        parts = [word[i : i + BLOCK] for i in range(0, len(word), BLOCK - max(SIZES) + 1)]
-    else:
-        parts = [word]
-    found = {p[i : i + n] for p in parts for n in SIZES for i in range(len(p) - n + 1)}
-    return np.array([zlib.crc32(g.encode()) & (FEATURES - 1) for g in found], dtype=np.int32)
+SLICE_BYTES = 2 << 20
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of words between boundary marks: all in one array, and how many each word has."""
+    told = np.frombuffer(("<" + ">\n<".join(words) + ">").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    word = np.cumsum(told == 10)
+    padded = np.concatenate([told, np.full(max(SIZES), 10, dtype=np.uint64)])
+    at_end = np.concatenate([word, np.full(max(SIZES), -1)])
+    ids = np.empty((len(told), len(SIZES)), dtype=np.int32)
+    inside = np.empty((len(told), len(SIZES)), dtype=bool)
+    mixed = np.zeros(len(told), dtype=np.uint64)
+    for n in range(1, max(SIZES) + 1):
+        mixed = (mixed + padded[n - 1 : n - 1 + len(told)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        if n in SIZES:
+            k = SIZES.index(n)
+            ids[:, k] = (mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - FEATURES_BITS)
+            inside[:, k] = (at_end[n - 1 : n - 1 + len(told)] == word) & (told != 10)
+    return ids[inside], np.bincount(word, weights=inside.sum(axis=1), minlength=len(words)).astype(np.int64)
 
 
 class Featurizer:
-    def __init__(self):
-        self.words: dict[str, np.ndarray] = {}
+    """The distinct n-grams of the distinct words of texts, a slice of texts at a time."""
+
+    def __init__(self, wanted: np.ndarray | None = None):
+        self.wanted = wanted
         self.stamp = np.full(FEATURES, -1, dtype=np.int64)
 
-    def features(self, text: str | None) -> np.ndarray:
-        """The distinct features of a text."""
-        words = self.words
-        found = set((text or "").split())
-        if not found:
-            return np.zeros(0, dtype=np.int32)
-        if len(words) > MEMO_WORDS:
-            words.clear()
-        for w in found:
-            if w not in words:
-                words[w] = _grams(w)
-        ids = np.concatenate([words[w] for w in found])
-        order = np.arange(len(ids))
-        self.stamp[ids] = order  # the last occurrence stays
-        return ids[self.stamp[ids] == order]
+    def features(self, texts: list[str | None]):
+        """An array of distinct features (of those wanted) of each text."""
+        lowered = [(t or "").lower().replace(". ", " ").replace(", ", " ") for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        pool, size = _grams([w.strip(".,;:!?") for w in coded.dictionary.to_pylist()])
+        if self.wanted is not None:
+            keep = self.wanted[pool]
+            size = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+            pool = pool[keep]
+        first = np.cumsum(size) - size
+        codes, edge = coded.indices.to_numpy(), split.offsets.to_numpy()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            word = np.unique(codes[a:b])
+            each = size[word]
+            ids = pool[np.repeat(first[word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))]
+            order = np.arange(len(ids))
+            self.stamp[ids] = order  # of equal features the last one's place stays
+            yield ids[self.stamp[ids] == order]
 
 
 class Model:
@@ -74,81 +93,86 @@ class Model:
         self.weights, self.intercept = weights, intercept
 
 
-def fit(rows: DataFrame, target: str = "toxic", per_class: int = FIT_DOCUMENTS) -> Model:
-    """Weights from rows with doc_id, text and the target."""
-    chosen, counts = class_sample(rows.withColumn(target, (F.col(target) > 0).cast("int")), target, per_class, "toxicity")
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = FIT_DOCUMENTS) -> Model:
+    """Weights from documents (doc_id, text) and their labels (doc_id and the target)."""
+    short = docs.where(F.length("text") <= LONGEST_FIT_TEXT)
+    chosen, counts = labelled_sample(short, labels, target, per_class, "toxicity")
 
     def make():
         featurizer = Featurizer()
 
         def work(rows):
-            return {
-                "doc_id": [r[0] for r in rows], "label": [r[2] for r in rows],
-                "ids": [np.sort(featurizer.features(r[1])).astype("<u4").tobytes() for r in rows],
-            }
+            ids = [np.sort(f).astype("<u4").tobytes() for f in featurizer.features([r[1] for r in rows])]
+            return {"doc_id": [r[0] for r in rows], "label": [r[2] for r in rows], "ids": ids}
 
         return work
 
-    told = map_texts(chosen.select(F.col("doc_id").cast("string"), "text", target), make, "doc_id string, label int, ids binary")
-    found = sorted(told.collect(), key=lambda r: zlib.crc32((r["doc_id"] or "").encode()))
-    labels = np.array([r["label"] for r in found], dtype=np.float64)
-    if len(set(labels.tolist())) < 2:
-        share = labels.mean() if len(labels) else 0.0
+    told = map_texts(chosen.select(F.col("doc_id").cast("string"), "text", "label"), make, "doc_id string, label int, ids binary")
+    found = sorted(((r["doc_id"] or "", r["label"], bytes(r["ids"])) for r in told.collect()), key=lambda r: zlib.crc32(r[0].encode()))
+    labels_ = np.array([r[1] for r in found], dtype=np.float64)
+    if len(set(labels_.tolist())) < 2:
+        share = labels_.mean() if len(found) else 0.0
         return Model(np.zeros(FEATURES, dtype=np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    ids = [np.frombuffer(r["ids"], dtype="<u4").astype(np.int64) for r in found]
-    flat, size = np.concatenate(ids), np.array([len(i) for i in ids])
-    owner = np.repeat(np.arange(len(ids)), size)
+    weights, intercept = _regression([np.frombuffer(r[2], dtype="<u4").astype(np.int32) for r in found], labels_, counts)
+    return Model(weights, intercept)
+
+
+def _regression(ids: list[np.ndarray], labels: np.ndarray, counts: dict) -> tuple[np.ndarray, float]:
+    """Logistic regression on ratio-scaled features; weights already multiplied by the ratios."""
+    flat = np.concatenate(ids)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids])
+    keep = np.bincount(flat, minlength=FEATURES)[flat] >= LEAST_TEXTS
+    flat, owner = flat[keep], owner[keep]
     toxic = labels[owner] == 1
     p = SMOOTHING + np.bincount(flat[toxic], minlength=FEATURES)
     q = SMOOTHING + np.bincount(flat[~toxic], minlength=FEATURES)
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio[np.bincount(flat, minlength=FEATURES) == 0] = 0
-    weights = np.array([counts[int(v)] / max(1, (labels == v).sum()) for v in labels])
-    weights /= weights.sum()
-    # A sparse product a step; features are numbered densely first.
-    used, dense = np.unique(flat, return_inverse=True)
-    scale = ratio[used]
-    w, intercept = np.full(len(used), 0.01), 0.0
-    speed = np.zeros(len(used) + 1)
-    moved = np.zeros(len(used) + 1)
+    used = np.unique(flat)
+    number = np.zeros(FEATURES, dtype=np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    dense, scale = number[flat], ratio[used]
+    share = np.array([counts[int(v)] / max(1, (labels == v).sum()) for v in labels])
+    share /= share.sum()
+    w, intercept = np.zeros(len(used)), 0.0
+    speed, moved = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
         z = np.bincount(owner, weights=(w * scale)[dense], minlength=len(ids)) + intercept
-        error = weights * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
-        slope = np.append(np.bincount(dense, weights=error[owner], minlength=len(used)) * scale + PENALTY * w / len(used), error.sum())
+        error = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels)
+        slope = np.append(np.bincount(dense, weights=error[owner], minlength=len(used)) * scale + PENALTY * w, error.sum())
         moved = 0.9 * moved + 0.1 * slope
         speed = 0.99 * speed + 0.01 * slope**2
-        change = 0.02 * (moved / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.99**step)) + 1e-9)
+        change = RATE * (moved / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.99**step)) + 1e-9)
         w, intercept = w - change[:-1], intercept - change[-1]
     full = np.zeros(FEATURES, dtype=np.float32)
     full[used] = w * scale
-    return Model(full, float(intercept))
+    return full, float(intercept)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (all columns) with score, 0 to 1; a column of this name is replaced."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs (all columns) with a score of 0 to 1 in `column`; a column of this name is replaced."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    names = [n for n in docs.columns if n != "score"]
+    names = [n for n in docs.columns if n.lower() != column.lower()]
     at = names.index("text")
 
     def make():
-        featurizer = kept_in_worker(("toxicity",), Featurizer)
         model = told.value
+        featurizer = Featurizer(model.weights != 0)
 
         def work(rows):
             out = {n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
-            z = np.array([float(model.weights[featurizer.features(r[at])].sum()) for r in rows]) + model.intercept
-            out["score"] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            z = np.array([float(model.weights[f].sum(dtype=np.float64)) for f in featurizer.features([r[at] for r in rows])]) + model.intercept
+            out[column] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             return out
 
         return work
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, score double")
+    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, `{column}` double", SLICE_BYTES)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
-    model = fit(training_rows(docs, labels, "toxic"))
+    model = fit(docs, may_learn(labels))
     held_out = (bucket_of_id(F.col("doc_id"), 5) == 0).alias("held_out")
     predicted = (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     return score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", predicted)
