@@ -13,71 +13,143 @@ by text; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import Memo, fresh_path, kept_in_worker, map_texts
+from usagelens.llm.common import fresh_path, kept_in_worker, slices
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-MEMO_WORDS = 600_000
+MEMO_WORDS = 800_000
 LONGEST_REMEMBERED = 64
 ROWS_PER_INDEX = 1000
+WORDS_AT_ONCE = 500
+#: Signs that may end a word; an apostrophe isn't one, since it may begin a part with letters.
+SIGNS = "!?.,;:%&*#$|()\"-"
+SLICE_BYTES = 4 << 20
 
 
 class WordEncoder:
     """The tokenizers library's ids of texts, with a memo of words.
 
     The library splits at white space and lower-cases, so no token reaches over
-    white space: in a plain text each distinct word goes to the library once.
-    Any other text goes to the library whole.
+    white space: in plain texts each distinct word goes to the library once and
+    Arrow finds the words. Any other text goes to the library whole.
     """
 
     def __init__(self, definition: str):
-        import os
-        import re
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.words = Memo(lambda word: self._ids([word])[0], MEMO_WORDS)
-        # Combining marks reach over letters; the four separators are white space to Python alone.
-        self.not_plain = re.compile("[\x1c-\x1f\u0300-\U0010ffff]").search
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # Combining marks reach over letters; the separators are white space and the
+        # dotted capital has two lower-case letters to some libraries alone.
+        self.not_plain = re.compile("[\x1c-\x1f\u0130\u0300-\U0010ffff]").search
+        self.signs_meet = re.compile(r"[.,](?<=[^\s\w].|_.) ").search
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if self.not_plain(t) else t.split() for t in texts]
-        words, older = self.words, self.words.older
-        new = {w for s in split if s for w in s if w not in words and w not in older}
-        new = list(new)
-        once = {}
-        for w, ids in zip(new, self._ids(new), strict=True):
-            once[w] = ids
-        for w, ids in once.items():
-            if len(w) <= LONGEST_REMEMBERED:
-                words.put(w, ids)
-        out = []
-        for text, found in zip(texts, split, strict=True):
-            if found is None:
-                out += self._ids([text])
-            elif found and len(max(found, key=len)) > LONGEST_REMEMBERED:
-                out.append(b"".join([words[w] if len(w) <= LONGEST_REMEMBERED else once[w] for w in found]))
-            else:
-                out.append(b"".join([words[w] for w in found]))
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of letters alone, many at a time: each is one part to the library's splitter."""
+        out: list[bytes] = []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            told = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            sizes = np.bincount(np.array(told.word_ids), minlength=len(some))
+            if len(sizes) != len(some) or not sizes.all():
+                out += self._whole(some)
+                continue
+            packed, edge = array("I", told.ids).tobytes(), np.concatenate([[0], 4 * np.cumsum(sizes)]).tolist()
+            out += [packed[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)]
         return out
 
+    def _new(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. Signs after letters are a part of their own, so both sides are looked up apart."""
+        plain, others = [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            else:
+                core = w.rstrip(SIGNS)
+                others.append((w, core if len(core) < len(w) and core.isalpha() else ""))
+        out = dict(zip(plain, self._letters(plain), strict=True))
+        parts = {p for w, core in others for p in ((core, w[len(core) :]) if core else (w,)) if p not in out}
+        known = {p: ids for p in parts if (ids := self.words.get(p) or self.older.get(p)) is not None}
+        rest = [p for p in parts if p not in known]
+        letters, signed = [p for p in rest if p.isalpha()], [p for p in rest if not p.isalpha()]
+        known.update(zip(letters, self._letters(letters), strict=True))
+        known.update(zip(signed, self._whole(signed), strict=True))
+        self._keep(known)
+        for w, core in others:
+            one = out.get(core) or known.get(core) if core else known[w]
+            out[w] = one + known.get(w[len(core) :], out.get(w[len(core) :], b"")) if core else one
+        return [out[w] for w in words]
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        if found and len(max(found, key=len)) > LONGEST_REMEMBERED:
+            found = {w: ids for w, ids in found.items() if len(w) <= LONGEST_REMEMBERED}
+        self.words.update(found)
+
+    def _learned(self, words: list[str]) -> list[bytes]:
+        """Ids of words, looked up or encoded; long words are not remembered."""
+        found = list(map(self.words.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if not missing:
+            return found
+        if len(self.words) + len(missing) > MEMO_WORDS // 2:
+            self.older, self.words = self.words, {}
+        told = dict(zip(missing, map(self.older.get, missing), strict=True))
+        new = [w for w, ids in told.items() if ids is None]
+        told.update(zip(new, self._new(new), strict=True))
+        self._keep(told)
+        return [told[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and how many each text has."""
+        plain = [i for i, t in enumerate(texts) if not self.not_plain(t)]
+        lowered = [texts[i].lower() for i in plain]
+        # A lone sign between a word and a space is a part of its own.
+        lowered = [t if self.signs_meet(t) else t.replace(". ", " . ").replace(", ", " , ") for t in lowered]
+        split = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+        coded = split.values.dictionary_encode()
+        known = self._learned(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(known), dtype="<u4")
+        size = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 4
+        first = np.cumsum(size, dtype=np.int32) - size
+        codes = coded.indices.to_numpy()
+        each = size[codes]
+        ends = np.cumsum(each, dtype=np.int64)
+        edge = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        # A slice has a few million ids, so places fit 32 bits; each word's ids are copied from the pool.
+        total = int(edge[-1])
+        place = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+        ids = pool[np.repeat(first[codes].astype(place) - (ends - each).astype(place), each) + np.arange(total, dtype=place)]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[plain] = np.diff(edge)
+        others = sorted(set(range(len(texts))) - set(plain))
+        if not others:
+            return ids, counts
+        parts = [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        whole = dict(zip(plain, parts, strict=True))
+        for i, packed in zip(others, self._whole([texts[i] for i in others]), strict=True):
+            whole[i] = np.frombuffer(packed, dtype="<u4")
+            counts[i] = len(whole[i])
+        return np.concatenate([whole[i] for i in range(len(texts))]), counts
+
 
 def write_orc(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Write doc_id, start_in_file, n_tokens and ids of every row of docs (doc_id, text) to path."""
@@ -85,31 +157,27 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     tokenizer = tokenizer or public_tokenizers.path(DEFAULT_TOKENIZER)
     with open(tokenizer, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
-    end = array("I", [end_id]).tobytes()
+    end = np.array([end_id], dtype="<u4")
 
-    def make():
+    def run(batches):
         encoder = kept_in_worker(("orc_tokens", tokenizer), lambda: WordEncoder(definition.value))
         written = 0
-
-        def work(rows: list[tuple]) -> dict[str, list]:
-            nonlocal written
-            packed = [ids + end for ids in encoder.encode([text for _, text in rows])]
-            sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            starts = written + edges[:-1]
-            written += int(edges[-1])
-            flat = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat))
-            return {"doc_id": [r[0] for r in rows], "start_in_file": starts, "n_tokens": sizes, "ids": ids}
-
-        return work
+        for batch in batches:
+            for rows in slices(batch, SLICE_BYTES):
+                ids, counts = encoder.encode(rows.column(1).to_pylist())
+                ids = np.insert(ids, np.cumsum(counts), end)
+                edges = np.concatenate([[0], np.cumsum(counts + 1)])
+                listed = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                columns = [rows.column(0), pa.array(written + edges[:-1]), pa.array(counts + 1), listed]
+                written += int(edges[-1])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_in_file", "n_tokens", "ids"])
 
     # Every file is one task's range, so start_in_file counts from the file's first row.
     ordered = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     )
-    encoded = map_texts(ordered, make, "doc_id bigint, start_in_file bigint, n_tokens bigint, ids array<int>")
+    encoded = ordered.mapInArrow(run, "doc_id bigint, start_in_file bigint, n_tokens bigint, ids array<int>")
     (
         encoded.write.mode("errorifexists")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
@@ -120,22 +188,21 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids from the files; start counts the ids of all documents before it.
-
-    Only two columns are read to place the files; their table has a row a file.
-    """
+    """file, doc_id, start_in_file, n_tokens and ids of every row of the files."""
     rows = spark.read.schema("doc_id bigint, start_in_file bigint, n_tokens bigint, ids array<int>").orc(path)
-    rows = rows.withColumn("file", F.col("_metadata.file_path"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), "*")
+
+
+def file_starts(rows: DataFrame) -> DataFrame:
+    """How many ids the files before each file hold. Only small columns are read; the table has a row a file."""
     files = rows.groupBy("file").agg(F.min("doc_id").alias("first_id"), F.sum("n_tokens").alias("in_file"))
-    # Part names ascend with the ranges; they break ties between files of null or equal ids.
+    # Part names ascend with the ranges; they break ties between files of null ids.
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("file_start"))
-    start = (F.col("file_start") + F.col("start_in_file")).alias("start")
-    return rows.join(files, "file").select("doc_id", start, "n_tokens", "ids")
+    return files.select("file", F.coalesce(F.sum("in_file").over(before), F.lit(0)).alias("file_start"))
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of rows with ids."""
+    """file, doc_id, start_in_file, n_tokens and ids_crc32, counted from the ids that were read."""
 
     def run(batches):
         for batch in batches:
@@ -145,15 +212,18 @@ def digest(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             counted = pa.array(np.diff(edges).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), counted, pa.array(sums, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                [*batch.columns[:3], counted, pa.array(sums, pa.int64())],
+                names=["file", "doc_id", "start_in_file", "n_tokens", "ids_crc32"],
             )
 
-    return rows.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    kept = rows.select("file", "doc_id", "start_in_file", "ids")
+    return kept.mapInArrow(run, "file string, doc_id bigint, start_in_file bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Write docs as ORC in the shared folder, read the files back and digest what they hold."""
     path = fresh_path(docs.sparkSession, "orc_tokens")
     write_orc(docs, path, tokenizer)
-    return digest(read_orc(docs.sparkSession, path))
+    rows = read_orc(docs.sparkSession, path)
+    start = (F.col("file_start") + F.col("start_in_file")).alias("start")
+    return digest(rows).join(file_starts(rows), "file").select("doc_id", start, "n_tokens", "ids_crc32")
