@@ -88,4 +88,5 @@ class JobFilters:
         return reduce(and_, kept, F.lit(True))
 
     def set_names(self) -> set[str]:
-        return {f.name for f in fields(self) if getattr(self, f.name) not in (None, False, "")}
+        values = {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name for name, v in values.items() if v is not None and v is not False and v != ""}

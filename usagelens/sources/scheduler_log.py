@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # Hardware by queue, and a machine's CPU type where nothing else tells.
 QUEUE_GPUS = {"a100": "a100", "h100": "h100", "l40": "l40", "nvgpu": "v100"}
 MACHINE_CPU = {"derecho": "milan"}
-EPOCH = F.lit("1970-01-01 00:00:00")
+EPOCH = "1970-01-01 00:00:00"
 
 
 def read_days(spark: SparkSession, folder: str, days: Iterable[date]) -> DataFrame:
@@ -80,7 +80,7 @@ def parse(lines: DataFrame, machine: str) -> DataFrame:
     untold = cpu.isNull() & gpu.isNull()
     start, eligible, submit, end = (moment(attribute(k)) for k in ("start", "etime", "ctime", "end"))
     elapsed = seconds(attribute("resources_used.walltime"))
-    epoch = EPOCH.cast("timestamp_ntz")
+    epoch = F.lit(EPOCH).cast("timestamp_ntz")
     kept = [c for c in lines.columns if c != "value"]
     return records.select(
         *kept, "job_id", F.regexp_extract("job_id", r"^(\d+)", 1).try_cast("bigint").alias("short_id"), own["jobname"].alias("name"),
