@@ -38,6 +38,11 @@ def normalize(path: str) -> str:
     return path
 
 
+def collection_of(path: str) -> str | None:
+    """The collection a path lies in: its first part below the mount point, in lower case."""
+    return normalize(path).strip("/").split("/", 1)[0].lower() or None
+
+
 def collapse(paths: Sequence[str]) -> list[str]:
     """Normalised prefixes without those that lie inside another."""
     out: list[str] = []
@@ -131,6 +136,20 @@ class DirectoryQueries:
         rows = self.directories.where((filters or DirectoryFilters()).predicate())
         return rows if filesystems is None else rows.where(F.col("filesystem").isin(*filesystems))
 
+    def filesystems(self) -> DataFrame:
+        """The collections there are; those being staged or replaced are hidden."""
+        hidden = F.col("filesystem").rlike("_(staging|old)$")
+        return self.directories.select("filesystem").distinct().where(~hidden).orderBy("filesystem")
+
+    def owner_id(self, owner: int | str) -> int:
+        """The id of an owner given by number or name."""
+        if isinstance(owner, int) or owner.isdigit():
+            return int(owner)
+        found = self.names.where(F.col("username") == owner).agg(F.min("uid")).first()[0]
+        if found is None:
+            raise ValueError(f"no owner is called {owner!r}")
+        return found
+
     def list(self, filters: DirectoryFilters | None = None, sort: str = "size", descending: bool = True, limit: int | None = 50,
              filesystems: Sequence[str] | None = None) -> DataFrame:
         """Directories in order, over all collections at once; exclusions count before the limit."""
@@ -148,7 +167,9 @@ class DirectoryQueries:
             F.count(F.lit(1)).alias("total_directories"), F.sum("file_count_nr").alias("total_files"), F.max(F.when(root, F.col("total_size_r"))).alias("total_size")
         )
 
-    def by_entity(self, entity: str, filters: DirectoryFilters | None = None, breakdown: bool = False, filesystems: Sequence[str] | None = None) -> DataFrame:
+    def by_entity(
+        self, entity: str, filters: DirectoryFilters | None = None, breakdown: bool = False, filesystems: Sequence[str] | None = None
+    ) -> DataFrame:
         """Bytes, files and directories of single owners (owner_uid) or groups (owner_gid), over or by collection."""
         keys = ["filesystem", entity] if breakdown else [entity]
         return self._rows(filters, filesystems).where(F.col(entity) >= 0).groupBy(*keys).agg(

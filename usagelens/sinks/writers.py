@@ -11,6 +11,17 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame
 
+# Header, least width and format of a job listing's columns.
+JOB_FORMS = {
+    "job_id": ("Job ID", 22, "s"), "user": ("User", 12, "s"), "account": ("Project", 12, "s"), "queue": ("Queue", 10, "s"), "qos": ("QoS", 9, "s"),
+    "exit_status": ("Exit", 8, "s"), "numnodes": ("Nodes", 6, "d"), "numcpus": ("CPUs", 6, "d"), "numgpus": ("GPUs", 6, "d"), "start": ("Start", 19, "s"),
+    "end": ("End", 19, "s"), "elapsed": ("Elapsed", 9, "d"), "cpu_hours": ("CPU-h", 10, ".2f"), "gpu_hours": ("GPU-h", 10, ".2f"), "short_id": ("Short ID", 10, "d"),
+    "name": ("Name", 20, "s"), "priority": ("Pri", 6, "s"), "submit": ("Submit", 19, "s"), "queued": ("Queued", 19, "s"), "eligible": ("Eligible", 19, "s"),
+    "eligible_secs": ("EligWait", 9, "d"), "run_count": ("Runs", 5, "d"), "walltime": ("Walltime", 9, "d"), "mpiprocs": ("Ranks per Node", 0, "d"),
+    "ompthreads": ("OMP Threads", 0, "d"), "reqmem": ("ReqMem", 14, "d"), "memory": ("Mem", 14, "d"), "vmemory": ("VMem", 14, "d"), "cputype": ("CPU type", 12, "s"),
+    "gputype": ("GPU type", 12, "s"), "resources": ("Resources", 30, "s"), "memory_hours": ("Mem-h", 10, ".2f"), "qos_factor": ("Factor", 0, ".2f"),
+    "charge_version": ("Chg ver", 0, "d"), "cpu_charges": ("CPU chg", 10, ".2f"), "gpu_charges": ("GPU chg", 10, ".2f"), "memory_charges": ("Mem chg", 10, ".2f"),
+}
 #: A report of more rows than this is refused: it belongs in a table.
 MOST_ROWS = 100_000
 
@@ -68,6 +79,15 @@ def as_fixed_width(rows: Iterable[dict], widths: dict[str, int], forms: dict[str
     return "\n".join(lines) + "\n"
 
 
+def job_listing(rows: Iterable[dict]) -> str:
+    """Rows of a job search in fixed width, under their headers."""
+    rows = list(rows)
+    shown = [c for c in (rows[0] if rows else {}) if c in JOB_FORMS]
+    named = [{JOB_FORMS[c][0]: r[c] for c in shown} for r in rows]
+    widths = {JOB_FORMS[c][0]: max(JOB_FORMS[c][1], len(JOB_FORMS[c][0])) for c in shown}
+    return as_fixed_width(named, widths, {JOB_FORMS[c][0]: JOB_FORMS[c][2] for c in shown})
+
+
 def as_markdown(rows: Iterable[dict]) -> str:
     rows = list(rows)
     if not rows:
