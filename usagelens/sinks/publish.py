@@ -22,4 +22,7 @@ def publish(df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> No
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    if partition_by:
+        # A catalog may keep the staging table's folder as the place of each partition.
+        spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
     spark.sql(f"DROP TABLE IF EXISTS {old}")
