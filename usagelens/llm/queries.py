@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import byte_bpe, decontaminate, language_id, near_text, near_vectors, orc_tokens, page_text, quality, sharding, toxicity
+from usagelens.llm import byte_bpe, decontaminate, language_id, near_text, near_vectors, oracle, orc_tokens, page_text, quality, sharding, toxicity
 from usagelens.llm.common import table
 
 
@@ -61,5 +61,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """No operator here can be told in SQL at whole size; tests/llm holds brute-force versions instead."""
-    return {}
+    """The operators that SQL can tell; tests/llm holds brute-force versions of the others."""
+    return {op3_nn_descent.__name__: oracle.OP3, op7_jump_sharding.__name__: oracle.op7(), op8_decontamination.__name__: oracle.op8()}

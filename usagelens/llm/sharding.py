@@ -20,6 +20,8 @@ STEP = Decimal(2862933555777941757)
 WORD = Decimal(2**64)
 #: A row visits about ln(shards) shards; more visits than this don't happen in practice.
 MOST_VISITS = 128
+#: Slices that a shard is numbered in; a prime, so that ids in even steps spread over them.
+SLICES = 257
 
 
 def jump_shard(key: Column, shards: int) -> Column:
@@ -42,12 +44,13 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.aggregate(visits, start, visit)["at"].cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slices: int = 256) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, slices: int = SLICES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
-    Slots are gapless from 0 in each shard. A shard is numbered in `slices` hash
-    slices at once: the counts of the slices (shards x slices rows, a fixed
-    bound) give each slice its first slot, so no task sorts a whole shard.
+    Slots are gapless from 0 in each shard. A shard is numbered in `slices`
+    slices at once, told by doc_id and text: the counts of the slices (shards x
+    slices rows, a fixed bound) give each slice its first slot, so no task sorts
+    a whole shard, nor all texts of one doc_id.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint"))
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -58,7 +61,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, slices: int = 256) -> Dat
         F.lit("key").alias("law"),
         jump_shard(key, shards).alias("shard"),
         jump_shard(key, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"),
+        ((F.pmod(key, F.lit(slices)) + F.crc32(body)) % slices).cast("int").alias("slice"),
     )
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     first = (
