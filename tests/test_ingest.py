@@ -98,6 +98,32 @@ def test_written_partitions(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "jobs" / "machine=casper").iterdir()) == ["end_date=2023-11-14", "end_date=2023-11-16"]
 
 
+def test_stored_tables_follow_the_logs(spark, tmp_path):
+    logs, jobs, summary = tmp_path / "logs", f"{tmp_path}/jobs", f"{tmp_path}/summary"
+    logs.mkdir()
+    sync = lambda first, last, mode="plain": ingest.sync_days(spark, str(logs), jobs, summary, "casper", date(2023, 11, first), date(2023, 11, last), mode)
+    table = lambda: {r.job_id: r for r in spark.read.parquet(jobs).collect()}
+    days = lambda: {(r.date.day, r.job_count) for r in spark.read.parquet(summary).collect()}
+    (logs / "20231114").write_text(line("1.srv") + "\n" + line("2.srv") + "\n")
+    (logs / "20231115").write_text(line(kind="Q") + "\n")
+    assert sync(14, 16) == ingest.Synced([date(2023, 11, 14), date(2023, 11, 15)], [], [date(2023, 11, 16)])
+    assert set(table()) == {"1.srv", "2.srv"} and days() == {(14, 2), (15, 0)}
+    (logs / "20231116").write_text(line("3.srv", end=1_700_150_000) + "\n")
+    told = sync(14, 16, "incremental")
+    assert [d.day for d in told.read] == [16] and [d.day for d in told.skipped] == [14, 15] and not told.failed
+    assert set(table()) == {"1.srv", "2.srv", "3.srv"} and days() == {(14, 2), (15, 0), (16, 1)}
+    (logs / "20231114").write_text(line("1.srv", resources_used__mem="4096kb") + "\n" + line("4.srv") + "\n")
+    sync(14, 14)
+    assert table()["1.srv"].memory == 2**20 and "4.srv" in table() and (14, 3) in days()
+    sync(14, 14, "upsert")
+    assert table()["1.srv"].memory == 2**22 and len(table()) == 4
+    for mode in ("recalculate", "resummarize"):
+        sync(14, 16, mode)
+        assert len(table()) == 4 and days() == {(14, 3), (15, 0), (16, 1)} and all(r.cpu_hours > 0 for r in table().values())
+    with pytest.raises(ValueError):
+        sync(14, 14, "other")
+
+
 def test_stream_gives_the_batch_result(spark, tmp_path):
     logs, table, checkpoint = tmp_path / "logs", f"{tmp_path}/table", f"file://{tmp_path}/checkpoint"
     logs.mkdir()

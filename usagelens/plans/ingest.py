@@ -7,15 +7,18 @@ are filled or recomputed.
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.functions.charging import charged
 from usagelens.functions.timewin import SITE_ZONE, in_site_days
 from usagelens.plans import rollup
-from usagelens.sources.scheduler_log import first_of_each, in_order, times_in_order
+from usagelens.sources.scheduler_log import days_with_logs, first_of_each, in_order, parse, read_days, times_in_order
 
 KEY = ("job_id", "submit")
 # The fields a later record of a job may change.
@@ -99,3 +102,75 @@ def write_jobs(jobs: DataFrame, path: str) -> None:
     """Write whole partitions; others stay. Rows of a day are sorted by user for min/max skipping."""
     partitioned = jobs.withColumn("end_date", F.to_date("end_ts"))
     partitioned.sortWithinPartitions("machine", "end_date", "user").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("machine", "end_date").parquet(path)
+
+
+def write_summary(summary: DataFrame, machine: str, path: str) -> None:
+    """Write the roll-up's days, a partition each; other days stay."""
+    rows = summary.withColumn("machine", F.lit(machine)).repartition("date")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("machine", "date").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, machine: str) -> DataFrame | None:
+    """A machine's partitions of a stored table; None before it is first written."""
+    try:
+        return spark.read.parquet(path).where(F.col("machine") == machine)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+@dataclass(frozen=True)
+class Synced:
+    read: list[date]
+    skipped: list[date]
+    failed: list[date]
+
+
+def sync_days(spark: SparkSession, logs: str, jobs: str, summary: str, machine: str, start: date, end: date, mode: str = "plain") -> Synced:
+    """Bring the stored job table and roll-up up to date with the log files of the days start to end.
+
+    Incremental leaves days alone that the roll-up has. A day without a log file
+    fails: it gets no roll-up, so a later run takes it up; a day whose file has no
+    jobs gets its marker. Only the job partitions on which new records end are
+    read and replaced; recalculate and resummarize read no logs.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    days = [start + timedelta(days=i) for i in range((end - start).days + 1)]
+    known, skipped, failed = _stored(spark, jobs, machine), [], []
+    if mode == "recalculate":
+        if known is not None:
+            write_jobs(recalculated(_ending(known, start - timedelta(days=1), end + timedelta(days=1)), machine, start, end), jobs)
+    elif mode != "resummarize":
+        done = set()
+        if mode == "incremental" and (had := _stored(spark, summary, machine)) is not None:
+            inside = F.col("date").between(F.lit(start), F.lit(end))
+            done = {r.date for r in rollup.summarized_days(had.where(inside)).collect()}
+        there = days_with_logs(spark, logs, days)
+        skipped = [d for d in days if d in done]
+        failed = [d for d in days if d not in done and d not in there]
+        days = [d for d in days if d not in done and d in there]
+        if days:
+            _take_up(clean(parse(read_days(spark, logs, days), machine)), known, jobs, machine, mode)
+    stored = _stored(spark, jobs, machine)
+    if stored is not None:
+        for first, last in rollup.contiguous(days):
+            write_summary(rollup.daily_summary(_ending(stored, first, last + timedelta(days=1)), first, last), machine, summary)
+    return Synced(days, skipped, failed)
+
+
+def _ending(jobs: DataFrame, first: date, last: date) -> DataFrame:
+    """Stored jobs of UTC end days: whole partitions."""
+    return jobs.where(F.col("end_date").between(F.lit(first), F.lit(last)))
+
+
+def _take_up(new: DataFrame, known: DataFrame | None, path: str, machine: str, mode: str) -> None:
+    if known is None:
+        write_jobs(charged(new, machine), path)
+        return
+    # A day's log holds jobs that ended on it, so these days are about as many as the files.
+    ends = [r[0] for r in new.select(F.to_date("end_ts")).distinct().collect()]
+    touched: Sequence[date] = [d for d in ends if d is not None]
+    own = F.col("end_date").isin(touched) | (F.col("end_date").isNull() if None in ends else F.lit(False))
+    write_jobs((upserted if mode == "upsert" else added)(known.where(own), new, machine), path)

@@ -25,6 +25,14 @@ def read_days(spark: SparkSession, folder: str, days: Iterable[date]) -> DataFra
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
 
 
+def days_with_logs(spark: SparkSession, folder: str, days: Iterable[date]) -> set[date]:
+    """Those of the days that have a file; files are listed, not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]" * 8).load(folder)
+    wanted = {f"{d:%Y%m%d}": d for d in days}
+    names = files.select(F.substring_index("path", "/", -1).alias("name")).where(F.col("name").isin(list(wanted))).collect()
+    return {wanted[r.name] for r in names}
+
+
 def attribute(key: str) -> Column:
     """The last value of a key in a record, null if it has none."""
     found = F.regexp_extract_all(F.col("attributes"), F.lit(rf'(?:^|\s){key.replace(".", r"[.]")}=("[^"]*"|\S*)'), F.lit(1))
