@@ -127,17 +127,11 @@ class WordEncoder:
         split = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
         coded = split.values.dictionary_encode()
         known = self._learned(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join(known), dtype="<u4")
         size = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 4
-        first = np.cumsum(size, dtype=np.int32) - size
-        codes = coded.indices.to_numpy()
-        each = size[codes]
-        ends = np.cumsum(each, dtype=np.int64)
-        edge = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        pool = pa.array(np.frombuffer(b"".join(known), dtype="<u4"))
         # A slice has a few million ids, so places fit 32 bits; each word's ids are copied from the pool.
-        total = int(edge[-1])
-        place = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
-        ids = pool[np.repeat(first[codes].astype(place) - (ends - each).astype(place), each) + np.arange(total, dtype=place)]
+        told = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pool).take(coded.indices)
+        ids, edge = told.values.to_numpy(), told.offsets.to_numpy()[split.offsets.to_numpy()]
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[plain] = np.diff(edge)
         others = sorted(set(range(len(texts))) - set(plain))
