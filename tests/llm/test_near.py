@@ -82,6 +82,31 @@ def test_text_classes_are_those_of_brute_force(spark, medium):
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows) and len(set(told.values())) < len(told)
 
 
+def replaced(rng, words, at):
+    return [f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("least, most", [(0.80, 0.80), (0.80, 0.85), (0.85, 0.90), (0.90, 1.0)])
+def test_texts_of_each_band_of_similarity_share_a_key(least, most):
+    rng, sketcher, met = random.Random(8), near_text.Sketcher(), 0
+    keys = lambda words: set(sketcher.sketch(sketcher.hashes(words))[0])
+    for k in range(600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([7, 10, 20, 25, 30, 60, 200]))]
+        edits = int((1 - rng.uniform(least, most)) * len(words) + 1e-9)
+        at = {int((i + 0.5) * len(words) / edits) for i in range(edits)} if k % 2 else set(rng.sample(range(len(words)), edits))
+        met += bool(keys(words) & keys(replaced(rng, words, at)))
+    assert met >= 0.99 * 600
+
+
+def test_texts_with_every_fifth_word_replaced_are_linked(spark):
+    rng, rows = random.Random(9), []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(25 + 5 * k)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(replaced(rng, words, set(range(2, len(words), 5)))))]
+    found = {r.doc_id: r.class_id for r in near_text.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {d: d - d % 2 for d, _ in rows}
+
+
 def test_text_classes_of_odd_and_no_documents(odd_documents, no_documents):
     rows = near_text.classes(odd_documents).collect()
     assert len(rows) == odd_documents.count()

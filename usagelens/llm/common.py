@@ -86,6 +86,35 @@ def slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+def groups(batches: Iterable[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[pa.Table]:
+    """Runs of rows with equal first `keys` columns, from sorted batches; longer runs come in parts of `most`."""
+    held, held_key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(k)) for k in range(keys)]
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and (key != held_key or (most and sum(map(len, held)) >= most)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held_key = key
+            while a < b:
+                room = (most or b - a) - (sum(map(len, held)) if most else 0)
+                if most and room <= 0:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                    continue
+                held.append(batch.slice(a, min(room, b - a)))
+                a += min(room, b - a)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _column(values, kind):
     if isinstance(values, (pa.Array, pa.ChunkedArray)):
         return values

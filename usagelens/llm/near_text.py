@@ -1,11 +1,13 @@
 """Operator 4: near-duplicate texts by Order MinHash, verified by banded alignment.
 
-A text is its lower-cased words. For each of several hash functions the least
-hashed k-mers of words (equal k-mers told apart by their occurrence number) are
-put in text order; texts with an equal sketch share a bucket, so order counts as
-it does in edit distance. In a bucket every text is compared with the bucket's
-smallest document, and within the texts that agree on a longer sketch with their
-smallest, so a bucket of n texts gives at most 2n pairs. A pair is a link when
+A text is its lower-cased words. Each of several hash functions chooses a pair of
+neighbouring words (equal pairs told apart by their occurrence number); three of
+them in text order are a key, and texts with an equal key share a bucket, so order
+counts as it does in edit distance. The keys are so many that texts at the least
+similarity miss each other a few times in a thousand at most. In a bucket the texts
+meet the smallest document, those that stay apart meet the smallest of them, and
+then all pairs of a bucket that no links connect are compared, unless their word
+counts alone tell that they differ too much. A pair is a link when
 its edit similarity over words, 1 - distance / longer length, is at least 0.8 by
 an alignment in a band. A class is what links connect; equal texts are one node.
 
@@ -18,20 +20,28 @@ to the smallest doc_id; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import Memo, cut, kept_in_worker, map_texts
+from usagelens.llm.common import Memo, cut, groups, kept_in_worker, map_texts
 from usagelens.llm.graph import components
 
 SIMILARITY = 0.8
-#: Sketches a text, k-mers a sketch, k-mers of the longer sketch, words a k-mer.
-SKETCHES, KMERS, LONG_KMERS, WORDS = 24, 2, 4, 5
-#: Texts of few words have few 5-word k-mers in common; they are sketched with 2-word k-mers besides.
-SHORT_TEXT, SHORT_SKETCHES, SHORT_WORDS = 24, 8, 2
+#: Hash functions, keys of each three of their minima, words a k-mer. At similarity 0.8 at least 0.6 n - 1 of a text's
+#: n - 1 runs of two words are the other text's, so a minimum is shared with chance 0.6 / 1.4 and a key with its cube.
+MINIMA, KEYS, WORDS = 64, 128, 2
+#: Short texts have keys of single words besides, of which 0.8 n are shared; all texts with one edit meet below ONE_EDIT words.
+SHORT_TEXT, SHORT_MINIMA, SHORT_KEYS, ONE_EDIT = 24, 32, 32, 10
+#: Rounds in which a bucket's texts meet its smallest document, before all that are still apart meet each other.
+SMALLEST_ROUNDS = 2
+#: Bins of the word counts that bound an edit distance from below, and texts of a bucket that meet in one group.
+BINS, BLOCK = 128, 256
 MEMO_WORDS = 300_000
 #: Hash values of all sketches that are held at once, in one text.
 HASHES_AT_ONCE = 1 << 21
@@ -106,7 +116,7 @@ def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
     while True:
         if edit_distance_within(a, b, band) <= band:
             return True
-        if band >= most:
+        if band >= most or band == 16 and (Counter(a) & Counter(b)).total() < longer - most:
             return False
         band = min(most, band * 4)
 
@@ -119,34 +129,38 @@ class Sketcher:
 
         self.word = Memo(lambda w: xxhash.xxh64_intdigest(w), MEMO_WORDS)
         chosen = np.random.default_rng(4)
-        self.salts = chosen.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
-        self.odd = chosen.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
+        self.salts = chosen.integers(1, 1 << 63, MINIMA, dtype=np.uint64)
+        self.odd = chosen.integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
+        self.threes = _threes(chosen, MINIMA, KEYS)
+        self.short_threes = _threes(chosen, SHORT_MINIMA, SHORT_KEYS)
 
     def hashes(self, words: list[str]) -> np.ndarray:
         word = self.word
         return np.array([word[w] for w in words], dtype=np.uint64)
 
-    def sketch(self, hashes: np.ndarray) -> tuple[list[int], list[int]]:
-        """Keys of the sketches and of the longer sketches of a text."""
-        keys, longer = self._sketches(_kmers(hashes, WORDS), SKETCHES, 0)
+    def sketch(self, hashes: np.ndarray) -> tuple[list[int], bytes]:
+        """Keys of a text, and how many of its words fall in each bin."""
+        keys = self._keys(_kmers(hashes, WORDS), self.threes, MINIMA, 0)
         if len(hashes) <= SHORT_TEXT:
-            more, more_longer = self._sketches(_kmers(hashes, SHORT_WORDS), SHORT_SKETCHES, 1)
-            keys, longer = keys + more, longer + more_longer
-        return keys, longer
-
-    def _sketches(self, kmers: np.ndarray, count: int, kind: int) -> tuple[list[int], list[int]]:
+            keys += self._keys(_kmers(hashes, 1), self.short_threes, SHORT_MINIMA, 1)
+        if len(hashes) < ONE_EDIT:
+            rests = [hashes, *(np.delete(hashes, i) for i in range(len(hashes)))]
+            keys += [int(_combined(rest[None, :], np.full(1, 2000, dtype=np.uint64))[0]) for rest in rests if len(rest)]
+        counts = np.bincount((_mixed(hashes) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        return keys, np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+    def _keys(self, kmers: np.ndarray, threes: np.ndarray, count: int, kind: int) -> list[int]:
         told = _mixed(kmers + _occurrence(kmers) * _C)
-        take = min(LONG_KMERS, len(told))
-        keys, longer = [], []
         step = max(1, HASHES_AT_ONCE // len(told))
-        for at in range(0, count, step):
-            order = (told[None, :] ^ self.salts[at : min(count, at + step), None]) * self.odd[at : min(count, at + step), None]
-            least = np.argpartition(order, take - 1, axis=1)[:, :take] if take < len(told) else np.tile(np.arange(take), (len(order), 1))
-            ranked = np.take_along_axis(least, np.argsort(np.take_along_axis(order, least, axis=1), axis=1), axis=1)
-            number = np.arange(at, at + len(order), dtype=np.uint64) + np.uint64(1000 * kind)
-            keys += _combined(told[np.sort(ranked[:, :KMERS], axis=1)], number).tolist()
-            longer += _combined(told[np.sort(ranked, axis=1)], number).tolist()
-        return keys, longer
+        at = [((told[None, :] ^ self.salts[i : min(count, i + step), None]) * self.odd[i : min(count, i + step), None]).argmin(axis=1) for i in range(0, count, step)]
+        number = np.arange(len(threes), dtype=np.uint64) + np.uint64(1000 * kind)
+        return _combined(told[np.sort(np.concatenate(at)[threes], axis=1)], number).tolist()
+
+
+def _threes(chosen: np.random.Generator, minima: int, count: int) -> np.ndarray:
+    """Every minimum is in about as many keys as any other."""
+    rounds = -(-3 * count // (minima - minima % 3))
+    return np.concatenate([chosen.permutation(minima)[: minima - minima % 3].reshape(-1, 3) for _ in range(rounds)])[:count]
 
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -187,7 +201,7 @@ def _occurrence(kmers: np.ndarray) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the words), keys and longer of every row with an id and a text that is not blank."""
+    """doc_id, digest (of the words), words (their number), counts and keys of every row with an id and a text that is not blank."""
 
     def make():
         import xxhash
@@ -195,31 +209,57 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
         sketcher = kept_in_worker(("near_text",), Sketcher)
 
         def work(rows):
-            out = {"doc_id": [], "digest": [], "keys": [], "longer": []}
+            out = {"doc_id": [], "digest": [], "words": [], "counts": [], "keys": []}
             for doc_id, text in rows:
                 if words := words_of(text):
                     hashes = sketcher.hashes(words)
-                    keys, longer = sketcher.sketch(hashes)
+                    keys, counts = sketcher.sketch(hashes)
                     out["doc_id"].append(doc_id)
                     out["digest"].append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                    out["words"].append(len(words))
+                    out["counts"].append(counts)
                     out["keys"].append(keys)
-                    out["longer"].append(longer)
             return out
 
         return work
 
     kept = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return map_texts(kept, make, "doc_id bigint, digest binary, keys array<bigint>, longer array<bigint>")
+    return map_texts(kept, make, "doc_id bigint, digest binary, words int, counts binary, keys array<bigint>")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of documents that share a bucket with a as the smallest. nodes: doc_id, keys, longer."""
-    rows = nodes.select("doc_id", F.posexplode("keys").alias("i", "key"), "longer").select(
-        "doc_id", F.explode(F.array("key", F.element_at("longer", F.col("i") + 1))).alias("key")
-    )
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    pairs = rows.join(first.select("key", "a"), "key").where("doc_id > a")
-    return pairs.select("a", F.col("doc_id").alias("b")).distinct()
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """key and doc_id of all buckets that several documents share, from one shuffle. nodes: doc_id, keys."""
+
+    def several(batches):
+        held = None  # the last row, and whether its key has been told already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            told = False
+            if held is not None:
+                key, node, told = np.append(held[0], key), np.append(held[1], node), held[2]
+            same = key[1:] == key[:-1]
+            shared = np.append(told, same) | np.append(same, False)
+            held = key[-1:], node[-1:], bool(shared[-1])
+            if shared[:-1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][shared[:-1]]), pa.array(node[:-1][shared[:-1]])], names=["key", "doc_id"])
+        if held is not None and held[2]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["key", "doc_id"])
+
+    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "doc_id")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key bigint, doc_id bigint")
+
+
+def smallest_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of documents of a bucket with a as the smallest. rows: key, doc_id."""
+    first = rows.groupBy("key").agg(F.min("doc_id").alias("a"))
+    return rows.join(first, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def linked(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar documents that share a bucket. rows: key, doc_id; nodes: doc_id, words, counts."""
+    return cut(verified(smallest_pairs(rows), docs))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -246,11 +286,10 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Da
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and kept (whether that is the row's own) of every row."""
     sketched = cut(sketch_documents(docs))
-    nodes = cut(
-        sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "keys", "longer")).alias("n")).select("digest", "n.*")
-    )
-    links = cut(verified(candidate_pairs(nodes), docs))
-    merged = components(links)
+    least = lambda *columns: sketched.groupBy("digest").agg(F.min(F.struct(*columns)).alias("n")).select("digest", "n.*")
+    rows = cut(bucket_rows(least("doc_id", "keys")))
+    nodes = cut(least("doc_id", "words", "counts"))
+    merged = components(linked(rows, nodes, docs))
     of_text = nodes.join(merged, nodes["doc_id"] == merged["node"], "left").select(
         "digest", F.coalesce("component", "doc_id").alias("class_id")
     )

@@ -18,14 +18,12 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import cut
+from usagelens.llm.common import cut, groups
 from usagelens.llm.graph import components
 
 THRESHOLD = 0.98
@@ -58,35 +56,6 @@ def _lists(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, sizes: np.ndarr
     return pa.RecordBatch.from_arrays(columns, names=["node", "ids", "sims"])
 
 
-def _groups(batches: Iterable[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[pa.Table]:
-    """Runs of rows with equal first `keys` columns, from sorted batches; longer runs come in parts of `most`."""
-    held, held_key = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [np.asarray(batch.column(k)) for k in range(keys)]
-        change = np.zeros(batch.num_rows - 1, dtype=bool)
-        for c in columns:
-            change |= c[1:] != c[:-1]
-        bounds = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            key = tuple(c[a] for c in columns)
-            if held and (key != held_key or (most and sum(map(len, held)) >= most)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held_key = key
-            while a < b:
-                room = (most or b - a) - (sum(map(len, held)) if most else 0)
-                if most and room <= 0:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                    continue
-                held.append(batch.slice(a, min(room, b - a)))
-                a += min(room, b - a)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _first_lists(nodes: DataFrame, double: bool, seed: int, threshold: float) -> DataFrame:
     """Neighbour lists from blocks of nodes with like codes, one list a node and sort order."""
 
@@ -109,7 +78,7 @@ def _first_lists(nodes: DataFrame, double: bool, seed: int, threshold: float) ->
                     )
 
     def compare(batches):
-        for block in _groups(batches, 3, BLOCK):
+        for block in groups(batches, 3, BLOCK):
             ids = np.asarray(block["node"])
             if len(ids) > 1:
                 x = _unit(block["vec"].combine_chunks(), double)
@@ -182,7 +151,7 @@ def _round(nodes: DataFrame, graph: DataFrame, double: bool, threshold: float) -
     rows = asked.join(known, "member").select("node", "member", "vec", "ids", "sims")
 
     def compare(batches):
-        for group in _groups(batches, 1):
+        for group in groups(batches, 1):
             members = np.asarray(group["member"])
             if len(members) < 2:
                 continue
@@ -232,7 +201,7 @@ def _counted(nodes: DataFrame, membership: DataFrame, double: bool, threshold: f
     )
 
     def count(batches):
-        for group in _groups(batches, 3):
+        for group in groups(batches, 3):
             ids, copies, block = np.asarray(group["node"]), np.asarray(group["copies"]), np.asarray(group["block"])
             x = _unit(group["vec"].combine_chunks(), double)
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
