@@ -107,6 +107,26 @@ def test_texts_with_every_fifth_word_replaced_are_linked(spark):
     assert found == {d: d - d % 2 for d, _ in rows}
 
 
+def test_texts_are_linked_whatever_the_smallest_of_their_bucket_is(spark):
+    """Bucket 1: a common passage, whose smallest document is near none. 2: links that go by a text near the smallest. 3: many texts."""
+    rng = random.Random(10)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, own, chain = new(60), new(40), new(100)
+    texts = {1: passage + new(40), 2: passage + own, 3: passage + replaced(rng, own, set(range(0, 40, 2))), 4: passage + new(40), 5: passage + new(40)}
+    texts |= {6: texts[5][:88] + new(12), 10: chain, 11: replaced(rng, chain, set(range(0, 15))), 12: replaced(rng, chain, set(range(0, 30)))}
+    texts[12] = texts[11][:80] + texts[12][80:85] + new(15)
+    texts[13] = texts[12][:20] + new(15) + texts[12][35:]
+    texts |= {i: passage + new(rng.randrange(20, 90)) for i in range(100, 700)}
+    texts |= {i + 1000: replaced(rng, texts[i], set(rng.sample(range(len(texts[i])), len(texts[i]) // 6))) for i in range(100, 700, 7)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    bucket = lambda i: 1 if i < 10 else 2 if i < 100 else 3
+    rows = spark.createDataFrame([(bucket(i), i) for i in texts], "key bigint, doc_id bigint")
+    nodes = near_text.sketch_documents(docs).select("doc_id", "words", "counts")
+    found = {r.node: r.component for r in components(near_text.linked(rows, nodes, docs)).collect()}
+    links = [(a, b) for a, x in texts.items() for b, y in texts.items() if a < b and bucket(a) == bucket(b) and near_text.similar(x, y)]
+    assert {i: found.get(i, i) for i in texts} == roots(texts, links) and (2, 3) in links and (1, 2) not in links and (12, 13) in links and (10, 13) not in links
+
+
 def test_text_classes_of_odd_and_no_documents(odd_documents, no_documents):
     rows = near_text.classes(odd_documents).collect()
     assert len(rows) == odd_documents.count()

@@ -257,9 +257,74 @@ def smallest_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(first, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
 
 
+def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """key, doc_id and component of rows."""
+    merged = components(links)
+    return rows.join(merged, rows["doc_id"] == merged["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _apart_from_smallest(placed: DataFrame) -> DataFrame:
+    """The rows whose component isn't that of their bucket's smallest document."""
+    first = placed.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("f")).select("key", F.col("f.component").alias("of"))
+    return placed.join(first, "key").where("component <> of").select("key", "doc_id")
+
+
+def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of documents of a bucket that are in different components and may be similar by their word counts.
+
+    A bucket is told apart by length, as similar texts are in one class of lengths
+    or in two next to each other, and then dealt in blocks; every pair of blocks is
+    one bounded group.
+    """
+    several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
+    size = F.floor(F.log("words") / -math.log(SIMILARITY) + 1e-9).cast("int")
+    rows = placed.join(several, "key").join(nodes.select("doc_id", "words", "counts"), "doc_id").withColumn("own", size)
+    rows = rows.withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    dealt = rows.groupBy("key", "size").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("own").alias("least")
+    )
+    dealt = dealt.where("c < d and least = size").select("key", "size", "blocks")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    pairs = rows.join(dealt, ["key", "size"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["key", "size", "i", "j"]
+    grouped = pairs.select(
+        "key", "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "words", "counts"
+    )
+
+    def compare(batches):
+        for group in groups(batches, 4):
+            ids, part = np.asarray(group["doc_id"]), np.asarray(group["component"])
+            if (part == part[0]).all():
+                continue
+            words, block = np.asarray(group["words"]), np.asarray(group["block"])
+            counts = np.frombuffer(b"".join(group["counts"].to_pylist()), dtype=np.uint8).reshape(len(ids), BINS).astype(np.int16)
+            whole = group["i"][0].as_py() == group["j"][0].as_py()
+            a, b = [], []
+            for k in range(len(ids) - 1):
+                rest = k + 1 + np.flatnonzero((part[k + 1 :] != part[k]) & (whole | (block[k + 1 :] != block[k])))
+                most = ((1 - SIMILARITY) * np.maximum(words[rest], words[k]) + 1e-9).astype(np.int64)
+                rest = rest[(close := np.abs(words[rest] - words[k]) <= most)]
+                if len(rest):
+                    more = counts[rest] - counts[k]
+                    lost = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+                    rest = rest[lost <= most[close]]
+                    a.append(np.minimum(ids[rest], ids[k]))
+                    b.append(np.maximum(ids[rest], ids[k]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return grouped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def linked(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar documents that share a bucket. rows: key, doc_id; nodes: doc_id, words, counts."""
-    return cut(verified(smallest_pairs(rows), docs))
+    links, apart = None, rows
+    for _ in range(SMALLEST_ROUNDS):
+        found = verified(smallest_pairs(apart), docs)
+        links = cut(found if links is None else links.union(found))
+        placed = cut(_placed(rows, links))
+        apart = _apart_from_smallest(placed)
+    return cut(links.union(verified(crossing_pairs(placed, nodes), docs)))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
