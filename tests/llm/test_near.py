@@ -187,6 +187,16 @@ def test_vector_links_are_those_of_brute_force(spark):
     check_vectors(rows.collect(), near_vectors.near_links(rows).collect())
 
 
+def test_dense_groups_that_are_near_each_other_are_one_component(spark):
+    rng = np.random.default_rng(3)
+    middle, way = np.eye(24)[0], np.eye(24)[1]
+    made = [middle + side * 0.16 * way + 0.004 * rng.standard_normal(24) for side in (0, 1) for _ in range(60)]
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(made)], "vec_id bigint, embedding array<double>, label int")
+    found = near_vectors.near_links(rows).collect()
+    check_vectors(rows.collect(), found)
+    assert {r.component_id for r in found} == {0}
+
+
 def test_vector_query(spark, small):
     check_vectors(spark.read.parquet(f"{small}/embeddings.parquet").collect(), op3_nn_descent(spark, small).collect())
 

@@ -221,6 +221,63 @@ def _counted(nodes: DataFrame, membership: DataFrame, double: bool, threshold: f
     return told.groupBy("node").agg(F.sum("near").alias("near"))
 
 
+def _crossing(nodes: DataFrame, graph: DataFrame, membership: DataFrame, double: bool, threshold: float) -> DataFrame:
+    """Links (a, b) between components that have full lists, where links may have been evicted, by exact comparison.
+
+    All members lie within a component's radius of its smallest node, so only
+    components whose bounds allow a link are compared, in pairs of blocks.
+    """
+    full = graph.where((F.size("ids") >= GROWN) & (F.array_min("sims") >= threshold)).select("node")
+    saturated = membership.join(full, "node").select("component").distinct()
+    members = cut(membership.join(saturated, "component").join(nodes.select("node", "label", "dim", "vec"), "node"))
+    middles = members.where("node = component").select("component", F.col("vec").alias("middle"))
+
+    def spread(batches):
+        for batch in batches:
+            dims = np.asarray(batch.column(1))
+            for d in np.unique(dims):
+                part = batch.filter(pa.array(dims == d))
+                cosine = (_unit(part.column(2), double) * _unit(part.column(3), double)).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arccos(np.clip(cosine, -1, 1)))], names=["component", "angle"])
+
+    radius = members.join(middles, "component").select("component", "dim", "vec", "middle").mapInArrow(spread, "component bigint, angle double")
+    balls = members.where("node = component").join(radius.groupBy("component").agg(F.max("angle").alias("radius")), "component")
+    per = balls.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    keys = ["label", "dim", "i", "j"]
+    block = F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int")
+    dealt = balls.join(per, ["label", "dim"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component", "radius", "vec")
+    reach = np.arccos(threshold) + 1e-6
+
+    def near(batches):
+        for group in groups(batches, 4):
+            ids, radii = np.asarray(group["component"]), np.asarray(group["radius"])
+            x = _unit(group["vec"].combine_chunks(), double)
+            met = np.arccos(np.clip(x @ x.T, -1, 1)) <= radii[:, None] + radii[None, :] + reach
+            a, b = np.nonzero(met & (ids[:, None] < ids[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    pairs = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(near, "a bigint, b bigint").distinct())
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    held = members.join(sizes, "component").select("component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "vec")
+    told = pairs.join(sizes.select(F.col("component").alias("a"), F.col("blocks").alias("of_a")), "a").join(
+        sizes.select(F.col("component").alias("b"), F.col("blocks").alias("of_b")), "b"
+    )
+    first = held.join(told, held["component"] == told["a"]).select("a", "b", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("of_b") - 1)).alias("j"), F.lit(0).alias("side"), "node", "vec")
+    second = held.join(told, held["component"] == told["b"]).select("a", "b", F.explode(F.sequence(F.lit(0), F.col("of_a") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "node", "vec")
+    keys = ["a", "b", "i", "j"]
+
+    def join(batches):
+        for group in groups(batches, 4):
+            side, ids = np.asarray(group["side"]), np.asarray(group["node"])
+            x = _unit(group["vec"].combine_chunks(), double)
+            a, b = np.nonzero(x[side == 0] @ x[side == 1].T >= threshold)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[side == 0][a[:1]]), pa.array(ids[side == 1][b[:1]])], names=["a", "b"])
+
+    return first.union(second).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a bigint, b bigint")
+
+
 def audit(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float = THRESHOLD) -> float:
     """The share of true links, of a fixed number of query nodes against all nodes, that were counted."""
     asked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "label", "dim", "vec").collect()
@@ -288,7 +345,11 @@ def near_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if turn + 1 >= LEAST_ROUNDS and now - before <= WORTHWHILE * now:
                 break
             before = now
-        membership = cut(components(_links(graph, threshold)))
+        links = _links(graph, threshold)
+        membership = cut(components(links))
+        crossing = cut(_crossing(nodes, graph, membership, double, threshold))
+        if not crossing.isEmpty():
+            membership = cut(components(links.union(crossing)))
         counted = cut(_counted(nodes, membership, double, threshold))
         if audit(nodes, counted, double, threshold) >= RECALL:
             break
