@@ -197,6 +197,21 @@ def test_dense_groups_that_are_near_each_other_are_one_component(spark):
     assert {r.component_id for r in found} == {0}
 
 
+def test_audit_asks_until_enough_nodes_have_links(spark):
+    rng = np.random.default_rng(4)
+    made = [rng.standard_normal(24) for _ in range(3000)]
+    made += [v + 0.001 for v in made[:60]]
+    nodes = [(i, 0, 24, 1, v.astype("<f8").tobytes()) for i, v in enumerate(made)]
+    nodes = spark.createDataFrame(nodes, "node bigint, label int, dim int, copies bigint, vec binary").select("node", "label", "dim", "vec", "copies")
+    assert near_vectors._audited(nodes, spark.createDataFrame([], "node bigint, near bigint"), True, 0.98, 100_000)[2] == 120
+    half = spark.createDataFrame([(i, 1) for i in range(60)], "node bigint, near bigint")
+    assert near_vectors.audit(nodes, half, True) == 0.5
+
+
+def test_sort_orders_grow_with_the_nodes_of_a_label():
+    assert near_vectors._tables(100) == near_vectors.TABLES < near_vectors._tables(10_000) < near_vectors._tables(10_000_000)
+
+
 def test_vector_query(spark, small):
     check_vectors(spark.read.parquet(f"{small}/embeddings.parquet").collect(), op3_nn_descent(spark, small).collect())
 

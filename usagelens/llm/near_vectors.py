@@ -5,9 +5,10 @@ to each other when sorted by random-hyperplane codes. Then, round by round,
 every node's neighbours and the nodes that name it are compared with each other
 and better neighbours replace worse ones. A neighbour list that is full of links
 (cosine at least the threshold) is saturated and grows; what even a grown list
-can't hold is counted exactly, in blocks of the component. A fixed number of
-query nodes is compared with all nodes to measure recall; while it is too low,
-more codes and rounds follow.
+can't hold is counted exactly, in blocks of the component, after components with
+saturated lists have been compared with each other. Query nodes, more until
+enough of them have links, are compared with all nodes to measure recall; while
+it is too low, more codes and rounds follow, and if it stays so, an error.
 
 Cases: rows with a null label or vec_id, and vectors that are null, empty, zero
 or hold null or non-finite components, link with nothing (component_id is their
@@ -33,11 +34,15 @@ NEIGHBOURS, GROWN = 8, 24
 COMPARED = 12
 #: Sort orders of the first graph, bits of a code, nodes in a block.
 TABLES, BITS, BLOCK = 4, 48, 128
+#: More sort orders are made until a pair at the threshold misses every block with this chance; a bit agrees with chance AGREES.
+UNSEEN, AGREES = 0.001, 0.936
 LEAST_ROUNDS, MOST_ROUNDS = 2, 5
 #: Rounds go on while they add more than this share of links.
 WORTHWHILE = 0.001
-#: Query nodes of the audit, the recall it asks for, and how often more is searched.
-AUDITED, RECALL, MORE_SEARCHES = 256, 0.99, 2
+#: Query nodes of the audit at first and at most, how many of them shall have links, the recall it asks for, and how often more is searched.
+AUDITED, MOST_AUDITED, LINKED, RECALL, MORE_SEARCHES = 256, 65_536, 256, 0.99, 6
+#: Query nodes that are compared with a batch at once.
+QUERIES_AT_ONCE = 512
 #: Members of a component that are compared with each other in one task at a time.
 MEMBERS = 256
 
@@ -56,7 +61,13 @@ def _lists(nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, sizes: np.ndarr
     return pa.RecordBatch.from_arrays(columns, names=["node", "ids", "sims"])
 
 
-def _first_lists(nodes: DataFrame, double: bool, seed: int, threshold: float) -> DataFrame:
+def _tables(most: int) -> int:
+    """Sort orders for labels of at most so many nodes."""
+    met = AGREES ** max(0.0, np.log2(max(most, 1) / BLOCK))
+    return TABLES if met >= 1 else max(TABLES, int(np.ceil(np.log(UNSEEN) / np.log1p(-met))))
+
+
+def _first_lists(nodes: DataFrame, double: bool, seed: int, tables: int) -> DataFrame:
     """Neighbour lists from blocks of nodes with like codes, one list a node and sort order."""
 
     def code(batches):
@@ -69,8 +80,8 @@ def _first_lists(nodes: DataFrame, double: bool, seed: int, threshold: float) ->
                 part = batch.filter(pa.array(dims == d))
                 x = _unit(part.column(3), double)
                 if d not in planes:
-                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((TABLES, x.shape[1], BITS))
-                for t in range(TABLES):
+                    planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((tables, x.shape[1], BITS))
+                for t in range(tables):
                     codes = ((x @ planes[d][t]) > 0) @ (1 << np.arange(BITS, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(x), t)), part.column(1), part.column(2), pa.array(codes), part.column(0), part.column(3)],
@@ -279,8 +290,18 @@ def _crossing(nodes: DataFrame, graph: DataFrame, membership: DataFrame, double:
 
 
 def audit(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float = THRESHOLD) -> float:
-    """The share of true links, of a fixed number of query nodes against all nodes, that were counted."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "label", "dim", "vec").collect()
+    """The share of true links, of query nodes against all nodes, that were counted. There are more queries until enough have links."""
+    asked = AUDITED
+    while True:
+        true, found, linked, queries = _audited(nodes, counted, double, threshold, asked)
+        if linked >= LINKED or queries < asked or asked >= MOST_AUDITED:
+            return found / true if true else 1.0
+        asked *= 4
+
+
+def _audited(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float, most: int) -> tuple[int, int, int, int]:
+    """True links, those counted, query nodes that have links, query nodes."""
+    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "label", "dim", "vec").collect()
     told = nodes.sparkSession.sparkContext.broadcast([tuple(r) for r in asked])
 
     def compare(batches):
@@ -295,15 +316,20 @@ def audit(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float =
                 mine = np.flatnonzero(of == f"{key[0]}|{key[1]}")
                 if len(mine):
                     part = batch.take(pa.array(mine))
-                    linked = (q @ _unit(part.column(3), double).T) >= threshold
-                    linked &= queries[:, None] != np.asarray(part.column(0))[None, :]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(queries), pa.array(linked @ np.asarray(part.column(4)))], names=["node", "true"]
-                    )
+                    x = _unit(part.column(3), double)
+                    for at in range(0, len(queries), QUERIES_AT_ONCE):
+                        some = queries[at : at + QUERIES_AT_ONCE]
+                        linked = (q[at : at + QUERIES_AT_ONCE] @ x.T) >= threshold
+                        linked &= some[:, None] != np.asarray(part.column(0))[None, :]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(some), pa.array(linked @ np.asarray(part.column(4)))], names=["node", "true"]
+                        )
 
     exact = nodes.select("node", "label", "dim", "vec", "copies").mapInArrow(compare, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
-    row = exact.join(counted, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("near", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    row = exact.join(counted, "node", "left").agg(
+        F.sum("true"), F.sum(F.least("true", F.coalesce("near", F.lit(0)))), F.count_if(F.col("true") > 0)
+    ).first()
+    return row[0] or 0, row[1] or 0, row[2] or 0, len(asked)
 
 
 def near_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -334,10 +360,12 @@ def near_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     kind = dict(rows.dtypes)["label"]
     nodes = cut(alike.mapInArrow(pack, f"label {kind}, h1 bigint, h2 bigint, node bigint, copies bigint, dim int, vec binary"))
-    graph = cut(_merged(_first_lists(nodes, double, 1, threshold), threshold, NEIGHBOURS, GROWN))
+    most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    tables = _tables(most)
+    graph = cut(_merged(_first_lists(nodes, double, 1, tables), threshold, NEIGHBOURS, GROWN))
     for search in range(1 + MORE_SEARCHES):
         if search:
-            graph = cut(_merged(graph.union(_first_lists(nodes, double, 1 + search, threshold)), threshold, NEIGHBOURS, GROWN))
+            graph = cut(_merged(graph.union(_first_lists(nodes, double, 1 + search, tables)), threshold, NEIGHBOURS, GROWN))
         before = _link_count(graph, threshold)
         for turn in range(MOST_ROUNDS):
             graph = cut(_merged(graph.union(_round(nodes, graph, double, threshold)), threshold, NEIGHBOURS, GROWN))
@@ -351,8 +379,11 @@ def near_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not crossing.isEmpty():
             membership = cut(components(links.union(crossing)))
         counted = cut(_counted(nodes, membership, double, threshold))
-        if audit(nodes, counted, double, threshold) >= RECALL:
+        recall = audit(nodes, counted, double, threshold)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"near links: recall {recall:.4f} is below {RECALL} after {1 + MORE_SEARCHES} searches")
     placed = (
         nodes.select("label", "h1", "h2", "node", "copies")
         .join(membership, "node", "left").join(counted, "node", "left")
