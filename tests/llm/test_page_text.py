@@ -59,6 +59,12 @@ def test_markup_is_read_as_told(trees):
     assert page_text.extract([source], trees) == [f"A & B title\n{line} x < y z bold\n{line}\n{line}"]
 
 
+def test_skipped_elements_without_end_tag_leave_the_page():
+    pages = Pages()
+    pages.add("<p>a<svg class=x /> b<math/></p><p>c<svg><text>no</text></svg></p><noscript><object><canvas><p>d</p><script>no <p>no</p>")
+    assert pages.run_text == ["a b", "c", "d"]
+
+
 def test_odd_and_no_pages(spark, trees):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "<p"), (5, "u", "</div></p>"), (6, "u", "<a b='c>" * 50), (None, "u", "<script>never closed"), (7, "u", "<div>" * 3000 + "x"), (7, "u", "<!--")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string")

@@ -14,6 +14,8 @@ import numpy as np
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style title noscript template textarea svg iframe select option object canvas math".split())
+#: Of these everything up to the end tag is text, and the rest of the page if there is none.
+RAW = frozenset("script style textarea title".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head button legend label".split()
@@ -94,6 +96,7 @@ class Pages:
         pieces: list[str] = []
         state = [0, 0, 0]  # links open, linked characters, inline tags of the run
         at = 0
+        unended: set[str] = set()  # skipped tags that have no end tag from here on
 
         def end_run() -> None:
             text = " ".join(html.unescape("".join(pieces)).split()) if pieces else ""
@@ -133,8 +136,14 @@ class Pages:
                     close_to(depth)
                 continue
             if tag in SKIPPED:
-                found = _END[tag].search(source, at)
-                at = found.end() if found else len(source)
+                closed = tag in ("svg", "math") and (m.group(3) or m.group(6) or "").rstrip().endswith("/")
+                found = None if closed or tag in unended else _END[tag].search(source, at)
+                if found:
+                    at = found.end()
+                elif tag in RAW:
+                    at = len(source)
+                elif not closed:
+                    unended.add(tag)
                 pieces.append(" ")
                 continue
             if tag in VOID:
