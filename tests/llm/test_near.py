@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -120,13 +121,66 @@ def test_texts_are_linked_whatever_the_smallest_of_their_bucket_is(spark):
     texts |= {i + 1000: replaced(rng, texts[i], set(rng.sample(range(len(texts[i])), len(texts[i]) // 6))) for i in range(100, 700, 7)}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
     bucket = lambda i: 1 if i < 10 else 2 if i < 100 else 3
-    rows = spark.createDataFrame([(bucket(i), i) for i in texts], "key bigint, doc_id bigint")
-    nodes = near_text.sketch_documents(docs).select("doc_id", "words", "counts")
-    found = {r.node: r.component for r in components(near_text.linked(rows, nodes, docs)).collect()}
+    rows = spark.createDataFrame([(bucket(i), i) for i in texts], "key bigint, node bigint")
+    nodes = near_text.sketch_documents(docs).selectExpr("doc_id AS node", "words", "counts")
+    found = {r.node: r.component for r in components(near_text.linked(rows, nodes, docs.withColumnRenamed("doc_id", "node"))).collect()}
     links = [(a, b) for a, x in texts.items() for b, y in texts.items() if a < b and bucket(a) == bucket(b) and near_text.similar(x, y)]
     assert {i: found.get(i, i) for i in texts} == roots(texts, links) and (2, 3) in links and (1, 2) not in links and (12, 13) in links and (10, 13) not in links
 
 
+def test_long_texts_are_aligned_between_anchors():
+    rng = random.Random(11)
+    for share in (0.02, 0.1, 0.15, 0.25):
+        a = [f"w{int(rng.paretovariate(0.6))}" for _ in range(900)]
+        b = []
+        for w in a:
+            turn = rng.random()
+            b += [] if turn < share / 3 else [w, "new"] if turn < 2 * share / 3 else ["other"] if turn < share else [w]
+        least = near_text.edit_distance_within(a, b, 900)
+        assert least <= near_text.anchored_distance(a, b, 900) <= 1.3 * least + 5
+        assert near_text.similar(a, b) == (least <= 0.2 * max(len(a), len(b)))
+    a = [f"w{rng.randrange(3000)}" for _ in range(200_000)]
+    b = [w if rng.random() > 0.12 else f"x{rng.randrange(3000)}" for w in a]
+    began = time.time()
+    assert near_text.similar(a, b) and not near_text.similar(a, a[::-1][:170_000] + b[:1000])
+    assert time.time() - began < 60
+
+
+def test_rows_with_equal_ids_and_other_texts_stay_apart(spark):
+    new = lambda seed: " ".join(f"w{random.Random(seed + i).randrange(10**6)}" for i in range(40))
+    a, b, c, d = (new(1000 * k) for k in range(1, 5))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (4, c + " more"), (5, d + " more"), (3, b + " end")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.text) for r in near_text.deduplicate(table).collect())
+    assert found == sorted([(1, a), (2, b), (3, c), (3, d)])
+    told = [(r.doc_id, r.class_id, r.kept) for r in near_text.classes(table).collect()]
+    assert sorted(told) == sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True), (3, 3, True), (4, 3, False), (5, 3, False), (3, 2, False)])
+
+
+def test_hubs_and_hot_keys_give_the_same_classes(spark, monkeypatch):
+    """A third of all texts are near one text; hubs are dealt to several tasks and hot keys take no shuffle."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(replaced(rng, base, {rng.randrange(60), rng.randrange(60)}))) for i in range(120)]
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))) for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = sorted(near_text.classes(table).collect())
+    monkeypatch.setattr(near_text, "PARTNERS", 7)
+    monkeypatch.setattr(near_text, "HOT_ROWS", 8)
+    monkeypatch.setattr(near_text, "HOT_SAMPLE", 2)
+    sketched = near_text.sketch_documents(table)
+    assert near_text.hot_keys(sketched) and sorted(near_text.classes(table).collect()) == plain
+    assert {r.class_id for r in plain if r.doc_id < 120} == {0} and all(r.kept for r in plain if r.doc_id >= 1000)
+
+
+def test_audit_counts_pairs_that_were_missed(spark):
+    base = [f"w{i}" for i in range(50)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(12)], "node bigint, text string")
+    nodes = near_text.sketch_documents(docs.withColumnRenamed("node", "doc_id")).selectExpr("doc_id AS node", "words", "counts")
+    merged = spark.createDataFrame([(i, 0) for i in range(6)], "node bigint, component bigint")
+    assert near_text.audit(nodes, docs, merged) == (66, 15)
+
+
 def test_text_classes_of_odd_and_no_documents(odd_documents, no_documents):
     rows = near_text.classes(odd_documents).collect()
     assert len(rows) == odd_documents.count()

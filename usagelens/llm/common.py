@@ -19,12 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set only where the session has none."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where the session has none, a local session gets a temporary folder and a
+    cluster one beside its warehouse, which executors share too.
+    """
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir")
     if where is None:
         found = context._jsc.sc().getCheckpointDir()
-        where = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="usagelens-")
+        if found.isDefined():
+            where = found.get()
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            where = "file://" + tempfile.mkdtemp(prefix="usagelens-")
+        else:
+            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
         if not found.isDefined():
             context.setCheckpointDir(where)
     return where.rstrip("/")
@@ -35,6 +44,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a fresh path and is not read any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with marks behind it until no column has it in any case."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

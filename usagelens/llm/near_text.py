@@ -10,18 +10,23 @@ then all pairs of a bucket that no links connect are compared, unless their word
 counts alone tell that they differ too much. A pair is a link when
 its edit similarity over words, 1 - distance / longer length, is at least 0.8 by
 an alignment in a band. A class is what links connect; equal texts are one node.
+A document that many pairs share is sent once to each of several tasks, each with
+some of its partners. In the end some texts are compared with all others, and a
+recall below LEAST_RECALL is an error.
 
 Cases: texts that are null or without a visible character link with nothing;
 texts without a word character are compared as one word, as they stand; a null
 doc_id gets a null class and is kept; rows with equal ids and texts have one
 class; rows with equal ids and other texts are classed by their texts; ties go
 to the smallest doc_id; an empty table gives no rows; other columns are ignored.
+Very long texts are aligned between runs of words that both have once.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import Memo, cut, groups, kept_in_worker, map_texts
+from usagelens.llm.common import Memo, cut, free_name, groups, kept_in_worker, map_texts, slices
 from usagelens.llm.graph import components
 
 SIMILARITY = 0.8
@@ -42,6 +47,14 @@ SHORT_TEXT, SHORT_MINIMA, SHORT_KEYS, ONE_EDIT = 24, 32, 32, 10
 SMALLEST_ROUNDS = 2
 #: Bins of the word counts that bound an edit distance from below, and texts of a bucket that meet in one group.
 BINS, BLOCK = 128, 256
+#: A document with more partners than this is sent to several tasks; hubs are broadcast up to so many.
+PARTNERS, MOST_BROADCAST = 128, 100_000
+#: Keys of about more rows than this are found in a sample of one node in HOT_SAMPLE; they need no shuffle to be known as shared.
+HOT_ROWS, HOT_SAMPLE, MOST_HOT = 65_536, 256, 1000
+#: Texts that are compared with all others in the end, the recall asked for, and how many true pairs that takes.
+AUDITED, LEAST_RECALL, LEAST_TRUE = 64, 0.9, 20
+#: Texts from this many words on are first aligned between runs of so many words that both have once.
+ANCHORED, ANCHOR = 512, 3
 MEMO_WORDS = 300_000
 #: Hash values of all sketches that are held at once, in one text.
 HASHES_AT_ONCE = 1 << 21
@@ -108,17 +121,68 @@ def edit_distance_within(a: list, b: list, most: int) -> int:
     return distance if distance <= most else most + 1
 
 
+def _places_once(words: list) -> dict:
+    """Where each run of ANCHOR words stands that occurs once."""
+    runs = list(zip(*(words[i:] for i in range(ANCHOR))))
+    at = dict(zip(runs, range(len(runs))))
+    many = Counter(runs)
+    return {run: i for run, i in at.items() if many[run] == 1}
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of runs that both have once, the longest chain that ascends in both."""
+    in_b = _places_once(b)
+    both = [(i, in_b[run]) for run, i in sorted(_places_once(a).items(), key=lambda x: x[1]) if run in in_b]
+    ends: list[int] = []
+    chosen: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(both):
+        at = bisect_left(ends, j)
+        before.append(chosen[at - 1] if at else -1)
+        ends[at : at + 1], chosen[at : at + 1] = [j], [k]
+    chain, k = [], chosen[-1] if chosen else -1
+    while k >= 0:
+        chain.append(both[k])
+        k = before[k]
+    return chain[::-1]
+
+
+def anchored_distance(a: list, b: list, most: int) -> int:
+    """An edit distance that anchors allow, never below the least one: the gaps between them are aligned each. Above most it may stop early."""
+    total = at_a = at_b = 0
+    for i, j in [*_anchors(a, b), (len(a), len(b))]:
+        if i < at_a or j < at_b:  # reaches into the run before
+            continue
+        gap_a, gap_b = a[at_a:i], b[at_b:j]
+        if gap_a or gap_b:
+            total += edit_distance_within(gap_a, gap_b, min(max(len(gap_a), len(gap_b)), most - total + 1))
+        if total > most:
+            return total
+        at_a, at_b = i + ANCHOR, j + ANCHOR
+    return total
+
+
 def similar(a: list, b: list, least: float = SIMILARITY) -> bool:
-    """Whether 1 - distance / longer length is at least `least`; narrow bands are tried first."""
+    """Whether 1 - distance / longer length is at least `least`.
+
+    Narrow bands come first. Then what words both have bounds the distance from
+    below, and in long texts an alignment between anchors from above; only where
+    the bounds leave it open the whole band is filled.
+    """
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
     band = min(most, 16)
-    while True:
+    if edit_distance_within(a, b, band) <= band:
+        return True
+    if band >= most or (Counter(a) & Counter(b)).total() < longer - most:
+        return False
+    if longer >= ANCHORED and anchored_distance(a, b, most) <= most:
+        return True
+    while band < most:
+        band = min(most, band * 4)
         if edit_distance_within(a, b, band) <= band:
             return True
-        if band >= most or band == 16 and (Counter(a) & Counter(b)).total() < longer - most:
-            return False
-        band = min(most, band * 4)
+    return False
 
 
 class Sketcher:
@@ -200,8 +264,14 @@ def _occurrence(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, two hashes of the text (t1, t2) that tell a row's text within its id, and text."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+
+
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the words), words (their number), counts and keys of every row with an id and a text that is not blank."""
+    """doc_id, t1, t2, digest (of the words), words (their number), counts and keys of every row with an id and a text that is not blank."""
 
     def make():
         import xxhash
@@ -209,12 +279,14 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
         sketcher = kept_in_worker(("near_text",), Sketcher)
 
         def work(rows):
-            out = {"doc_id": [], "digest": [], "words": [], "counts": [], "keys": []}
-            for doc_id, text in rows:
+            out = {n: [] for n in ("doc_id", "t1", "t2", "digest", "words", "counts", "keys")}
+            for doc_id, t1, t2, text in rows:
                 if words := words_of(text):
                     hashes = sketcher.hashes(words)
                     keys, counts = sketcher.sketch(hashes)
                     out["doc_id"].append(doc_id)
+                    out["t1"].append(t1)
+                    out["t2"].append(t2)
                     out["digest"].append(xxhash.xxh3_128_digest(hashes.tobytes()))
                     out["words"].append(len(words))
                     out["counts"].append(counts)
@@ -223,12 +295,42 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
         return work
 
-    kept = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return map_texts(kept, make, "doc_id bigint, digest binary, words int, counts binary, keys array<bigint>")
+    kept = _keyed(docs.where(F.col("doc_id").isNotNull()))
+    return map_texts(kept, make, "doc_id bigint, t1 bigint, t2 bigint, digest binary, words int, counts binary, keys array<bigint>")
+
 
+def text_nodes(sketched: DataFrame) -> DataFrame:
+    """One row a digest: node, its smallest doc_id and that row's t1 and t2, words and counts.
+
+    A node's number is that doc_id. Where several digests share it, the others get
+    numbers below zero made from their digests.
+    """
+    least = cut(sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "t1", "t2", "words", "counts")).alias("n")).select("digest", "n.*"))
+    shared = least.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    own = -F.lit(1) - F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1))
+    node = F.when(F.col("first").isNull() | (F.col("first") == F.col("digest")), F.col("doc_id")).otherwise(own)
+    return least.join(shared, "doc_id", "left").select(node.alias("node"), "digest", "doc_id", "t1", "t2", "words", "counts")
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """key and doc_id of all buckets that several documents share, from one shuffle. nodes: doc_id, keys."""
+
+def node_texts(docs: DataFrame, sketched: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of (at least) every node, once."""
+    rows = _keyed(docs.where(F.col("doc_id").isNotNull()))
+    if sketched.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
+        return rows.select(F.col("doc_id").alias("node"), "text")  # a row is told by its id
+    keys = ["doc_id", "t1", "t2"]
+    return cut(rows.join(nodes.select("node", *keys), keys).groupBy(*keys, "node").agg(F.first("text").alias("text")).select("node", "text"))
+
+
+def hot_keys(sketched: DataFrame) -> list[int]:
+    """Keys that very many texts seem to share; a text counts once. A bounded list that only saves work."""
+    some = sketched.where(F.pmod(F.xxhash64("digest"), F.lit(HOT_SAMPLE)) == 0).groupBy("digest").agg(F.first("keys").alias("keys"))
+    found = some.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").count()
+    told = found.where(F.col("count") >= max(2, HOT_ROWS // HOT_SAMPLE)).orderBy(F.desc("count"), "key").limit(MOST_HOT)
+    return [r["key"] for r in told.collect()]
+
+
+def bucket_rows(nodes: DataFrame, hot: list[int] = ()) -> DataFrame:
+    """key and node of all buckets that several nodes share, from one shuffle. nodes: node, keys; rows of hot keys stay where they are."""
 
     def several(batches):
         held = None  # the last row, and whether its key has been told already
@@ -243,132 +345,206 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
             shared = np.append(told, same) | np.append(same, False)
             held = key[-1:], node[-1:], bool(shared[-1])
             if shared[:-1].any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][shared[:-1]]), pa.array(node[:-1][shared[:-1]])], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][shared[:-1]]), pa.array(node[:-1][shared[:-1]])], names=["key", "node"])
         if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["key", "node"])
 
-    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "doc_id")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key bigint, doc_id bigint")
+    rows = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
+    listed = F.broadcast(nodes.sparkSession.createDataFrame([(k,) for k in hot], "key bigint"))
+    dealt = rows.join(listed, "key", "left_anti") if hot else rows
+    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key bigint, node bigint")
+    return found.union(rows.join(listed, "key", "left_semi").select("key", "node")) if hot else found
 
 
 def smallest_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of documents of a bucket with a as the smallest. rows: key, doc_id."""
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("a"))
-    return rows.join(first, "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    """Distinct pairs (a < b) of nodes of a bucket with a as the smallest. rows: key, node."""
+    first = rows.groupBy("key").agg(F.min("node").alias("a"))
+    return rows.join(first, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
 
 
 def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """key, doc_id and component of rows."""
-    merged = components(links)
-    return rows.join(merged, rows["doc_id"] == merged["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    """key, node and component of rows."""
+    merged = components(links).withColumnRenamed("node", "member")
+    return rows.join(merged, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
 
 
 def _apart_from_smallest(placed: DataFrame) -> DataFrame:
-    """The rows whose component isn't that of their bucket's smallest document."""
-    first = placed.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("f")).select("key", F.col("f.component").alias("of"))
-    return placed.join(first, "key").where("component <> of").select("key", "doc_id")
+    """The rows whose component isn't that of their bucket's smallest node."""
+    first = placed.groupBy("key").agg(F.min(F.struct("node", "component")).alias("f")).select("key", F.col("f.component").alias("of"))
+    return placed.join(first, "key").where("component <> of").select("key", "node")
 
 
 def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs of documents of a bucket that are in different components and may be similar by their word counts.
+    """All pairs of nodes of a bucket that are in different components and may be similar by their word counts.
 
     A bucket is told apart by length, as similar texts are in one class of lengths
-    or in two next to each other, and then dealt in blocks; every pair of blocks is
-    one bounded group.
+    or in two next to each other. Nodes outside its largest component (strays) meet
+    all others: both sides are dealt in blocks, and a pair of blocks is one bounded group.
     """
     several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
     size = F.floor(F.log("words") / -math.log(SIMILARITY) + 1e-9).cast("int")
-    rows = placed.join(several, "key").join(nodes.select("doc_id", "words", "counts"), "doc_id").withColumn("own", size)
-    rows = rows.withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    dealt = rows.groupBy("key", "size").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("component").alias("c"), F.max("component").alias("d"), F.min("own").alias("least")
+    rows = placed.join(several, "key").join(nodes.select("node", "words", "counts"), "node").withColumn("own", size)
+    rows = cut(rows.withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))))
+    parts = rows.groupBy("key", "size", "component").agg(F.count(F.lit(1)).alias("many"), F.min("own").alias("least"))
+    dealt = parts.groupBy("key", "size").agg(
+        F.max(F.struct("many", "component")).alias("largest"), F.sum("many").alias("all"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least")
     )
-    dealt = dealt.where("c < d and least = size").select("key", "size", "blocks")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    pairs = rows.join(dealt, ["key", "size"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["key", "size", "i", "j"]
-    grouped = pairs.select(
-        "key", "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "words", "counts"
+    blocks = lambda many: F.ceil(many / BLOCK).cast("int")
+    dealt = dealt.where("parts > 1 and least = size").select(
+        "key", "size", F.col("largest.component").alias("main"), blocks(F.col("all") - F.col("largest.many")).alias("strays"), blocks(F.col("all")).alias("blocks")
+    )
+    known = rows.join(dealt, ["key", "size"])
+    spread = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
+    told = ("component", "node", "words", "counts")
+    stray = known.where("component <> main").select(
+        "key", "size", F.pmod(F.xxhash64("node"), F.col("strays")).cast("int").alias("i"), spread("blocks").alias("j"), F.lit(0).alias("side"), *told
+    )
+    every = known.select(
+        "key", "size", spread("strays").alias("i"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), *told
     )
+    keys = ["key", "size", "i", "j"]
 
     def compare(batches):
         for group in groups(batches, 4):
-            ids, part = np.asarray(group["doc_id"]), np.asarray(group["component"])
-            if (part == part[0]).all():
-                continue
-            words, block = np.asarray(group["words"]), np.asarray(group["block"])
-            counts = np.frombuffer(b"".join(group["counts"].to_pylist()), dtype=np.uint8).reshape(len(ids), BINS).astype(np.int16)
-            whole = group["i"][0].as_py() == group["j"][0].as_py()
+            side = np.asarray(group["side"])
+            ids, part, words = np.asarray(group["node"]), np.asarray(group["component"]), np.asarray(group["words"])
+            counts = _bins(group["counts"])
+            rest = np.flatnonzero(side == 1)
             a, b = [], []
-            for k in range(len(ids) - 1):
-                rest = k + 1 + np.flatnonzero((part[k + 1 :] != part[k]) & (whole | (block[k + 1 :] != block[k])))
-                most = ((1 - SIMILARITY) * np.maximum(words[rest], words[k]) + 1e-9).astype(np.int64)
-                rest = rest[(close := np.abs(words[rest] - words[k]) <= most)]
-                if len(rest):
-                    more = counts[rest] - counts[k]
-                    lost = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-                    rest = rest[lost <= most[close]]
-                    a.append(np.minimum(ids[rest], ids[k]))
-                    b.append(np.maximum(ids[rest], ids[k]))
-            if a:
+            for k in np.flatnonzero(side == 0):
+                met = rest[part[rest] != part[k]]
+                met = met[_may_be_similar(words[k], counts[k], words[met], counts[met])]
+                a.append(np.minimum(ids[met], ids[k]))
+                b.append(np.maximum(ids[met], ids[k]))
+            if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return grouped.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return stray.union(every).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def linked(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all similar documents that share a bucket. rows: key, doc_id; nodes: doc_id, words, counts."""
+def _bins(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def _may_be_similar(words, counts, other_words, other_counts) -> np.ndarray:
+    """Whether numbers of words, in all and a bin, leave it open that one text is similar to others."""
+    most = ((1 - SIMILARITY) * np.maximum(other_words, words) + 1e-9).astype(np.int64)
+    close = np.abs(other_words.astype(np.int64) - words) <= most
+    more = other_counts[close] - counts
+    lost = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+    close[close] = lost <= most[close]
+    return close
+
+
+def linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all similar nodes that share a bucket. rows: key, node; nodes: node, words, counts; texts: node, text."""
     links, apart = None, rows
     for _ in range(SMALLEST_ROUNDS):
-        found = verified(smallest_pairs(apart), docs)
+        found = verified(smallest_pairs(apart), texts)
         links = cut(found if links is None else links.union(found))
         placed = cut(_placed(rows, links))
         apart = _apart_from_smallest(placed)
-    return cut(links.union(verified(crossing_pairs(placed, nodes), docs)))
+    return cut(links.union(verified(crossing_pairs(placed, nodes), texts)))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts are similar."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
+def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b: nodes) whose texts are similar.
 
-    def make():
-        def work(rows):
-            out = {"a": [], "b": []}
-            for a, b, text_a, text_b in rows:
-                if similar(words_of(text_a), words_of(text_b), least):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            return out
+    One join fetches all texts. Then each pair is one row with b's text, and a's
+    text comes once before up to about PARTNERS of them: a node with more
+    partners is dealt to several groups.
+    """
+    pairs = cut(pairs)
+    hubs = cut(pairs.groupBy("a").count().where(F.col("count") > PARTNERS).select("a", F.ceil(F.col("count") / PARTNERS).cast("int").alias("parts")))
+    dealt = pairs.join(F.broadcast(hubs) if hubs.count() <= MOST_BROADCAST else hubs, "a", "left")
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
+    first = dealt.select(F.col("a").alias("node"), "a", "part").distinct().select("node", "a", "part", F.lit(0).alias("turn"))
+    others = dealt.select(F.col("b").alias("node"), "a", "part", F.lit(1).alias("turn"))
+    rows = first.union(others).join(texts.select("node", "text"), "node").select("a", "part", "turn", "node", "text")
 
-        return work
+    def compare(batches):
+        leader, words = None, []
+        for batch in batches:
+            for some in slices(batch, 1 << 20):
+                out_a, out_b = [], []
+                for a, part, turn, node, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    if not turn:
+                        leader, words = (a, part), words_of(text)
+                    elif leader == (a, part) and similar(words, words_of(text), least):
+                        out_a.append(a)
+                        out_b.append(node)
+                if out_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    order = ["a", "part", "turn", "node"]
+    return rows.repartition("a", "part").sortWithinPartitions(*order).mapInArrow(compare, "a bigint, b bigint")
+
+
+def audit(nodes: DataFrame, texts: DataFrame, merged: DataFrame, most: int = AUDITED) -> tuple[int, int]:
+    """True pairs of some nodes with all nodes, by comparison with every node, and how many of them are in one class."""
+    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "words", "counts").collect()
+    told = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["words"], bytes(r["counts"])) for r in asked])
+
+    def near(batches):
+        queries = [(n, w, np.frombuffer(c, dtype=np.uint8).astype(np.int16)) for n, w, c in told.value]
+        for batch in batches:
+            if batch.num_rows:
+                ids, words, counts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _bins(batch.column(2))
+                for node, own, bins in queries:
+                    met = ids[_may_be_similar(own, bins, words, counts)]
+                    met = met[met != node]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(met, node)), pa.array(np.maximum(met, node))], names=["a", "b"])
 
-    return map_texts(both.select("a", "b", "text_a", "text_b"), make, "a bigint, b bigint")
+    true = verified(nodes.select("node", "words", "counts").mapInArrow(near, "a bigint, b bigint").distinct(), texts)
+    of = lambda n: merged.select(F.col("node").alias(n), F.col("component").alias(f"of_{n}"))
+    row = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count(F.lit(1)), F.count_if(F.col("of_a") == F.col("of_b"))).first()
+    return row[0], row[1]
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of the class) and kept (whether that is the row's own) of every row."""
+def _classed(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, class_id and kept of every row with an id and a text that is not blank."""
     sketched = cut(sketch_documents(docs))
-    least = lambda *columns: sketched.groupBy("digest").agg(F.min(F.struct(*columns)).alias("n")).select("digest", "n.*")
-    rows = cut(bucket_rows(least("doc_id", "keys")))
-    nodes = cut(least("doc_id", "words", "counts"))
-    merged = components(linked(rows, nodes, docs))
-    of_text = nodes.join(merged, nodes["doc_id"] == merged["node"], "left").select(
-        "digest", F.coalesce("component", "doc_id").alias("class_id")
-    )
-    found = sketched.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id")
+    nodes = cut(text_nodes(sketched))
+    texts = node_texts(docs, sketched, nodes)
+    keys = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("n")).select("digest", "n.keys")
+    rows = cut(bucket_rows(keys.join(nodes.select("digest", "node"), "digest").select("node", "keys"), hot_keys(sketched)))
+    merged = cut(components(linked(rows, nodes, texts)))
+    true, found = audit(nodes, texts, merged)
+    if true >= LEAST_TRUE and found < LEAST_RECALL * true:
+        raise RuntimeError(f"near texts: {found} of {true} audited pairs are in one class, fewer than {LEAST_RECALL}")
+    placed = nodes.join(merged, "node", "left").select("digest", "node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("l")).select("component", "l.doc_id", F.col("l.digest").alias("first"))
+    of_text = placed.select("digest", "component").join(least.withColumnRenamed("doc_id", "class_id"), "component").select("digest", "class_id", "first")
+    kept = (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("first"))
+    return sketched.select("doc_id", "t1", "t2", "digest").join(of_text, "digest").select("doc_id", "t1", "t2", "class_id", kept.alias("kept"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of the class) and kept (whether the row has that id and its text) of every row."""
     blank = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)\S"))
-    alone = blank.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").cast("bigint").alias("class_id"))
-    every = found.union(alone)
-    return every.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    own = F.col("doc_id").cast("bigint")
+    alone = blank.select(own.alias("doc_id"), own.alias("class_id"), F.lit(True).alias("kept"))
+    return _classed(docs).select("doc_id", "class_id", "kept").union(alone)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, one for each class, with all their columns."""
-    decided = cut(classes(docs))
-    gone = decided.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = decided.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.where("doc_id is null").union(left.where("doc_id is not null").dropDuplicates(["doc_id"])) if repeated else left
+    """The rows of docs that are kept, one for each class, with all their columns.
+
+    A row is told by its id and text. Rows equal in both are one; rows without an id
+    or with a blank text all stay.
+    """
+    decided = cut(_classed(docs))
+    keys = ["doc_id", "t1", "t2"]
+    text = F.col("text").cast("string")
+    told = [F.col("doc_id").cast("bigint"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    names = [free_name(n, docs.columns) for n in ("_d", "_t", "_u")]
+    rows = docs.select(*columns, *[t.alias(n) for t, n in zip(told, names, strict=True)])
+    named = lambda df: df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
+    left = rows.join(named(decided.where("not kept")).distinct(), names, "left_anti")
+    repeated = cut(named(decided.where("kept").groupBy(*keys).count().where("count > 1")))
+    if not repeated.isEmpty():
+        left = left.join(repeated, names, "left_anti").select(*columns, *names).union(
+            left.join(repeated, names, "left_semi").dropDuplicates(names).select(*columns, *names)
+        )
+    return left.select(*columns)
