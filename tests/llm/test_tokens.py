@@ -59,14 +59,14 @@ def test_byte_bpe_of_odd_and_no_documents(odd_documents, no_documents, encoding)
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_word_encoder_gives_the_librarys_ids(tokenizer):
     encoder = orc_tokens.WordEncoder(tokenizer.to_str())
-    texts = [*random_texts(), "<|endoftext|> x", "İstanbul ǅ", "Don't ..., stop. _a, b"]
+    texts = [*random_texts(), "İstanbul ǅ", "Don't ..., stop. _a, b"]
+    for mark in ("<|endoftext|>", "<|startoftext|>"):
+        texts += [mark, f"{mark} x", f"pre {mark} post", f"pre{mark}post.", f"a {mark}{mark} b {mark}", f"A{mark.upper()}b {mark.title()}", f"{mark[:-1]} {mark[1:]}", f"é{mark}é, {mark}"]
     for _ in range(2):  # the second time from the memo
         ids, counts = encoder.encode(texts)
         parts = np.split(ids, np.cumsum(counts)[:-1])
@@ -92,6 +92,23 @@ def test_orc_of_odd_and_no_documents(odd_documents, no_documents, tokenizer):
     assert orc_tokens.token_files(no_documents).count() == 0
 
 
+def test_rows_of_one_id_fill_several_files(spark, tokenizer, tmp_path):
+    rows = spark.createDataFrame([(5, f"text {i % 40}") for i in range(400)] + [(None, "x")] * 50 + [(9, None), (1, "<|endoftext|>")], "doc_id bigint, text string")
+    path = f"file://{tmp_path}/orc"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        orc_tokens.write_orc(rows, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = orc_tokens.read_orc(spark, path)
+    assert read.where("doc_id = 5").select("file").distinct().count() > 1
+    found = sorted(orc_tokens.digest(read).join(orc_tokens.file_starts(read), "file").selectExpr("file_start + start_in_file AS start", "doc_id", "n_tokens").collect())
+    assert [r.doc_id for r in found] == [None] * 50 + [1] + [5] * 400 + [9]
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    want = sorted(len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in rows.collect())
+    assert sorted(r.n_tokens for r in found) == want
+
+
 def test_orc_files_are_sorted_and_prunable(spark, small, tmp_path):
     path = f"file://{tmp_path}/orc"
     orc_tokens.write_orc(spark.read.parquet(f"{small}/documents.parquet"), path)

@@ -7,8 +7,10 @@ its start within its file, so the start in the whole corpus needs one running
 sum over files, not over documents.
 
 Cases: a null text is an empty text, encoded as the end id alone; a null
-doc_id sorts first; rows that share a doc_id stay together in one file, ordered
-by text; an empty table gives no rows; other columns are ignored.
+doc_id sorts first; rows that share a doc_id stay together, in neighbouring files
+if they are many, ordered by a hash of the text; an empty table gives no rows;
+other columns are ignored. Added tokens of the tokenizer that stand in a text are
+found as the library finds them.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        # The library finds added tokens in the text as it stands, glued to words too: such texts go to it whole.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         # Combining marks reach over letters; the separators are white space and the
@@ -120,8 +123,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and how many each text has."""
-        plain = [i for i, t in enumerate(texts) if not self.not_plain(t)]
-        lowered = [texts[i].lower() for i in plain]
+        plain, lowered = [], []
+        for i, text in enumerate(texts):
+            if not self.not_plain(text):
+                low = text.lower()
+                if not any(a in low for a in self.added):
+                    plain.append(i)
+                    lowered.append(low)
         # A lone sign between a word and a space is a part of its own.
         lowered = [t if self.signs_meet(t) else t.replace(". ", " . ").replace(", ", " , ") for t in lowered]
         split = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
@@ -167,10 +175,13 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_in_file", "n_tokens", "ids"])
 
     # Every file is one task's range, so start_in_file counts from the file's first row.
-    ordered = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    )
+    # Rows that share an id may fill several ranges, so a hash of the text and the row's number deal them too.
+    text = F.coalesce("text", F.lit(""))
+    order = ["doc_id", "hash", "row"]
+    ordered = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row")
+    )
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     encoded = ordered.mapInArrow(run, "doc_id bigint, start_in_file bigint, n_tokens bigint, ids array<int>")
     (
         encoded.write.mode("errorifexists")
