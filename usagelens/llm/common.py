@@ -89,7 +89,7 @@ def map_texts(
         for batch in batches:
             for part in slices(batch, slice_bytes):
                 out = work(list(zip(*(c.to_pylist() for c in part.columns), strict=True)))
-                arrays = [_column(out[f.name], f.type) for f in target]
+                arrays = [_column(out.get(f.name, []), f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, names)

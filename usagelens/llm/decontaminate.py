@@ -5,30 +5,37 @@ streamed through it: after each word the automaton knows the longest suffix
 read so far that occurs in some item. Where that length reaches a window of 10
 words (or a whole shorter item), the window's words are hit.
 
-Only test items, whose number and length are checked, are broadcast.
+An automaton holds about WORDS_A_PASS words of items, as flat arrays that are
+broadcast. A larger benchmark takes several passes, between which the rows and
+what was found in them are written to the shared folder; the result is the same.
 
 Cases: a null or wordless text has no words, no hits and no items; an item
 without words is left out; equal items all count; an empty benchmark leaves all
-documents clean; an empty document table gives no rows; other columns are ignored.
+documents clean; an empty document table gives no rows; other columns are
+ignored, or kept by clean. Items and documents of any length are read whole;
+rows that repeat are read each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import map_texts
+from usagelens.llm.common import cut, free_name, kept_in_worker, map_texts
 
 # Fixed value: what a word is, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
 WINDOW = 10
-#: Test items are broadcast; more words than this are refused rather than sent.
-MOST_ITEM_WORDS = 5_000_000
+#: Words of items in one automaton; longer items are split into pieces that overlap by a window less one word.
+WORDS_A_PASS = 400_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -80,36 +87,72 @@ class SuffixAutomaton:
             self.link[new] = self._split(at, word)
         return new
 
-    def match_lengths(self, sequence) -> list[int]:
-        """For each position the length of the longest suffix up to it that occurs in an item."""
-        follow, length, link = self.follow, self.length, self.link
-        state = size = 0
-        out = []
-        for word in sequence:
-            while state and word not in follow[state]:
-                state = link[state]
-                size = length[state]
-            if word in follow[state]:
-                state = follow[state][word]
-                size += 1
-            out.append(size)
-        return out
+
+class Flat:
+    """An automaton over some pieces of items as arrays, with the windows that end in each state.
+
+    first_word and first_target hold one way on from each state, more_* those of
+    states with several; owners lists the items of each window of each size.
+    """
+
+    def __init__(self, pieces: list[tuple[str, list[str]]], window: int):
+        ids: dict[str, int] = {}
+        sequences = [[ids.setdefault(w, len(ids)) for w in words] for _, words in pieces]
+        self.vocabulary = list(ids)
+        built = SuffixAutomaton(sequences)
+        self.length, self.link = np.array(built.length, dtype=np.int32), np.array(built.link, dtype=np.int32)
+        self.first_word, self.first_target = np.full(len(self.length), -1, np.int32), np.full(len(self.length), -1, np.int32)
+        more = []
+        for state, follow in enumerate(built.follow):
+            for k, (word, target) in enumerate(follow.items()):
+                if k:
+                    more.append((state << 32 | word, target))
+                else:
+                    self.first_word[state], self.first_target[state] = word, target
+        self.more = np.array(more, dtype=np.int64).reshape(-1, 2)
+        sizes = [min(window, len(seq)) for seq in sequences]
+        self.items = sorted({item for item, _ in pieces})
+        number = {item: i for i, item in enumerate(self.items)}
+        self.sizes = sorted(set(sizes))
+        self.groups, self.owners, self.edges = {}, {}, {}
+        by_length = np.argsort(self.length, kind="stable").tolist()
+        for size in self.sizes:
+            # The state that stands for the last `size` words of each state's sequences.
+            suffix = array("i", bytes(4 * len(self.length)))
+            length, link = built.length, built.link
+            for state in by_length:
+                if length[state] < size:
+                    suffix[state] = -1
+                elif length[link[state]] < size:
+                    suffix[state] = state
+                else:
+                    suffix[state] = suffix[link[state]]
+            told = set()
+            for (item, _), seq, own in zip(pieces, sequences, sizes, strict=True):
+                if own == size:
+                    state = 0
+                    for i, word in enumerate(seq):
+                        state = built.follow[state][word]
+                        if i + 1 >= size:
+                            told.add((suffix[state], number[item]))
+            pairs = np.array(sorted(told), dtype=np.int64).reshape(-1, 2)
+            states, first = np.unique(pairs[:, 0], return_index=True)
+            group = np.full(len(self.length) + 1, -1, dtype=np.int32)
+            group[states] = np.arange(len(states))
+            self.groups[size] = group[np.frombuffer(suffix, dtype=np.int32)]
+            self.owners[size], self.edges[size] = pairs[:, 1].astype(np.int32), np.append(first, len(pairs)).astype(np.int32)
 
 
 class Matcher:
-    """Finds windows of items in documents. Built once a task from the broadcast items."""
-
-    def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW):
-        self.window = window
-        self.ids: dict[str, int] = {}
-        sequences = [[self.ids.setdefault(w, len(self.ids)) for w in words] for _, words in items]
-        self.automaton = SuffixAutomaton(sequences)
-        self.windows: dict[tuple[int, ...], set[str]] = {}
-        for (item, _), seq in zip(items, sequences, strict=True):
-            size = min(window, len(seq))
-            for i in range(len(seq) - size + 1):
-                self.windows.setdefault(tuple(seq[i : i + size]), set()).add(item)
-        self.sizes = sorted({len(w) for w in self.windows})
+    """Finds windows of items in documents; kept in a worker while it is used."""
+
+    def __init__(self, flat: Flat):
+        self.flat, self.sizes = flat, flat.sizes
+        self.ids = {w: i for i, w in enumerate(flat.vocabulary)}
+        told = lambda x: array("i", x.astype(np.int32).tobytes())
+        self.length, self.link, self.first_word, self.first_target = told(flat.length), told(flat.link), told(flat.first_word), told(flat.first_target)
+        self.more = dict(flat.more.tolist())
+        self.groups = [(size, told(flat.groups[size])) for size in flat.sizes]
 
     def spans(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans [start, end) of occurring windows, and the items they belong to."""
@@ -118,40 +161,67 @@ class Matcher:
         ids = self.ids
         codes = np.array([ids.get(w, -1) for w in words], dtype=np.int64)
         # A word outside every item leaves the automaton at its root: only runs of known words need it.
-        known = np.concatenate([[0], (codes >= 0).astype(np.int8), [0]])
-        edge = np.diff(known)
+        edge = np.diff(np.concatenate([[0], (codes >= 0).astype(np.int8), [0]]))
         found: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for start, end in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            if end - start < self.sizes[0]:
-                continue
-            run = codes[start:end].tolist()
-            for i, reach in enumerate(self.automaton.match_lengths(run)):
-                for size in self.sizes:
-                    if size > reach:
+        met: set[tuple[int, int]] = set()
+        for start, end in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+            if end - start >= self.sizes[0]:
+                self._stream(codes[start:end].tolist(), start, found, met)
+        owners: set[str] = set()
+        for size, group in met:
+            edges = self.flat.edges[size]
+            owners.update(self.flat.items[i] for i in self.flat.owners[size][edges[group] : edges[group + 1]])
+        return found, owners
+
+    def _stream(self, run: list[int], start: int, found: list, met: set) -> None:
+        """Feed known words to the automaton; windows that end are added to found and met."""
+        length, link, first_word, first_target, more = self.length, self.link, self.first_word, self.first_target, self.more
+        least = self.sizes[0]
+        state = size = 0
+        for end, word in enumerate(run, start + 1):
+            while True:
+                target = first_target[state] if first_word[state] == word else more.get(state << 32 | word, -1)
+                if target >= 0 or not state:
+                    break
+                state = link[state]
+                size = length[state]
+            if target >= 0:
+                state = target
+                size += 1
+            if size >= least:
+                for window, groups in self.groups:
+                    if window > size:
                         break
-                    if owners := self.windows.get(tuple(run[i + 1 - size : i + 1])):
-                        found.append((int(start) + i + 1 - size, int(start) + i + 1))
-                        items |= owners
-        return found, items
+                    if (group := groups[state]) >= 0:
+                        found.append((end - window, end))
+                        met.add((window, group))
 
 
-def read_items(benchmark: DataFrame) -> list[tuple[str, list[str]]]:
-    """(item_id as text, words) of every item with words; refuses a benchmark beyond the bound."""
-    items, total = [], 0
+def item_pieces(benchmark: DataFrame, window: int, most: int) -> Iterator[tuple[str, list[str]]]:
+    """(item_id as text, words) of every item with words, long ones in pieces that hold all their windows."""
     for row in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
         words = words_of(row[1])
-        total += len(words)
-        if total > MOST_ITEM_WORDS:
-            raise ValueError(f"the benchmark has more than {MOST_ITEM_WORDS} words; it can't be broadcast")
-        if words:
-            items.append((row[0] if row[0] is not None else "", words))
-    return items
+        for at in range(0, max(1, len(words) - window + 1), most):
+            if piece := words[at : at + most + window - 1]:
+                yield row[0] if row[0] is not None else "", piece
+
+
+def automata(benchmark: DataFrame, window: int, most: int) -> Iterator[tuple[Flat, bool]]:
+    """Automata over the items, of about `most` words each, and whether it is the last; one at least."""
+    held: list = []
+    size = 0
+    for piece in item_pieces(benchmark, window, most):
+        if held and size + len(piece[1]) > most + window:
+            yield Flat(held, window), False
+            held, size = [], 0
+        held.append(piece)
+        size += len(piece[1])
+    yield Flat(held, window), True
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges)."""
-    return _run(docs, benchmark, window, ("doc_id",), remove=False)
+    return _run(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, window, remove=False)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_hit: int = 50, most_share: float = 0.5) -> DataFrame:
@@ -160,52 +230,82 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_hit:
     A document with over most_hit hit words covering more than most_share of
     its words goes whole. Untouched documents keep their text as it is.
     """
-    return _run(docs, benchmark, window, tuple(docs.columns), True, most_hit, most_share)
+    return _run(docs, benchmark, window, True, most_hit, most_share)
+
+
+def _run(docs, benchmark, window, remove, most_hit=0, most_share=1.0) -> DataFrame:
+    names = docs.columns
+    carried = [free_name("found_spans", names), free_name("found_items", names)]
+    kinds = dict(docs.dtypes)
+    kept = ", ".join(f"`{n}` {kinds[n]}" for n in names)
+    rows, first = docs, True
+    for flat, last in automata(benchmark, window, WORDS_A_PASS):
+        told = docs.sparkSession.sparkContext.broadcast(flat)
+        if not last:
+            rows = cut(map_texts(rows, _pass(told, names, carried, first), f"{kept}, `{carried[0]}` array<array<bigint>>, `{carried[1]}` array<string>"))
+            told.unpersist()
+        first = first and last
+    if remove:
+        return map_texts(rows, _pass(told, names, carried, first, _removing(names, most_hit, most_share)), kept)
+    schema = f"doc_id {kinds['doc_id']}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<array<bigint>>"
+    return map_texts(rows, _pass(told, names, carried, first, _digest(names)), schema)
 
 
-def _run(docs, benchmark, window, names, remove, most_hit=0, most_share=1.0) -> DataFrame:
-    items = docs.sparkSession.sparkContext.broadcast(read_items(benchmark))
+def _pass(told, names: list[str], carried: list[str], first: bool, finish=None):
+    """What one automaton finds in rows, added to what earlier ones found; the last pass turns it into the result."""
+    text_at = names.index("text")
+    key = ("decontaminate", uuid.uuid4().hex)
 
     def make():
-        matcher = Matcher(items.value, window)
-        at = names.index("doc_id")
-        text_at = names.index("text") if remove else len(names)
+        matcher = kept_in_worker(key, lambda: Matcher(told.value))
 
         def work(rows: list[tuple]) -> dict[str, list]:
-            out: dict[str, list] = {n: [] for n in (*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
+            out: dict[str, list] = {}
             for row in rows:
                 words = words_of(row[text_at])
                 spans, owners = matcher.spans(words)
+                if not first:
+                    spans, owners = [*spans, *row[len(names)]], owners | set(row[len(names) + 1])
                 mask = np.zeros(len(words) + 1, dtype=np.int32)
                 for a, b in spans:
                     mask[a] += 1
                     mask[b] -= 1
                 hit = np.cumsum(mask)[:-1] > 0
-                n_hit = int(hit.sum())
-                if remove:
-                    if n_hit > most_hit and n_hit > most_share * len(words):
-                        continue
-                    row = (*row[:text_at], without(row[text_at], hit) if n_hit else row[text_at], *row[text_at + 1 :])
-                    for name, value in zip(names, row, strict=True):
-                        out[name].append(value)
-                    continue
-                out["doc_id"].append(row[at])
-                out["n_words"].append(len(words))
-                out["n_hit"].append(n_hit)
-                out["n_items"].append(len(owners))
-                out["items_sha256"].append(hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest())
-                out["contaminated"].append(n_hit > 0)
-                out["spans"].append([list(s) for s in merged_spans(hit)])
+                if finish:
+                    one = finish(row, words, hit, owners)
+                else:
+                    one = dict(zip(names, row)) | {carried[0]: [list(s) for s in merged_spans(hit)], carried[1]: sorted(owners)}
+                for name, value in (one or {}).items():
+                    out.setdefault(name, []).append(value)
             return out
 
         return work
 
-    if remove:
-        schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-        return map_texts(docs, make, schema)
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = dict(kept.dtypes)["doc_id"]
-    return map_texts(kept, make, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<array<bigint>>")
+    return make
+
+
+def _digest(names: list[str]):
+    at = names.index("doc_id")
+
+    def finish(row, words, hit, owners):
+        n_hit = int(hit.sum())
+        digest = hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest()
+        return {"doc_id": row[at], "n_words": len(words), "n_hit": n_hit, "n_items": len(owners), "items_sha256": digest,
+                "contaminated": n_hit > 0, "spans": [list(s) for s in merged_spans(hit)]}
+
+    return finish
+
+
+def _removing(names: list[str], most_hit: int, most_share: float):
+    at = names.index("text")
+
+    def finish(row, words, hit, owners):
+        n_hit = int(hit.sum())
+        if n_hit > most_hit and n_hit > most_share * len(words):
+            return None
+        return dict(zip(names, row)) | ({"text": without(row[at], hit)} if n_hit else {})
+
+    return finish
 
 
 def merged_spans(hit: np.ndarray) -> list[tuple[int, int]]:
