@@ -5,8 +5,11 @@ kept. All but the last return the columns of documents. Between stages the rows
 are written as Parquet to the shared folder and read again.
 
 Cases: rows without text or letters go at the language stage at the latest; rows
-with a null doc_id pass as documents of their own; an empty table stays empty;
-further columns of documents are kept, whatever they are called.
+with a null doc_id pass as documents of their own; rows equal in doc_id and text
+are one after the third stage, and of near-duplicates the smallest doc_id stays,
+so no tie is left; very long texts are read whole by every stage; an empty table
+stays empty; further columns of documents are kept, whatever they are called, and
+n_chars may be missing.
 """
 
 from __future__ import annotations
@@ -17,28 +20,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.llm import byte_bpe, decontaminate, language_id, near_text, quality
-from usagelens.llm.common import fresh_path, table
+from usagelens.llm.common import discard, free_name, fresh_path, table
 
 #: No stage but the last can be told in SQL at whole size; tests hold brute-force versions.
 ORACLE_SQL = None
 
-#: A language is taken as known from this score on.
+#: A language is taken as known from this score on, and up to this rarity: texts of scripts or languages that none
+#: was learned for, and strings of random letters, are several times rarer in every learned language than its own.
 LEAST_LANGUAGE_SCORE = 0.5
+MOST_RARITY = 4.0
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the classifier's threshold."""
     model = quality.fit(docs, quality.may_learn(table(spark, sf_dir, "labels")))
-    scored = quality.score(docs, model, _free("quality", docs))
-    return scored.where(F.col(_free("quality", docs)) >= quality.THRESHOLD).select(_columns(docs))
+    score = free_name("quality", docs.columns)
+    return quality.score(docs, model, score).where(F.col(score) >= quality.THRESHOLD).select(_columns(docs))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language the model knows; texts without a letter have none."""
+    """Documents of a language the model knows; texts without a letter have none, nor have texts that are far from every language."""
     model = language_id.fit(language_id.training_rows(docs))
-    lang, score = _free("language", docs), _free("language_score", docs)
-    told = language_id.predict(docs, model, (lang, score))
-    return told.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(_columns(docs))
+    lang, score, rarity = (free_name(n, docs.columns) for n in ("language", "language_score", "language_rarity"))
+    told = language_id.predict(docs, model, (lang, score, rarity))
+    known = (F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE) & (F.col(rarity) <= MOST_RARITY)
+    return told.where(known).select(_columns(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without passages of the benchmark; n_chars counts what is left."""
     left = decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
     left = left.where(F.length(F.trim("text")) > 0)
-    return left.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(_columns(docs))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return left.select(_columns(docs))
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,22 +78,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of a folder. What a stage wrote goes when the next has been written; the last is read by the result."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = fresh_path(spark, f"pipeline-{name}")
+        before, path = path, fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-def _free(name: str, docs: DataFrame) -> str:
-    """A column name that docs does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{c}`") for c in docs.columns]

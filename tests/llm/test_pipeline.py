@@ -23,7 +23,7 @@ def test_stages_apply_the_operators_decisions(spark, medium):
             assert set(kept) == {r.doc_id for r in scored.collect() if r.score >= quality.THRESHOLD}
         elif name == "language":
             told = language_id.predict(docs, language_id.fit(language_id.training_rows(docs)))
-            assert set(kept) == {r.doc_id for r in told.collect() if r.lang_pred != "und" and r.score >= 0.5}
+            assert set(kept) == {r.doc_id for r in told.collect() if r.lang_pred != "und" and r.score >= 0.5 and r.rarity <= 4}
         elif name == "near_duplicates":
             assert set(kept) == {r.doc_id for r in near_text.classes(docs).collect() if r.kept}
         else:
@@ -54,6 +54,21 @@ def test_stages_on_odd_documents(spark, small, odd_documents, no_documents, empt
             assert out.dtypes == docs.dtypes
 
 
+def test_languages_that_were_not_learned_go(spark, medium):
+    docs = table(spark, medium, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    greek = "Η γλώσσα των εγγράφων αυτών δεν έχει μαθευτεί ποτέ από το μοντέλο και γι αυτό φεύγει"
+    junk = "xqzjkw vbnqxz kqjxwz zzqxjv wkjqxv qxzvbn jqxzkw vqzjxk wqzxjv kzqjxw"
+    more = spark.createDataFrame([(10**9, greek, None, "x", 5), (10**9 + 1, junk, None, "x", 5), (10**9 + 2, "12 34 - 56", None, "x", 5)], docs.schema)
+    kept = corpus_pipeline.known_language(spark, docs.union(more), medium)
+    assert {r.doc_id for r in kept.where("doc_id >= 1000000000").collect()} == set()
+    assert kept.count() == docs.where("text rlike '[a-zA-ZÀ-ÿ]'").count()
+
+
+def test_decontamination_without_n_chars(spark, small):
+    docs = table(spark, small, "documents").select("doc_id", "text")
+    assert corpus_pipeline.without_benchmark(spark, docs, small).columns == ["doc_id", "text"]
+
+
 def test_digest_of_tokens_is_stable(spark, small):
     told = [hashlib.sha256(str(sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, small).collect())).encode()).hexdigest() for _ in range(2)]
     assert told[0] == told[1]

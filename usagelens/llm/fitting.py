@@ -1,22 +1,21 @@
-"""Bounded samples of labelled rows, on which the classifiers are fitted."""
+"""Bounded samples of labelled rows, on which the classifiers are fitted. Their texts are read whole, whatever their length."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts longer than this are not used for fitting (they are scored whole like all others).
-LONGEST_FIT_TEXT = 20_000
 #: More classes than this are taken for a wrong column.
 MOST_CLASSES = 1000
 _PARTS = 1 << 30
 
 
 def class_share(rows: DataFrame, target: str, per_class: int, salt: str) -> tuple[DataFrame, dict]:
-    """Rows (doc_id and others) of a sample of about per_class of each class of `target`, and the size of each class.
+    """A sample of about per_class rows of each class of `target`, and the size of each class.
 
-    A row is in by a hash of its id, so the choice is the same at every run and
-    takes no sort. Null classes are left out.
+    A row is in by a hash of all its columns, so the choice is the same at every
+    run and takes no sort; rows that are equal in all columns count once. Null
+    classes are left out.
     """
     rows = rows.where(F.col(target).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(target).count().limit(MOST_CLASSES + 1).collect()}
@@ -25,21 +24,19 @@ def class_share(rows: DataFrame, target: str, per_class: int, salt: str) -> tupl
     share: Column = F.lit(0)
     for value, count in counts.items():
         share = F.when(F.col(target) == F.lit(value), F.lit(int(_PARTS * min(1.0, per_class / count)))).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(_PARTS)) < share), counts
-
-
-def fit_texts(rows: DataFrame) -> DataFrame:
-    """The rows whose text is used for fitting."""
-    return rows.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST_FIT_TEXT))
+    place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(salt)), F.lit(_PARTS))
+    return rows.where(place < share).distinct(), counts
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, salt: str) -> tuple[DataFrame, dict]:
     """doc_id, text and label (0 or 1) of a sample of the labelled documents, and how many labels of each class there are.
 
-    Of several labels of a document the least counts; labels above 0 are 1. The
-    sample is drawn from the small label table first; its size is bounded, so
-    it is broadcast and no text is shuffled.
+    Of several labels of a document the least counts, and of several texts the
+    first; labels above 0 are 1. The sample is drawn from the small label table;
+    its size is bounded, so it is broadcast and only its own texts are shuffled.
     """
     one = labels.where(F.col(target).isNotNull()).groupBy("doc_id").agg(F.min((F.col(target) > 0).cast("int")).alias("label"))
     chosen, counts = class_share(one, "label", per_class, salt)
-    return fit_texts(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id"), counts
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.select("doc_id", "text", "label"), counts

@@ -9,7 +9,8 @@ scored once and remembered.
 Cases: a null text and a text without a letter are `und` with score 0; so are
 all texts when no language was learned; of equally likely languages the first
 in alphabetical order is taken; an empty table gives no rows; rows that repeat
-are scored each; other columns are ignored.
+are scored each; texts of any length are learned and scored whole; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,23 +22,25 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import bucket_of_id, kept_in_worker, map_texts
-from usagelens.llm.fitting import class_share, fit_texts
+from usagelens.llm.fitting import class_share
 
 DEFAULT_PIECES = "piece_bpe_32k.model"
 #: Documents a language that the probabilities are fitted on, about.
 FIT_DOCUMENTS = 500
-#: Word types a language that are kept of those documents, the most frequent first.
-FIT_WORDS = 60_000
+#: Word types a language, and of all languages, that are kept of those documents, the most frequent first.
+FIT_WORDS, ALL_FIT_WORDS = 60_000, 3_000_000
 ROUNDS = 4
 #: Longer runs of letters are scored in blocks of this many, so probabilities stay in range.
 BLOCK = 24
 #: Probability of a letter that no piece covers, and pseudo-count of each piece.
 UNSEEN = 1e-7
 PSEUDO_COUNT = 0.05
+#: Texts of fewer letters than this have no rarity.
+FEW_LETTERS = 40
 MEMO_WORDS = 400_000
 SLICE_BYTES = 3 << 20
 WORD = re.compile(r"[^\W\d_]+")
@@ -128,8 +131,10 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 class Model:
-    def __init__(self, pieces: list[str], languages: list[str], probabilities: np.ndarray):
-        self.pieces, self.languages, self.probabilities = pieces, languages, probabilities
+    """Pieces, languages, probabilities (pieces x languages) and usual: the log-probability a letter of each language's own words."""
+
+    def __init__(self, pieces: list[str], languages: list[str], probabilities: np.ndarray, usual: list[float] = ()):
+        self.pieces, self.languages, self.probabilities, self.usual = pieces, languages, probabilities, list(usual)
 
 
 def fit(docs: DataFrame, pieces_path: str | None = None, per_language: int = FIT_DOCUMENTS) -> Model:
@@ -152,12 +157,17 @@ def fit(docs: DataFrame, pieces_path: str | None = None, per_language: int = FIT
 
         return work
 
-    typed = map_texts(fit_texts(chosen).select("lang", "text"), make, "lang string, word string").groupBy("lang", "word").count().collect()
+    typed = map_texts(chosen.where("text is not null").select("lang", "text"), make, "lang string, word string").groupBy("lang", "word").count()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    typed = typed.withColumn("rank", rank).where(F.col("rank") <= max(1, min(FIT_WORDS, ALL_FIT_WORDS // len(languages)))).collect()
+    by_language: dict = {language: [] for language in languages}
+    for r in typed:
+        by_language[r["lang"]].append(r)
     segmenter = Segmenter(pieces)
     size = len(pieces)
-    probabilities = np.empty((size + 1, len(languages)))
+    probabilities, usual = np.empty((size + 1, len(languages))), []
     for k, language in enumerate(languages):
-        own = sorted(((r["count"], r["word"]) for r in typed if r["lang"] == language), key=lambda r: (-r[0], r[1]))[:FIT_WORDS]
+        own = [(c, w) for _, c, w in sorted((r["rank"], r["count"], r["word"]) for r in by_language[language])]
         lattice = segmenter.lattice([w for _, w in own]) if own else None
         weight = np.array([c for c, _ in own], dtype=float)
         p = np.full(size + 1, 1.0 / size)
@@ -166,7 +176,12 @@ def fit(docs: DataFrame, pieces_path: str | None = None, per_language: int = FIT
             uses = segmenter.expected(lattice, p, weight)[:size] + PSEUDO_COUNT
             p[:size] = uses / uses.sum()
         probabilities[:, k] = p
-    return Model(pieces, languages, probabilities)
+        if own:
+            letters = weight @ np.array([len(w) for _, w in own])
+            usual.append(float(weight @ np.log(segmenter.forward(lattice, p[:, None])[lattice[-1], 0]) / letters))
+        else:
+            usual.append(-np.inf)
+    return Model(pieces, languages, probabilities, usual)
 
 
 class Scorer:
@@ -182,7 +197,7 @@ class Scorer:
         self.table = np.zeros((0, len(self.model.languages) + 1))
 
     def _scores(self, chunks: list[str]) -> np.ndarray:
-        """How many words each chunk has, and their log-probability in each language."""
+        """How many letters each chunk has, and its words' log-probability in each language."""
         parts = [words_of(c) for c in chunks]
         words = list(chain.from_iterable(parts))
         out = np.zeros((len(chunks), len(self.model.languages) + 1))
@@ -190,7 +205,8 @@ class Scorer:
             lattice = self.segmenter.lattice(words)
             told = np.log(self.segmenter.forward(lattice, self.model.probabilities)[lattice[-1]])
             owner = np.repeat(np.arange(len(chunks)), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
-            np.add.at(out, owner, np.concatenate([np.ones((len(words), 1)), told], axis=1))
+            letters = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+            np.add.at(out, owner, np.concatenate([letters[:, None], told], axis=1))
         return out
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
@@ -205,7 +221,8 @@ class Scorer:
         self.table = np.concatenate(added)
         return np.fromiter(map(self.row.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language and score of each text, and how usual its letters are there (1: as in its own words, more: rarer)."""
         # Whatever is not a letter ends a word, so the commonest signs may become spaces.
         lowered = [(t or "").lower().replace(". ", " ").replace(", ", " ") for t in texts]
         split = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
@@ -217,21 +234,28 @@ class Scorer:
         filled = np.flatnonzero(np.diff(edge) > 0)
         if len(filled):
             totals[filled] = np.add.reduceat(per_word, edge[filled], axis=0)
-        langs, scores = [], []
+        langs, scores, rarity = [], [], []
         for total in totals:
             if not total[0] or not self.model.languages:
                 langs.append("und")
                 scores.append(0.0)
+                rarity.append(0.0)
                 continue
             likely = total[1:]
             best = int(np.argmax(likely))
             langs.append(self.model.languages[best])
             scores.append(float(1.0 / np.exp(likely - likely[best]).sum()))
-        return langs, scores
+            rarity.append(float(likely[best] / total[0] / self.model.usual[best]) if total[0] >= FEW_LETTERS else 0.0)
+        return langs, scores, rarity
+
 
+def predict(docs: DataFrame, model: Model, columns: tuple[str, str, str] = ("lang_pred", "score", "rarity")) -> DataFrame:
+    """docs (all columns) with the predicted language, its score and rarity; columns of these names are replaced.
 
-def predict(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs (all columns) with the predicted language and its score; columns of these names are replaced."""
+    The score compares languages, so it is near 1 for any longer text. Rarity tells
+    how far a text is from the language: its log-probability a letter over the usual
+    one; 0 for texts of few letters.
+    """
     told = docs.sparkSession.sparkContext.broadcast(model)
     names = [n for n in docs.columns if n.lower() not in [c.lower() for c in columns]]
     at = names.index("text")
@@ -242,13 +266,13 @@ def predict(docs: DataFrame, model: Model, columns: tuple[str, str] = ("lang_pre
 
         def work(rows):
             out = {n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}
-            out[columns[0]], out[columns[1]] = scorer.predict([r[at] for r in rows])
+            out[columns[0]], out[columns[1]], out[columns[2]] = scorer.predict([r[at] for r in rows])
             return out
 
         return work
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, `{columns[0]}` string, `{columns[1]}` double", SLICE_BYTES)
+    return map_texts(docs.select(*(F.col(f"`{n}`") for n in names)), make, f"{schema}, `{columns[0]}` string, `{columns[1]}` double, `{columns[2]}` double", SLICE_BYTES)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

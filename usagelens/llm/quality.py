@@ -8,10 +8,11 @@ decomposition) and labelled vectors, which are broadcast: their number is fixed.
 Every document is projected, its cosines with all labelled vectors are computed
 exactly in blocks, and the nearest vote, weighted by similarity.
 
-Cases: a null, empty or featureless text gets the share of good labels, as do
-all texts when no row is labelled; equal similarities keep the labelled row that
-was sampled first; labels other than 0 and 1 count as 1 when positive; an empty
-table gives no rows; repeated rows are scored each; other columns are ignored.
+Cases: a null, empty or featureless text gets the share of good labels; all
+texts get 0.5 when no row is labelled; equal similarities keep the labelled row
+that was sampled first; labels other than 0 and 1 count as 1 when positive;
+labelled texts of any length are learned and scored whole; an empty table gives
+no rows; repeated rows are scored each; other columns are ignored.
 """
 
 from __future__ import annotations

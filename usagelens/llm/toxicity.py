@@ -7,8 +7,9 @@ the weights; the product of weight and ratio is broadcast (a fixed-size table).
 
 Cases: a null or empty text has no features and gets the intercept's score;
 without labelled rows of both classes all texts get the share of toxic labels
-(0 without any); labels above 0 count as 1; an empty table gives no rows;
-repeated rows are scored each; other columns are ignored.
+(0 without any); labels above 0 count as 1; labelled texts of any length are
+learned and scored whole; an empty table gives no rows; repeated rows are scored
+each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from usagelens.llm.common import bucket_of_id, map_texts
 from usagelens.llm.fitting import labelled_sample
 from usagelens.llm.quality import may_learn
 
-#: Labelled documents of each class for fitting, about; longer texts than this are not used for it.
+#: Labelled documents of each class for fitting, about, and features of a class: documents beyond that are not used.
 FIT_DOCUMENTS = 1500
-LONGEST_FIT_TEXT = 8_000
+FIT_FEATURES = 15_000_000
 SIZES = (3, 4, 5)
 FEATURES_BITS = 18
 FEATURES = 1 << FEATURES_BITS
@@ -95,28 +96,47 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = FIT_DOCUMENTS) -> Model:
     """Weights from documents (doc_id, text) and their labels (doc_id and the target)."""
-    short = docs.where(F.length("text") <= LONGEST_FIT_TEXT)
-    chosen, counts = labelled_sample(short, labels, target, per_class, "toxicity")
+    chosen, counts = labelled_sample(docs, labels, target, per_class, "toxicity")
 
     def make():
         featurizer = Featurizer()
 
         def work(rows):
-            ids = [np.sort(f).astype("<u4").tobytes() for f in featurizer.features([r[1] for r in rows])]
+            ids = [_packed(f) for f in featurizer.features([r[1] for r in rows])]
             return {"doc_id": [r[0] for r in rows], "label": [r[2] for r in rows], "ids": ids}
 
         return work
 
     told = map_texts(chosen.select(F.col("doc_id").cast("string"), "text", "label"), make, "doc_id string, label int, ids binary")
-    found = sorted(((r["doc_id"] or "", r["label"], bytes(r["ids"])) for r in told.collect()), key=lambda r: zlib.crc32(r[0].encode()))
-    labels_ = np.array([r[1] for r in found], dtype=np.float64)
+    told = sorted(((r["doc_id"] or "", r["label"], bytes(r["ids"])) for r in told.collect()), key=lambda r: zlib.crc32(r[0].encode()))
+    found, size = [], {0: 0, 1: 0}
+    for _, label, packed in told:
+        if size[label] < FIT_FEATURES:
+            found.append((label, ids := _unpacked(packed)))
+            size[label] += len(ids)
+    labels_ = np.array([label for label, _ in found], dtype=np.float64)
     if len(set(labels_.tolist())) < 2:
         share = labels_.mean() if len(found) else 0.0
         return Model(np.zeros(FEATURES, dtype=np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    weights, intercept = _regression([np.frombuffer(r[2], dtype="<u4").astype(np.int32) for r in found], labels_, counts)
+    weights, intercept = _regression([ids for _, ids in found], labels_, counts)
     return Model(weights, intercept)
 
 
+def _packed(features: np.ndarray) -> bytes:
+    """Features as sorted numbers, or as one bit each where that is shorter."""
+    if 32 * len(features) < FEATURES:
+        return np.sort(features).astype("<u4").tobytes()
+    bits = np.zeros(FEATURES, dtype=bool)
+    bits[features] = True
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    if 8 * len(packed) < FEATURES:
+        return np.frombuffer(packed, dtype="<u4").astype(np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, dtype=np.uint8))).astype(np.int32)
+
+
 def _regression(ids: list[np.ndarray], labels: np.ndarray, counts: dict) -> tuple[np.ndarray, float]:
     """Logistic regression on ratio-scaled features; weights already multiplied by the ratios."""
     flat = np.concatenate(ids)
