@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -177,7 +178,15 @@ _KEPT: dict = {}
 
 
 def kept_in_worker(key: tuple, build: Callable):
-    """What a Python worker builds once and keeps for its later tasks; one value for each kind of key."""
-    if _KEPT.get(key[0], (None, None))[0] != key:
-        _KEPT[key[0]] = (key, build())
-    return _KEPT[key[0]][1]
+    """What a Python worker builds once and keeps for its later tasks.
+
+    A worker that Spark uses again for other work holds one such thing at a
+    time: models and memos of earlier stages go before the next are built.
+    """
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        _KEPT[key] = build()
+    return _KEPT[key]
