@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -65,6 +66,31 @@ def test_skipped_elements_without_end_tag_leave_the_page():
     assert pages.run_text == ["a b", "c", "d"]
 
 
+@pytest.mark.parametrize("shape", ["<div>", "<b>x</i>", "<a ", '<a x="', "<a '>", "<p>", "<svg>", "</p>", "<!--", "<!-- x", "<li><ul>", "<table><tr><td>", "&lt;", "<p><button><div>"])
+def test_broken_pages_of_a_megabyte_take_seconds(trees, shape):
+    began = time.time()
+    page_text.extract([shape * (1_000_000 // len(shape))], trees)
+    assert time.time() - began < 40
+
+
+def test_elements_end_where_others_begin():
+    pages = Pages()
+    pages.add("<p>a<div>b<p>c</div>d<ul><li>e<ul><li>f</ul><li>g</ul><table><tr><td>h<td>i<tr><td><p>j</table>k</p>l<b>m</i>n</b>")
+    assert pages.run_text == list("abcdefghij") + ["klmn"]
+    tree = Tree(pages)
+    inside = lambda a, b: a == b or (tree.parent[b] >= 0 and inside(a, tree.parent[b]))
+    size = len(tree.parent)
+    values = np.random.default_rng(3).random(size)
+    assert np.allclose(tree.up(values), [sum(values[b] for b in range(size) if inside(a, b)) for a in range(size)])
+    masks = np.random.default_rng(4).integers(0, 1 << 12, size)
+    assert tree.down(masks).tolist() == [int(np.bitwise_or.reduce([masks[a] for a in range(size) if inside(a, b)])) for b in range(size)]
+
+
+def test_pages_whose_names_tell_nothing(trees):
+    source = f"<div><a href=/>Home</a> | <a href=/n>News</a></div><div>{P * 4}</div><div>{P * 5}</div><div>All rights</div>"
+    assert (P * 4).strip() in page_text.extract([source], trees)[0].split("\n")
+
+
 def test_odd_and_no_pages(spark, trees):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (4, "u", "<p"), (5, "u", "</div></p>"), (6, "u", "<a b='c>" * 50), (None, "u", "<script>never closed"), (7, "u", "<div>" * 3000 + "x"), (7, "u", "<!--")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string")

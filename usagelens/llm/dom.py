@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 
@@ -56,8 +57,10 @@ for _i, _kind in enumerate(TOKEN_KINDS):
     for _word in _kind.split():
         TOKEN_OF[_word] |= 1 << _i
 
+#: A comment, a declaration, a tag whose quoted values may hold >, or failing that anything up to the next >.
+#: Outside quotes a < ends the search for the former, so a stray quote doesn't send it through the page.
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    r"""<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.S,
 )
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -83,19 +86,22 @@ class Pages:
         self.kind: list[int] = []
         self.tokens: list[int] = []
         self.depth: list[int] = []
+        self.end: list[int] = []  # the first node after each subtree
+        self.first_run: list[int] = []  # the first run in each subtree or after it
         self.run_node: list[int] = []
         self.run_text: list[str] = []
         self.run_linked: list[int] = []
         self.run_marks: list[int] = []
 
     def add(self, source: str) -> None:
-        """Read one page."""
+        """Read one page, in time that is linear in its length."""
         root = self._node(-1, -1, 0, 0)
         self.page_start.append(root)
         stack: list[tuple[str, int]] = [("", root)]  # (tag, its block node or that of the block around it)
+        opened: dict[str, list[int]] = {}  # where each tag stands in the stack
         pieces: list[str] = []
         state = [0, 0, 0]  # links open, linked characters, inline tags of the run
-        at = 0
+        at, last = 0, source.rfind(">") + 1  # no tag ends after the last >
         unended: set[str] = set()  # skipped tags that have no end tag from here on
 
         def end_run() -> None:
@@ -109,19 +115,30 @@ class Pages:
             state[1] = state[2] = 0
 
         def close_to(depth: int) -> None:
-            for tag, _ in stack[depth:]:
+            for tag, node in stack[depth:]:
                 state[0] -= tag == "a"
+                opened[tag].pop()
+                if tag in BLOCKS:
+                    self.end[node] = len(self.parent)
             del stack[depth:]
 
+        def push(tag: str, node: int) -> None:
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node))
+
         def text(piece: str) -> None:
             pieces.append(piece)
             if state[0]:
                 state[1] += len(piece.strip())
 
-        while m := _TAG.search(source, at):
+        while m := _TAG.search(source, at, last):
             if m.start() > at:
                 text(source[at : m.start()])
             at = m.end()
+            if m.group() == "<!--":  # up to its end, or all the rest
+                found = source.find("-->", at)
+                at = found + 3 if found >= 0 else len(source)
+                continue
             name = m.group(2) or m.group(5)
             if not name:
                 continue
@@ -129,15 +146,15 @@ class Pages:
             if closing:
                 if tag in VOID:
                     continue
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if depth:
+                if opened.get(tag):
+                    depth = opened[tag][-1]
                     if any(t in BLOCKS for t, _ in stack[depth:]):
                         end_run()
                     close_to(depth)
                 continue
             if tag in SKIPPED:
                 closed = tag in ("svg", "math") and (m.group(3) or m.group(6) or "").rstrip().endswith("/")
-                found = None if closed or tag in unended else _END[tag].search(source, at)
+                found = None if closed or tag in unended else _END[tag].search(source, at, last)
                 if found:
                     at = found.end()
                 elif tag in RAW:
@@ -156,33 +173,33 @@ class Pages:
                 state[2] += 1
                 state[0] += tag == "a"
                 if not attributes.rstrip().endswith("/"):
-                    stack.append((tag, stack[-1][1]))
+                    push(tag, stack[-1][1])
                 else:
                     state[0] -= tag == "a"
                 continue
             end_run()
             ended, within = ENDS.get(tag, (frozenset(), frozenset()))
-            depth = len(stack)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in ended:
-                    depth = i
-            close_to(depth)
+            barrier = max((opened[t][-1] for t in within if opened.get(t)), default=0)
+            above = ((where, bisect_right(where, barrier)) for t in ended if (where := opened.get(t)))
+            close_to(min((where[i] for where, i in above if i < len(where)), default=len(stack)))
             around = stack[-1][1]
-            if tag in ("html", "body") and any(t == tag for t, _ in stack):
+            if tag in ("html", "body") and opened.get(tag):
                 continue
             node = self._node(around, KIND_OF.get(tag, 1) if tag != "head" else len(TAG_KINDS), _tokens(attributes) if attributes else 0, self.depth[around] + 1)
-            stack.append((tag, node))
+            push(tag, node)
         if at < len(source):
             text(source[at:])
         end_run()
+        close_to(1)
+        self.end[root] = len(self.parent)
 
     def _node(self, parent: int, kind: int, tokens: int, depth: int) -> int:
         self.parent.append(parent)
         self.kind.append(kind)
         self.tokens.append(tokens)
         self.depth.append(depth)
+        self.end.append(0)
+        self.first_run.append(len(self.run_text))
         return len(self.parent) - 1
 
 
@@ -200,22 +217,21 @@ class Tree:
         self.page = np.zeros(size, dtype=np.int64)
         self.page[self.start] = 1
         self.page = np.cumsum(self.page) - 1
-        levels = np.argsort(self.depth, kind="stable")
-        bounds = np.searchsorted(self.depth[levels], np.arange(int(self.depth.max(initial=0)) + 2))
-        self.levels = [levels[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.end = np.array(pages.end, dtype=np.int64)
 
     def up(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each node's subtree."""
-        total = values.astype(np.float64).copy()
-        for nodes in self.levels[:0:-1]:
-            np.add.at(total, self.parent[nodes], total[nodes])
-        return total
+        """Sums over each node's subtree, whose nodes are those up to its end."""
+        total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+        return total[self.end] - total[:-1]
 
     def down(self, masks: np.ndarray) -> np.ndarray:
         """Bits of each node and all nodes around it."""
-        out = masks.copy()
-        for nodes in self.levels[1:]:
-            out[nodes] |= out[self.parent[nodes]]
+        out = np.zeros_like(masks)
+        for bit in range(int(masks.max(initial=0)).bit_length()):
+            nodes = np.flatnonzero(masks >> bit & 1)
+            if len(nodes):
+                inside = np.bincount(nodes, minlength=len(masks) + 1) - np.bincount(self.end[nodes], minlength=len(masks) + 1)
+                out |= (np.cumsum(inside)[:-1] > 0).astype(masks.dtype) << bit
         return out
 
 
@@ -237,7 +253,7 @@ def features(pages: Pages, tree: Tree) -> np.ndarray:
     first = np.zeros(size)  # characters of the page before the node
     if len(texts):
         before = np.concatenate([[0], np.cumsum(length)])
-        place = np.searchsorted(tree.run_node, np.arange(size)) if (np.diff(tree.run_node) >= 0).all() else _first_run(tree, len(texts))
+        place = np.array(pages.first_run)
         first = before[place] - before[place[tree.start]][tree.page]
     siblings = np.bincount(around, minlength=size)[around]
     alike = _counts(around * 64 + tree.kind)
@@ -261,11 +277,3 @@ def _counts(keys: np.ndarray) -> np.ndarray:
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     return counts[inverse]
 
-
-def _first_run(tree: Tree, runs: int) -> np.ndarray:
-    """The number of the first run in each node's subtree or after it."""
-    first = np.full(len(tree.parent), runs, dtype=np.int64)
-    np.minimum.at(first, tree.run_node, np.arange(runs))
-    for nodes in tree.levels[:0:-1]:
-        np.minimum.at(first, tree.parent[nodes], first[nodes])
-    return np.minimum.accumulate(first[::-1])[::-1]

@@ -17,6 +17,7 @@ pages are read each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import random
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -98,17 +99,16 @@ def article_runs(tree: Tree, likely: np.ndarray) -> np.ndarray:
     all_in, all_out = tree.up(inside), tree.up(outside)
     # A run stands in its element as a leaf with that element's likelihood.
     direct = np.bincount(tree.run_node, minlength=size) > 0
-    mixed = np.where(direct, np.minimum(inside, outside), 0.0) + MIXED_COST
-    best = np.empty(size)
-    for nodes in tree.levels[::-1]:
-        best[nodes] = np.minimum(np.minimum(all_in[nodes], all_out[nodes]), mixed[nodes])
-        below = nodes[tree.parent[nodes] >= 0]
-        np.add.at(mixed, tree.parent[below], best[below])
-    label = np.zeros(size, dtype=np.int8)  # 0 to be chosen, 1 all article, -1 all furniture
-    for nodes in tree.levels:
-        given = np.where(tree.parent[nodes] >= 0, label[tree.parent[nodes]], 0)
-        chosen = np.where(mixed[nodes] < np.minimum(all_in[nodes], all_out[nodes]), 0, np.where(all_in[nodes] < all_out[nodes], 1, -1))
-        label[nodes] = np.where(given != 0, given, chosen)
+    mixed = (np.where(direct, np.minimum(inside, outside), 0.0) + MIXED_COST).tolist()
+    pure, parent = np.minimum(all_in, all_out).tolist(), tree.parent.tolist()
+    for node in range(size - 1, -1, -1):  # nodes stand after those around them
+        if parent[node] >= 0:
+            mixed[parent[node]] += min(pure[node], mixed[node])
+    chosen = np.where(np.array(mixed) < pure, 0, np.where(all_in < all_out, 1, -1)).tolist()
+    label = [0] * size  # 0 mixed, 1 all article, -1 all furniture
+    for node in range(size):
+        label[node] = (label[parent[node]] if parent[node] >= 0 else 0) or chosen[node]
+    label = np.array(label)
     own = np.where(label == 0, np.where(inside < outside, 1, -1), label)
     return own[tree.run_node] > 0 if len(tree.run_node) else np.zeros(0, dtype=bool)
 
@@ -126,8 +126,9 @@ def extract(sources: list[str], trees: Trees) -> list[str]:
     return ["\n".join(lines) for lines in out]
 
 
+@lru_cache(maxsize=2)
 def fit(seed: int = 9, count: int = FIT_PAGES) -> Trees:
-    """Trees fitted on generated pages; text of the article carries a mark that the tree reader sees and removes."""
+    """Trees fitted on generated pages, once a session; text of the article carries a mark that the tree reader sees and removes."""
     pages = Pages()
     rng = random.Random(seed)
     for _ in range(count):
