@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import cut, groups
@@ -43,12 +43,21 @@ WORTHWHILE = 0.001
 AUDITED, MOST_AUDITED, LINKED, RECALL, MORE_SEARCHES = 256, 65_536, 256, 0.99, 6
 #: Query nodes that are compared with a batch at once.
 QUERIES_AT_ONCE = 512
-#: Members of a component that are compared with each other in one task at a time.
-MEMBERS = 256
+#: Members of a component, or components, that are compared with each other in one group: at least and at most, and
+#: the blocks a component is dealt in while its blocks are between both, so that a small one is not one task.
+MEMBERS, MOST_MEMBERS, SPREAD = 256, 4096, 16
+#: Rows of a block whose cosines are held at once, and the least cosine of a neighbour for which the audit asks more nodes.
+COSINES_AT_ONCE, NEAR = 512, 0.9
 
 _LISTS = "node bigint, ids array<bigint>, sims array<double>"
 
 
+def _blocks(count: Column) -> Column:
+    """In how many blocks so many members are dealt. Copies of a vector sent to tasks are as many."""
+    size = F.least(F.lit(MOST_MEMBERS), F.greatest(F.lit(MEMBERS), F.ceil(count / SPREAD)))
+    return F.ceil(count / size).cast("int")
+
+
 def _unit(raw: pa.Array, double: bool) -> np.ndarray:
     """Rows of unit length, in double precision, of vectors stored as bytes."""
     x = np.frombuffer(b"".join(raw.to_pylist()), dtype="<f8" if double else "<f4").reshape(len(raw), -1).astype(np.float64)
@@ -201,10 +210,10 @@ def _link_count(graph: DataFrame, threshold: float) -> int:
 def _counted(nodes: DataFrame, membership: DataFrame, double: bool, threshold: float) -> DataFrame:
     """node and near: how many vectors of other nodes of its component it links with, exactly.
 
-    A component is dealt in blocks of about MEMBERS; every pair of blocks is one
-    bounded group, so a component of any size is spread over tasks.
+    A component is dealt in blocks of at most about MOST_MEMBERS; every pair of blocks
+    is one bounded group, so a component of any size is spread over tasks.
     """
-    sizes = membership.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    sizes = membership.groupBy("component").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
     dealt = membership.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = dealt.join(nodes.select("node", "vec", "copies"), "node")
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -217,14 +226,15 @@ def _counted(nodes: DataFrame, membership: DataFrame, double: bool, threshold: f
             x = _unit(group["vec"].combine_chunks(), double)
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
             near = np.zeros(len(ids), dtype=np.int64)
-            if i == j:
-                linked = (x @ x.T) >= threshold
-                np.fill_diagonal(linked, False)
-                near = linked @ copies
-            else:
-                a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-                linked = (x[a] @ x[b].T) >= threshold
-                near[a], near[b] = linked @ copies[b], linked.T @ copies[a]
+            a, b = (np.arange(len(ids)),) * 2 if i == j else (np.flatnonzero(block == i), np.flatnonzero(block == j))
+            for at in range(0, len(a), COSINES_AT_ONCE):
+                some = a[at : at + COSINES_AT_ONCE]
+                linked = (x[some] @ x[b].T) >= threshold
+                if i == j:
+                    linked[np.arange(len(some)), some] = False
+                else:
+                    near[b] += linked.T @ copies[some]
+                near[some] += linked @ copies[b]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near)], names=["node", "near"])
 
     keys = ["component", "i", "j"]
@@ -253,7 +263,7 @@ def _crossing(nodes: DataFrame, graph: DataFrame, membership: DataFrame, double:
 
     radius = members.join(middles, "component").select("component", "dim", "vec", "middle").mapInArrow(spread, "component bigint, angle double")
     balls = members.where("node = component").join(radius.groupBy("component").agg(F.max("angle").alias("radius")), "component")
-    per = balls.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    per = balls.groupBy("label", "dim").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
     keys = ["label", "dim", "i", "j"]
     block = F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int")
     dealt = balls.join(per, ["label", "dim"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -264,12 +274,14 @@ def _crossing(nodes: DataFrame, graph: DataFrame, membership: DataFrame, double:
         for group in groups(batches, 4):
             ids, radii = np.asarray(group["component"]), np.asarray(group["radius"])
             x = _unit(group["vec"].combine_chunks(), double)
-            met = np.arccos(np.clip(x @ x.T, -1, 1)) <= radii[:, None] + radii[None, :] + reach
-            a, b = np.nonzero(met & (ids[:, None] < ids[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+            for at in range(0, len(ids), COSINES_AT_ONCE):
+                some = slice(at, at + COSINES_AT_ONCE)
+                met = np.arccos(np.clip(x[some] @ x.T, -1, 1)) <= radii[some, None] + radii[None, :] + reach
+                a, b = np.nonzero(met & (ids[some, None] < ids[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some][a]), pa.array(ids[b])], names=["a", "b"])
 
     pairs = cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(near, "a bigint, b bigint").distinct())
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    sizes = members.groupBy("component").agg(_blocks(F.count(F.lit(1))).alias("blocks"))
     held = members.join(sizes, "component").select("component", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks", "node", "vec")
     told = pairs.join(sizes.select(F.col("component").alias("a"), F.col("blocks").alias("of_a")), "a").join(
         sizes.select(F.col("component").alias("b"), F.col("blocks").alias("of_b")), "b"
@@ -282,26 +294,41 @@ def _crossing(nodes: DataFrame, graph: DataFrame, membership: DataFrame, double:
         for group in groups(batches, 4):
             side, ids = np.asarray(group["side"]), np.asarray(group["node"])
             x = _unit(group["vec"].combine_chunks(), double)
-            a, b = np.nonzero(x[side == 0] @ x[side == 1].T >= threshold)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[side == 0][a[:1]]), pa.array(ids[side == 1][b[:1]])], names=["a", "b"])
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for at in range(0, len(left), COSINES_AT_ONCE):
+                a, b = np.nonzero(x[left[at : at + COSINES_AT_ONCE]] @ x[right].T >= threshold)
+                if len(a):  # one link joins both components
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[left[at + a[:1]]]), pa.array(ids[right[b[:1]]])], names=["a", "b"])
+                    break
 
     return first.union(second).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, "a bigint, b bigint")
 
 
-def audit(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float = THRESHOLD) -> float:
-    """The share of true links, of query nodes against all nodes, that were counted. There are more queries until enough have links."""
+def audit(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float = THRESHOLD, graph: DataFrame | None = None) -> float:
+    """The share of true links, of query nodes against all nodes, that were counted. There are more queries until enough have links.
+
+    With the graph half of the queries are nodes with a near neighbour, where links are likelier. It is 1
+    only where all nodes were asked, or where none of very many has a link.
+    """
     asked = AUDITED
     while True:
-        true, found, linked, queries = _audited(nodes, counted, double, threshold, asked)
+        true, found, linked, queries = _audited(nodes, counted, double, threshold, asked, graph)
         if linked >= LINKED or queries < asked or asked >= MOST_AUDITED:
             return found / true if true else 1.0
         asked *= 4
 
 
-def _audited(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float, most: int) -> tuple[int, int, int, int]:
+def _audited(nodes: DataFrame, counted: DataFrame, double: bool, threshold: float, most: int, graph: DataFrame | None = None) -> tuple[int, int, int, int]:
     """True links, those counted, query nodes that have links, query nodes."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "label", "dim", "vec").collect()
+    told = nodes.select("node", "label", "dim", "vec")
+    if graph is None:
+        asked = told.orderBy(F.xxhash64("node"), "node").limit(most)
+    else:
+        near = graph.where(F.array_max("sims") >= NEAR).select("node", F.lit(True).alias("near"))
+        marked = told.join(near, "node", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        order = [F.xxhash64("node"), F.col("node")]
+        asked = marked.where("near").orderBy(*order).limit(most // 2).union(marked.where("not near").orderBy(*order).limit(most - most // 2))
+    asked = asked.select("node", "label", "dim", "vec").collect()
     told = nodes.sparkSession.sparkContext.broadcast([tuple(r) for r in asked])
 
     def compare(batches):
@@ -379,7 +406,7 @@ def near_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if not crossing.isEmpty():
             membership = cut(components(links.union(crossing)))
         counted = cut(_counted(nodes, membership, double, threshold))
-        recall = audit(nodes, counted, double, threshold)
+        recall = audit(nodes, counted, double, threshold, graph)
         if recall >= RECALL:
             break
     else:
