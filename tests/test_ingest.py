@@ -3,7 +3,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.plans import ingest
+from usagelens.operators.directories import DirectoryFilters
+from usagelens.plans import importer, ingest
 from usagelens.sinks import writers
 from usagelens.sources import scheduler_log, scan_log
 from usagelens.streaming.ingest import stream_logs
@@ -152,7 +153,11 @@ def test_scan_lines(spark):
 
 
 def test_scan_names(spark):
-    assert scan_log.detect("20260115_csfs1_tank.list.list_all.log") == "gpfs" and scan_log.detect("20260115_desc1.lustre.log") == "lustre"
+    assert scan_log.detect("20260115_csfs1_tank.list.list_all.log") == "gpfs" and scan_log.detect("20260115_desc1.lfs-scan") == "lustre"
+    with pytest.raises(ValueError):
+        scan_log.detect("20260115_desc1.lustre.log")
+    scan_log.register_format("other", scan_log.parse_gpfs, lambda name: name.endswith(".other"))
+    assert scan_log.detect("a.other") == "other" and scan_log.FORMATS.pop("other")
     with pytest.raises(ValueError):
         scan_log.detect("notes.txt")
     row = spark.createDataFrame([("20260115_csfs1_tank.list.list_all.log",)], "n string").select(scan_log.file_system(F.col("n")), scan_log.scan_date(F.col("n"))).first()
@@ -166,3 +171,21 @@ def test_writers(spark):
     assert writers.as_markdown(rows).splitlines()[2] == "| 1 | a\\|b |  |" and writers.as_markdown([]) == ""
     assert writers.as_fixed_width(rows, {"n": 3, "x": 6}, {"x": ".2f"}).splitlines() == ["n    x", "1", "2    0.50"]
     assert '"when": "2025-01-01"' in writers.as_json([{"when": date(2025, 1, 1), "who": {"b", "a"}}], "listing")
+
+
+def test_import_replaces_one_collection(spark, tmp_path):
+    root = f"{tmp_path}/tables"
+    for name, lines in (("20260115_gpfs_tank.list.all.log", GPFS), ("20260116_gpfs_pool.list.all.log", GPFS[:3]), ("20260117_gpfs_tank.list.all.log", GPFS[:1] + GPFS[2:3])):
+        (tmp_path / name).write_text("\n".join(lines))
+        importer.import_scan(spark, f"{tmp_path}/{name}", root)
+    q = importer.open_collections(spark, root, groups=spark.createDataFrame([(10, "staff")], "gid bigint, groupname string"))
+    assert sorted((r.filesystem, r.total_files) for r in q.scans.collect()) == [("pool", 2), ("tank", 1)]
+    assert sorted((r.filesystem, r.path, r.file_count_r) for r in q.directories.collect()) == [("pool", "/fs/a", 2), ("tank", "/fs/a", 1)]
+    assert q.group_id("staff") == 10 and q.group_id("7") == 7
+    with pytest.raises(ValueError):
+        q.group_id("nobody")
+    assert q.scope(["/tank", "/tank/x", "/other/y"]) == (["tank"], ["pool"], ["/other/y"]) and q.scope(None)[0] == ["pool", "tank"]
+    exact, mixed = q.histogram("size").collect(), q.histogram("size", DirectoryFilters(paths=["/tank", "/fs/a"])).collect()
+    assert sum(r.file_count for r in exact) == 3 and not exact[0].approximate and sum(r.file_count for r in mixed) == 3 and mixed[0].approximate
+    with pytest.raises(ValueError):
+        importer.import_scan(spark, f"{tmp_path}/notes", root)

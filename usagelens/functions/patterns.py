@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def glob_regex(pattern: str) -> str:
-    body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
-    return f"(?s)^{body}$"
-
-
 def glob_like(pattern: str) -> str:
     """A LIKE pattern with ! as the escape character."""
     return "".join("%" if c == "*" else "_" if c == "?" else f"!{c}" if c in "%_!" else c for c in pattern)
@@ -24,7 +17,8 @@ def matches_any(column: Column, patterns: list[str], ignore_case: bool = False)
     if not used:
         return F.lit(False)
     value = F.lower(column) if ignore_case else column
-    tests = [value.rlike(glob_regex(p.lower() if ignore_case else p)) for p in used]
+    # LIKE, so that a literal beginning reaches the scan as a filter; the pattern is a plain text for the reader.
+    tests = [F.like(value, F.lit(glob_like(p.lower() if ignore_case else p)), F.lit("!")) for p in used]
     out = tests[0]
     for t in tests[1:]:
         out = out | t

@@ -7,7 +7,7 @@ filesystem). Scopes are path prefixes; nested prefixes are collapsed first.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
 from operator import and_, or_
@@ -128,13 +128,14 @@ class DirectoryFilters:
 
 
 class DirectoryQueries:
-    def __init__(self, directories: DataFrame, scans: DataFrame | None = None, histograms: DataFrame | None = None, names: DataFrame | None = None):
-        """directories (with filesystem), scans (filesystem, scan_timestamp), histograms of files, names (uid, username)."""
-        self.directories, self.scans, self.histograms, self.names = directories, scans, histograms, names
+    def __init__(self, directories: DataFrame, scans: DataFrame | None = None, histograms: DataFrame | None = None, names: DataFrame | None = None,
+                 groups: DataFrame | None = None):
+        """directories (with filesystem), scans (filesystem, scan_timestamp), histograms of files, names (uid, username), groups (gid, groupname)."""
+        self.directories, self.scans, self.histograms, self.names, self.groups = directories, scans, histograms, names, groups
 
     def _rows(self, filters: DirectoryFilters | None, filesystems: Sequence[str] | None) -> DataFrame:
         rows = self.directories.where((filters or DirectoryFilters()).predicate())
-        return rows if filesystems is None else rows.where(F.col("filesystem").isin(*filesystems))
+        return rows if filesystems is None else rows.where(F.col("filesystem").isin(list(filesystems)))
 
     def filesystems(self) -> DataFrame:
         """The collections there are; those being staged or replaced are hidden."""
@@ -143,11 +144,19 @@ class DirectoryQueries:
 
     def owner_id(self, owner: int | str) -> int:
         """The id of an owner given by number or name."""
-        if isinstance(owner, int) or owner.isdigit():
-            return int(owner)
-        found = self.names.where(F.col("username") == owner).agg(F.min("uid")).first()[0]
+        return self._id(owner, self.names, "username", "uid", "owner")
+
+    def group_id(self, group: int | str) -> int:
+        """The id of a group given by number or name."""
+        return self._id(group, self.groups, "groupname", "gid", "group")
+
+    @staticmethod
+    def _id(given: int | str, table: DataFrame | None, name: str, number: str, what: str) -> int:
+        if isinstance(given, int) or given.isdigit():
+            return int(given)
+        found = None if table is None else table.where(F.col(name) == given).agg(F.min(number)).first()[0]
         if found is None:
-            raise ValueError(f"no owner is called {owner!r}")
+            raise ValueError(f"no {what} is called {given!r}")
         return found
 
     def list(self, filters: DirectoryFilters | None = None, sort: str = "size", descending: bool = True, limit: int | None = 50,
@@ -207,12 +216,44 @@ class DirectoryQueries:
         if owner is not None:
             rows = rows.where(F.col("owner_uid") == owner)
         if filesystems is not None:
-            rows = rows.where(F.col("filesystem").isin(*filesystems))
+            rows = rows.where(F.col("filesystem").isin(list(filesystems)))
         summed = rows.groupBy("bucket_index").agg(F.sum("file_count").alias("file_count"), F.sum("total_size").alias("total_size"))
         table = rows.sparkSession.createDataFrame(list(enumerate(labels)), "bucket_index int, label string")
         zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
         return F.broadcast(table).join(summed, "bucket_index", "left").select("bucket_index", "label", zero("file_count"), zero("total_size"))
 
+    def scope(self, paths: Sequence[str] | None, filesystems: Sequence[str] | None = None) -> tuple[list[str], list[str], list[str]]:
+        """Collections that path prefixes take whole, the other collections, and the prefixes that are looked up in those.
+
+        A prefix that is a collection's root takes it whole; without prefixes all are.
+        """
+        known = [r[0] for r in self.filesystems().collect() if filesystems is None or r[0] in filesystems]
+        if not paths:
+            return known, [], []
+        by_root = {name.lower(): name for name in known}
+        kept = collapse(paths)
+        roots = {p: by_root[p.strip("/").lower()] for p in kept if p.strip("/").lower() in by_root}
+        whole, rest = sorted(set(roots.values())), [p for p in kept if p not in roots]
+        return whole, [n for n in known if n not in whole] if rest else [], rest
+
+    def histogram(self, kind: str, filters: DirectoryFilters | None = None, owner: int | None = None, filesystems: Sequence[str] | None = None) -> DataFrame:
+        """File histogram ("access" or "size") of any scope, all bands filled, over all collections.
+
+        Collections taken whole are counted by file, from the table kept at import;
+        parts of collections, and all of them where other filters are set, by
+        directory: then approximate is true.
+        """
+        filters = filters or DirectoryFilters()
+        whole, parts, paths = self.scope(filters.paths, filesystems)
+        if filters != DirectoryFilters(paths=filters.paths):
+            whole, parts, paths = [], sorted({*whole, *parts}), filters.paths
+        exact = self.file_histogram(kind, owner, whole)
+        rest = replace(filters, paths=paths or None, owner=filters.owner if owner is None else owner)
+        told = (self.access_history if kind == "access" else self.file_sizes)(rest, filesystems=parts)
+        both = exact.select("bucket_index", "file_count", "total_size").union(told.select("bucket_index", "file_count", "total_size"))
+        summed = both.groupBy("bucket_index").agg(F.sum("file_count").alias("file_count"), F.sum("total_size").alias("total_size"))
+        return exact.select("bucket_index", "label").join(summed, "bucket_index").select("bucket_index", "label", "file_count", "total_size", F.lit(bool(parts)).alias("approximate"))
+
     def top_owners(self, kind: str, top: int = 10) -> DataFrame:
         """The largest owners of each band with their share of it, and how many more there are."""
         owners = self.histograms.where(F.col("kind") == kind).groupBy("bucket_index", "owner_uid").agg(F.sum("total_size").alias("total_size"), F.sum("file_count").alias("file_count"))

@@ -30,6 +30,7 @@ FACET_COLUMNS = {"user": "user", "account": "account", "queue": "queue", "qos":
 # Facilities by the beginning of the account; the first match counts.
 FACILITIES = (("U", "UNIV"), ("P35", "UNIV"), ("W", "WNA"), ("C", "CSL"), ("P933", "CSL"), ("S", "CISL"))
 DEFAULT_FACILITY = "NCAR"
+# The keys of a listing's columns.
 COLUMNS = (
     "job_id", "user", "account", "queue", "qos", "exit_status", "numnodes", "numcpus", "numgpus", "start", "end", "elapsed", "cpu_hours",
     "gpu_hours", "short_id", "name", "priority", "submit", "queued", "eligible", "eligible_secs", "run_count", "walltime", "mpiprocs",
@@ -265,14 +266,20 @@ class JobQueries:
     def usage_history(self, start: date | None = None, end: date | None = None, period: str = "day") -> DataFrame:
         """Users, projects, jobs and hours a period of the stored clock, in one pass; CPU and GPU columns count charged jobs."""
         rows = self.jobs.where(F.col("end_ts").isNotNull() & timewin.in_utc_days(F.col("end_ts"), start, end))
+        kinds = ("cpu", "gpu")
+        # A row a period, user, account and kind first: distinct counts then work on that small table.
+        small = rows.groupBy(
+            timewin.utc_label(F.col("end_ts"), period).alias("date"), "user", "account",
+            *[(F.col("queue").isin(*self.queues(k)) & F.col("cpu_hours").isNotNull()).alias(f"is_{k}") for k in kinds],
+        ).agg(F.count(F.lit(1)).alias("jobs"), *[F.sum(f"{k}_hours").alias(f"{k}_sum") for k in kinds])
         told = [F.countDistinct("user").alias("users"), F.countDistinct("account").alias("projects")]
-        for kind in ("cpu", "gpu"):
-            mine = F.col("queue").isin(*self.queues(kind)) & F.col("cpu_hours").isNotNull()
+        for kind in kinds:
+            mine = F.col(f"is_{kind}")
             told += [
                 F.countDistinct(F.when(mine, F.col("user"))).alias(f"{kind}_users"), F.countDistinct(F.when(mine, F.col("account"))).alias(f"{kind}_projects"),
-                F.count(F.when(mine, 1)).alias(f"{kind}_jobs"), F.coalesce(F.sum(F.when(mine, F.col(f"{kind}_hours"))), F.lit(0.0)).alias(f"{kind}_hours"),
+                F.coalesce(F.sum(F.when(mine, F.col("jobs"))), F.lit(0)).alias(f"{kind}_jobs"), F.coalesce(F.sum(F.when(mine, F.col(f"{kind}_sum"))), F.lit(0.0)).alias(f"{kind}_hours"),
             ]
-        return rows.groupBy(timewin.utc_label(F.col("end_ts"), period).alias("date")).agg(*told).orderBy("date")
+        return small.groupBy("date").agg(*told).orderBy("date")
 
     def summary_of(self, dimension: str, value: str, start: date | None = None, end: date | None = None) -> DataFrame:
         """One row: jobs, hours and elapsed of an account (with its users) or a user (with their accounts)."""

@@ -99,8 +99,8 @@ def sync(existing: DataFrame, records: DataFrame | None, machine: str, mode: str
 
 
 def write_jobs(jobs: DataFrame, path: str) -> None:
-    """Write whole partitions; others stay. Rows of a day are sorted by user for min/max skipping."""
-    partitioned = jobs.withColumn("end_date", F.to_date("end_ts"))
+    """Write whole partitions; others stay. A day's rows go to few files, large days to several, sorted by user for min/max skipping."""
+    partitioned = jobs.withColumn("end_date", F.to_date("end_ts")).hint("rebalance", "machine", "end_date")
     partitioned.sortWithinPartitions("machine", "end_date", "user").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("machine", "end_date").parquet(path)
 
 

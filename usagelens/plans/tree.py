@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.buckets import atime_bucket, size_bucket
+from usagelens.session import stored
 
 NO_FILES, ANCESTOR_LEVELS = -1, 9
 
@@ -58,7 +59,8 @@ def directories(entries: DataFrame) -> DataFrame:
     """The directory table: ids by depth and path, parents, both kinds of statistics, single owners, ancestors by level."""
     stats = with_recursion(own_stats(entries)).withColumn("depth", F.size(F.split("path", "/")) - 1)
     # Ids ascend by depth, then path; they are dealt a range of paths at a time.
-    ranged = stats.repartitionByRange("depth", "path").sortWithinPartitions("depth", "path").withColumn("part", F.spark_partition_id())
+    # The ranges are stored once: sizes and places must be told from the same ones, also after a lost executor.
+    ranged = stored(stats.repartitionByRange("depth", "path").withColumn("part", F.spark_partition_id()))
     place = F.row_number().over(Window.partitionBy("part").orderBy("depth", "path"))
     sizes = ranged.groupBy("part").count()
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

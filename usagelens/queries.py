@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from usagelens.functions.charging import charged
 from usagelens.operators.directories import DirectoryFilters, DirectoryQueries
 from usagelens.operators.filters import JobFilters
 from usagelens.operators.jobs import FACILITIES, METRICS, JobQueries, list_qos
-from usagelens.plans import ingest, reports, rollup, tree
-from usagelens.sources import adapters, scan_log, scheduler_log
+from usagelens.plans import importer, ingest, reports, rollup, tree
+from usagelens.session import fresh_path, stored
+from usagelens.sources import adapters, records, scan_log, scheduler_log
 from usagelens.sources.adapters import ENTRIES_CTE, JOBS_CTE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,10 +370,6 @@ register(
 )
 
 
-def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["jobs_usage_by_user"](spark, sf_dir)
-
-
 # charging
 
 for _machine in ("casper", "derecho"):
@@ -404,6 +402,48 @@ for _mode, _kept in (("plain", "CASE WHEN id % 2 = 0 THEN 1 ELSE memory END"), (
           FROM (SELECT *, {_kept} AS m FROM jobs WHERE machine = 'casper' AND submit IS NOT NULL) k"""),
     )
 
+
+
+def _known_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.jobs(spark, sf_dir).where("machine = 'casper' AND submit IS NOT NULL").drop("cpu_hours", "gpu_hours", "memory_hours", "qos", "qos_factor", "memory_wasted")
+
+
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the jobs are stored, and the roll-up has some days; the log has all jobs."""
+    known = _known_jobs(spark, sf_dir)
+    old = charged(known.where("id % 2 = 0"), "casper")
+    summary = rollup.daily_summary(old, START, END)
+    return ingest.sync(old, known.withColumns({"file": F.lit("a"), "line": F.col("id")}), "casper", "incremental", summary=summary)[0].select("id", "charge_version")
+
+
+def _wrong_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored jobs without charges: none at all, or placeholders."""
+    jobs = charged(_known_jobs(spark, sf_dir), "casper")
+    none, zero = F.lit(None).cast("int"), F.lit(0)
+    hours = {c: F.lit(0.0) for c in ("cpu_hours", "gpu_hours", "memory_hours")}
+    return jobs.withColumns({**hours, "charge_version": F.when(F.col("id") % 3 == 0, none).when(F.col("id") % 3 == 1, zero).otherwise(1)})
+
+
+_CASPER = "machine = 'casper' AND submit IS NOT NULL"
+_CPU_HOURS = _r("elapsed * numcpus / 3600.0e0")
+register("sync_incremental", _incremental, _with_jobs(f"SELECT id, 1 AS charge_version FROM jobs WHERE {_CASPER} AND (id % 2 = 0 OR NOT COALESCE({WINDOW}, FALSE))"))
+register(
+    "sync_recalculate",
+    lambda s, d: rounded(ingest.sync(_wrong_charges(s, d), None, "casper", "recalculate", START, END)[0].select("id", "cpu_hours")),
+    _with_jobs(f"SELECT id, CASE WHEN {WINDOW} THEN {_CPU_HOURS} ELSE 0 END AS cpu_hours FROM jobs WHERE {_CASPER}"),
+)
+register(
+    "sync_resummarize",
+    lambda s, d: (lambda jobs: ingest.sync(jobs, None, "casper", "resummarize", START, END, rollup.daily_summary(jobs.where("id % 2 = 0"), START, END))[1].groupBy("date").agg(F.sum("job_count").alias("job_count")))(charged(_known_jobs(s, d), "casper")),
+    _with_jobs(f"""SELECT CAST(x AS DATE) AS date, CAST(COALESCE(n, 0) AS BIGINT) AS job_count FROM (SELECT UNNEST(GENERATE_SERIES(TIMESTAMP '1996-03-01', TIMESTAMP '1996-06-30', INTERVAL '1' DAY)) AS x) c
+      LEFT JOIN (SELECT {SITE_DAY} AS day, COUNT(*) AS n FROM jobs WHERE {_CASPER} AND {WINDOW} AND {_NAMED} GROUP BY 1) k ON CAST(x AS DATE) = k.day"""),
+)
+register(
+    "missing_charges",
+    lambda s, d: rounded(ingest.with_missing_charges(_wrong_charges(s, d), "casper").select("id", "cpu_hours", "charge_version")),
+    _with_jobs(f"SELECT id, CASE WHEN id % 3 = 2 THEN 0 ELSE {_CPU_HOURS} END AS cpu_hours, 1 AS charge_version FROM jobs WHERE {_CASPER}"),
+)
+
 # log lines made from the jobs, parsed back
 
 
@@ -432,6 +472,23 @@ register(
       FROM jobs WHERE end_ts IS NOT NULL AND id % 4 <> 1"""),
 )
 
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs parsed from log lines, and the records of most of them."""
+    lines = stored(_log_lines(spark, sf_dir))
+    return ingest.clean(scheduler_log.parse(lines, "casper")), records.archive(lines.where("line % 6 <> 0"))
+
+
+_LOGGED = "end_ts IS NOT NULL AND submit IS NOT NULL AND id % 4 <> 1"
+register(
+    "records_found",
+    lambda s, d: records.find(*_archived(s, d), filters=[(False, "ge", "Resource_List[ncpus]", 200), (True, "eq", "queue", "htc"), (False, "contains", "jobname", "run")], between=("06:00:00", "17:59:59")).select("job_id", F.col("record").getItem("Resource_List.ncpus").alias("ncpus")),
+    _with_jobs(f"""SELECT job_id, CAST(numcpus AS STRING) AS ncpus FROM jobs WHERE {_LOGGED} AND id % 6 <> 0 AND numcpus >= 200 AND COALESCE(queue, 'none') <> 'htc' AND COALESCE(name, 'x') LIKE '%run%'
+      AND STRFTIME(end_ts, '%H:%M:%S') BETWEEN '06:00:00' AND '17:59:59'"""),
+)
+register("records_missing", lambda s, d: records.without_record(*_archived(s, d)).select("job_id"), _with_jobs(f"SELECT job_id FROM jobs WHERE {_LOGGED} AND id % 6 = 0"))
+
 # directories
 
 
@@ -482,6 +539,9 @@ DIRECTORY_FILTERS: dict[str, tuple[DirectoryFilters, str]] = {
     "names": (DirectoryFilters(names=["c1?", "*INA"], ignore_case=True), "(LOWER(SPLIT_PART(path, '/', -1)) LIKE 'c1_' OR LOWER(SPLIT_PART(path, '/', -1)) LIKE '%ina')"),
     "leaves": (DirectoryFilters(leaves_only=True, min_files=12, recursive_counts=False), "dir_count_nr = 0 AND file_count_nr >= 12"),
     "size": (DirectoryFilters(min_size=10**11, max_size=2 * 10**11), "total_size_r BETWEEN 100000000000 AND 200000000000"),
+    "accessed_before": (DirectoryFilters(accessed_before=datetime(1998, 5, 1)), "max_atime_r < TIMESTAMP '1998-05-01'"),
+    "accessed_after": (DirectoryFilters(accessed_after=datetime(1998, 7, 20, 12), recursive_atime=False), "max_atime_nr > TIMESTAMP '1998-07-20 12:00:00'"),
+    "group": (DirectoryFilters(group=102, max_files=9, max_dirs=0), "owner_gid = 102 AND file_count_r <= 9 AND dir_count_r <= 0"),
     "avg_size": (DirectoryFilters(min_avg_size=8 * 10**9, max_avg_size=10**10), "file_count_nr > 0 AND total_size_nr // file_count_nr >= 8000000000 AND total_size_nr // file_count_nr < 10000000000"),
 }
 for _name, (_filters, _where) in DIRECTORY_FILTERS.items():
@@ -532,6 +592,27 @@ register(
 )
 
 
+def _collections(spark: SparkSession, sf_dir: str) -> DirectoryQueries:
+    """The same directories as one collection a region."""
+    region = lambda df: df.withColumn("filesystem", F.lower(F.split("path", "/")[1]))
+    entries = region(_entries(spark, sf_dir))
+    at = F.lit(SCANNED).cast("timestamp_ntz")
+    scans = entries.select("filesystem").distinct().withColumn("scan_timestamp", at)
+    parts = [tree.file_histograms(entries.where(F.col("filesystem") == r), at).withColumn("filesystem", F.lit(r)) for r in ("africa", "america", "asia", "europe", "middle east")]
+    return DirectoryQueries(region(tree.directories(_entries(spark, sf_dir))), scans, reduce(DataFrame.unionByName, parts))
+
+
+for _kind, _file_case, _dir_case, _labels in (("access", _age_case("atime"), _age_case("max_atime_nr"), buckets.ATIME_DAYS), ("size", _size_case("allocated"), _size_case("(total_size_nr // file_count_nr)"), buckets.FILE_SIZES)):
+    _values = ", ".join(f"({i}, '{label}')" for i, (label, _) in enumerate(_labels))
+    register(
+        f"histogram_mixed_{_kind}", lambda s, d, k=_kind: _collections(s, d).histogram(k, DirectoryFilters(paths=["/ASIA", "/EUROPE/FRANCE", "/EUROPE/FRANCE/x"])),
+        _with_entries(f"""SELECT t.bucket_index, t.label, CAST(COALESCE(SUM(h.n), 0) AS BIGINT) AS file_count, CAST(COALESCE(SUM(h.size), 0) AS BIGINT) AS total_size, TRUE AS approximate FROM (VALUES {_values}) t(bucket_index, label)
+          LEFT JOIN (SELECT {_file_case} AS b, COUNT(*) AS n, SUM(allocated) AS size FROM files WHERE path LIKE '/ASIA/%' GROUP BY 1
+            UNION ALL SELECT {_dir_case}, SUM(file_count_nr), SUM(total_size_nr) FROM tree WHERE file_count_nr > 0 AND (path = '/EUROPE/FRANCE' OR path LIKE '/EUROPE/FRANCE/%') GROUP BY 1) h ON t.bucket_index = h.b
+          GROUP BY t.bucket_index, t.label"""),
+    )
+
+
 def _gpfs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _entries(spark, sf_dir).where("not is_dir")
     fields = F.concat(
@@ -555,6 +636,33 @@ for _name, _lines, _parse in (("gpfs", _gpfs_lines, scan_log.parse_gpfs), ("lust
     register(f"scan_log_{_name}", lambda s, d, f=_lines, p=_parse: p(f(s, d)).drop("inode", "fileset_id"), f"WITH {ENTRIES_CTE} SELECT {_PARSED} FROM entries WHERE NOT is_dir")
 
 
+def _imported(spark: SparkSession, sf_dir: str) -> DirectoryQueries:
+    """A scan log of all entries, written as text, imported, and opened again."""
+    rows = _entries(spark, sf_dir)
+    fields = F.concat(
+        F.lit("s="), F.col("size").cast("string"), F.lit(" a="), (F.col("allocated") / 1024).cast("bigint").cast("string"), F.lit(" u="), F.col("uid").cast("string"), F.lit(" g="), F.col("gid").cast("string"),
+        F.when(F.col("is_dir"), F.lit(" p=drwxr-xr-x ac=")).otherwise(F.lit(" p=-rw-r--r-- ac=")), F.coalesce(F.date_format("atime", "yyyy-MM-dd HH:mm:ss"), F.lit("1990-01-01 00:00:00")),
+    )
+    root = fresh_path(spark, "import")
+    logs = f"{root}/19980101_gpfs_tank.list.all.log"
+    rows.select(F.concat(F.lit("<1> 42 7 0 "), fields, F.lit(" -- "), "path").alias("value")).write.text(logs)
+    importer.import_scan(spark, logs, f"{root}/tables")
+    return importer.open_collections(spark, f"{root}/tables")
+
+
+register("imported_directories", lambda s, d: _imported(s, d).list(limit=None).select("filesystem", "dir_id", *_LISTED), _with_entries(f"SELECT 'tank' AS filesystem, ROW_NUMBER() OVER (ORDER BY depth, path) - 1 AS dir_id, {_LISTED_SQL} FROM tree"))
+register(
+    "imported_scans", lambda s, d: _imported(s, d).scans.select("filesystem", "source_file", "scan_timestamp", "total_directories", "total_files", "total_size"),
+    _with_entries("SELECT 'tank' AS filesystem, '19980101_gpfs_tank.list.all.log' AS source_file, TIMESTAMP '1998-01-01' AS scan_timestamp, SUM(CASE WHEN is_dir THEN 1 ELSE 0 END)::BIGINT AS total_directories, SUM(CASE WHEN is_dir THEN 0 ELSE 1 END)::BIGINT AS total_files, SUM(CASE WHEN is_dir THEN 0 ELSE allocated END)::BIGINT AS total_size FROM entries"),
+)
+SCAN_NAMES = ("20260115_gpfs_tank.list.all.log", "20251231_desc1.lfs-scan", "20260229_x.list", "notes.txt")
+register(
+    "scan_names", lambda s, d: s.createDataFrame([(n,) for n in SCAN_NAMES], "name string").select("name", scan_log.file_system(F.col("name")).alias("filesystem"), scan_log.scan_date(F.col("name")).alias("scanned")),
+    """SELECT * FROM (VALUES ('20260115_gpfs_tank.list.all.log', 'tank', TIMESTAMP '2026-01-15'), ('20251231_desc1.lfs-scan', 'desc1', TIMESTAMP '2025-12-31'), ('20260229_x.list', 'x', NULL), ('notes.txt', '', NULL)) t(name, filesystem, scanned)""",
+)
+register("collections", lambda s, d: _collections(s, d).filesystems(), "SELECT LOWER(r_name) AS filesystem FROM region")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

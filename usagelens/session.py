@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +20,32 @@ def get_session(name: str = "usagelens", **conf: str) -> SparkSession:
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir).
+
+    A session without the setting gets a temporary folder if it is local, else one beside its warehouse.
+    """
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir")
+    known = context._jsc.sc().getCheckpointDir()
+    if where is None and known.isDefined():
+        where = known.get()
+    if where is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        where = "file://" + tempfile.mkdtemp(prefix="usagelens-")
+    where = (where or spark.conf.get("spark.sql.warehouse.dir") + "-scratch").rstrip("/")
+    if not known.isDefined():
+        context.setCheckpointDir(where)
+    return where
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, kept in the shared folder, so that they are the same however often they are read."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -25,10 +25,13 @@ def archive(lines: DataFrame) -> DataFrame:
     """job_id, submit and record (all key=value pairs, the last of a key) of E records among lines."""
     fields = F.split("value", ";", 4)
     pairs = F.regexp_extract_all(F.col("attributes"), F.lit(r'[^\s=]+=(?:"[^"]*"|\S*)'), F.lit(0))
-    entries = F.transform("pairs", lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(F.regexp_replace(p, r"^[^=]*=", ""), '^"(.*)"$', "$1").alias("value")))
-    last = F.filter("entries", lambda e, i: ~F.exists(F.slice("entries", i + 2, F.size("entries")), lambda later: later["key"] == e["key"]))
+    value = lambda p: F.regexp_replace(F.regexp_replace(p, r"^[^=]*=", ""), '^"(.*)"$', "$1")
+    entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), value(p).alias("value")))
+    # One pass over the pairs: a later one takes the place of an earlier one with its key.
+    empty = F.create_map().cast("map<string,string>")
+    record = F.aggregate(entries, empty, lambda told, e: F.map_concat(F.map_filter(told, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
     records = lines.where(F.size(fields) == 4).select(fields[1].alias("type"), fields[2].alias("job_id"), fields[3].alias("attributes")).where("type = 'E'")
-    told = records.withColumn("pairs", pairs).withColumn("entries", entries).select("job_id", F.map_from_entries(last).alias("record"))
+    told = records.select("job_id", record.alias("record"))
     return told.select("job_id", F.timestamp_seconds(F.col("record").getItem("ctime").try_cast("bigint")).cast("timestamp_ntz").alias("submit"), "record")
 
 

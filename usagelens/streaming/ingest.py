@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +22,11 @@ def stream_logs(spark: SparkSession, folder: str, path: str, checkpoint: str, ma
     def add(batch: DataFrame, number: int) -> None:
         new = clean(parse(batch.withColumn("line", F.monotonically_increasing_id()), machine))
         target = f"{path}/batch={number}"
+        # A known job ends on the same day, so only files that may hold the batch's days are read.
+        days = new.agg(F.min("end_ts"), F.max("end_ts")).first()
         existing = _others(batch.sparkSession, path, number)
+        if existing is not None and days[0] is not None:
+            existing = existing.where(F.col("end_ts").isNull() | F.col("end_ts").between(F.lit(days[0]), F.lit(days[1])))
         told = added(existing, new, machine).where("batch is null").drop("batch") if existing is not None else added(new.limit(0), new, machine)
         told.write.mode("overwrite").parquet(target)
 
@@ -30,10 +35,10 @@ def stream_logs(spark: SparkSession, folder: str, path: str, checkpoint: str, ma
 
 def _others(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     """What other batches wrote, with a batch column; None before the first."""
-    from pyspark.errors import AnalysisException
-
     try:
         found = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return found.where(F.col("batch") != number)
