@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,36 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.session import fresh_path, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder; any path that Spark's readers know."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["Memo", "bucket_of_id", "cut", "discard", "free_name", "fresh_path", "groups", "kept_in_worker", "map_texts", "shared_dir", "slices", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir).
 
-    Where the session has none, a local session gets a temporary folder and a
-    cluster one beside its warehouse, which executors share too.
-    """
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir")
-    if where is None:
-        found = context._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            where = found.get()
-        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
-            where = "file://" + tempfile.mkdtemp(prefix="usagelens-")
-        else:
-            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
-        if not found.isDefined():
-            context.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table of a data folder; any path that Spark's readers know."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def discard(spark: SparkSession, path: str) -> None:
