@@ -49,6 +49,8 @@ SMALLEST_ROUNDS = 2
 BINS, BLOCK = 128, 256
 #: A document with more partners than this is sent to several tasks; hubs are broadcast up to so many.
 PARTNERS, MOST_BROADCAST = 128, 100_000
+#: Up to so many nodes that a search asks for, they are broadcast so that no other text is shuffled; of more, all texts are.
+MOST_ASKED = 1_000_000
 #: Keys of about more rows than this are found in a sample of one node in HOT_SAMPLE; they need no shuffle to be known as shared.
 HOT_ROWS, HOT_SAMPLE, MOST_HOT = 65_536, 256, 1000
 #: Texts that are compared with all others in the end, the recall asked for, and how many true pairs that takes.
@@ -460,7 +462,11 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
     first = dealt.select(F.col("a").alias("node"), "a", "part").distinct().select("node", "a", "part", F.lit(0).alias("turn"))
     others = dealt.select(F.col("b").alias("node"), "a", "part", F.lit(1).alias("turn"))
-    rows = first.union(others).join(texts.select("node", "text"), "node").select("a", "part", "turn", "node", "text")
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    known = texts.select("node", "text")
+    if asked.count() <= MOST_ASKED:
+        known = known.join(F.broadcast(asked), "node", "left_semi")
+    rows = first.union(others).join(known, "node").select("a", "part", "turn", "node", "text")
 
     def compare(batches):
         leader, words = None, []
