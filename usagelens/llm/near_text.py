@@ -364,6 +364,20 @@ def smallest_pairs(rows: DataFrame) -> DataFrame:
     return rows.join(first, "key").where("node > a").select("a", F.col("node").alias("b")).distinct()
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be similar by their word counts: no text is needed to tell the others."""
+
+    def keep(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.asarray(batch.column(k)) for k in (2, 4))
+                yield batch.select([0, 1]).filter(pa.array(_may_be_similar(a, _bins(batch.column(3)), b, _bins(batch.column(5)))))
+
+    of = lambda n: nodes.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}"), F.col("counts").alias(f"counts_{n}"))
+    told = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "words_a", "counts_a", "words_b", "counts_b")
+    return told.mapInArrow(keep, "a bigint, b bigint")
+
+
 def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
     """key, node and component of rows."""
     merged = components(links).withColumnRenamed("node", "member")
@@ -429,10 +443,10 @@ def _bins(column) -> np.ndarray:
 
 
 def _may_be_similar(words, counts, other_words, other_counts) -> np.ndarray:
-    """Whether numbers of words, in all and a bin, leave it open that one text is similar to others."""
+    """Whether numbers of words, in all and a bin, leave it open that one text is similar to others, or each of several to its own other."""
     most = ((1 - SIMILARITY) * np.maximum(other_words, words) + 1e-9).astype(np.int64)
     close = np.abs(other_words.astype(np.int64) - words) <= most
-    more = other_counts[close] - counts
+    more = other_counts[close] - np.broadcast_to(counts, other_counts.shape)[close]
     lost = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
     close[close] = lost <= most[close]
     return close
@@ -442,7 +456,7 @@ def linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar nodes that share a bucket. rows: key, node; nodes: node, words, counts; texts: node, text."""
     links, apart = None, rows
     for _ in range(SMALLEST_ROUNDS):
-        found = verified(smallest_pairs(apart), texts)
+        found = verified(_possible(smallest_pairs(apart), nodes), texts)
         links = cut(found if links is None else links.union(found))
         placed = cut(_placed(rows, links))
         apart = _apart_from_smallest(placed)
