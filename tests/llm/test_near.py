@@ -168,11 +168,24 @@ def test_hubs_and_hot_keys_give_the_same_classes(spark, monkeypatch):
     monkeypatch.setattr(near_text, "PARTNERS", 7)
     monkeypatch.setattr(near_text, "HOT_ROWS", 8)
     monkeypatch.setattr(near_text, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(near_text, "MOST_ASKED", 0)
     sketched = near_text.sketch_documents(table)
     assert near_text.hot_keys(sketched) and sorted(near_text.classes(table).collect()) == plain
     assert {r.class_id for r in plain if r.doc_id < 120} == {0} and all(r.kept for r in plain if r.doc_id >= 1000)
 
 
+def test_pairs_ruled_out_by_word_counts_are_not_similar(spark):
+    rng = random.Random(21)
+    texts = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 40))] for _ in range(30)]
+    texts += [replaced(rng, t, set(rng.sample(range(len(t)), len(t) // 6))) for t in texts] + [["w1"] * 300, ["w1"] * 400]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    nodes = near_text.sketch_documents(docs).selectExpr("doc_id AS node", "words", "counts")
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    left = {tuple(r) for r in near_text._possible(spark.createDataFrame(pairs, "a bigint, b bigint"), nodes).collect()}
+    alike = {(i, j) for i, j in pairs if near_text.similar(texts[i], texts[j])}
+    assert alike <= left and len(alike) >= 20 and len(left) < len(pairs) / 2
+
+
 def test_audit_counts_pairs_that_were_missed(spark):
     base = [f"w{i}" for i in range(50)]
     docs = spark.createDataFrame([(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(12)], "node bigint, text string")
