@@ -1,8 +1,8 @@
-"""Oracle SQL (DuckDB) of the operators that SQL can tell: 3, 7 and 8, by brute force over whole tables."""
+"""Oracle SQL (DuckDB) of the operators that SQL can tell: 3, 7, 8, 11 and 12, by brute force over whole tables."""
 
 from __future__ import annotations
 
-from usagelens.llm import decontaminate, near_vectors, sharding
+from usagelens.llm import decontaminate, exponion, near_vectors, sharding
 
 # Links by comparing all vectors of a label; components by following links until nothing new is reached.
 OP3 = f"""
@@ -69,3 +69,49 @@ places AS (SELECT r, COUNT(DISTINCT place) AS n_hit FROM (SELECT r, UNNEST(RANGE
 owners AS (SELECT r, COUNT(*) AS n_items, STRING_AGG(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items, SHA256(COALESCE(items, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN places USING (r) LEFT JOIN owners USING (r)"""
+
+
+def op11(k: int = exponion.CENTROIDS, rounds: int = exponion.ROUNDS) -> str:
+    """All distances to all centroids, round after round."""
+    scaled = f"LIST_TRANSFORM(embedding, lambda x: CAST(FLOOR({exponion.SCALE} * CAST(x AS DOUBLE)) AS BIGINT))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+near{i} AS (SELECT r, ARG_MIN(c, (d, c)) AS c, MIN(d) AS d FROM (
+  SELECT v.r, m.c, LIST_SUM(LIST_TRANSFORM(LIST_ZIP(v.q, m.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM fit v CROSS JOIN means{i} m) GROUP BY r),""")
+        if i < rounds:
+            steps.append(f"""
+sums{i} AS (SELECT c, j, SUM(x) AS s, COUNT(*) AS n FROM (SELECT c, UNNEST(q) AS x, GENERATE_SUBSCRIPTS(q, 1) AS j FROM fit JOIN near{i} USING (r)) GROUP BY c, j),
+means{i + 1} AS (SELECT m.c, COALESCE(s.q, m.q) AS q FROM means{i} m LEFT JOIN (
+  SELECT c, LIST(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM sums{i} GROUP BY c) s ON m.c = s.c),""")
+    return f"""
+WITH fit AS MATERIALIZED (
+  SELECT vec_id, ROW_NUMBER() OVER () AS r, {scaled} AS q FROM embeddings
+  WHERE LEN(embedding) = {exponion.LENGTH} AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR ISNAN(x) OR ABS(x) > {exponion.MOST_COMPONENT})) = 0),
+means0 AS (
+  SELECT c, q FROM (SELECT ROW_NUMBER() OVER (ORDER BY SHA256('{exponion.SEED}:' || COALESCE(CAST(vec_id AS VARCHAR), '')), q) - 1 AS c, q FROM fit) WHERE c < {k}),{"".join(steps)}
+about AS (SELECT c, CAST(SUM(d) AS BIGINT) AS cluster_inertia FROM near{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, cluster_inertia, CAST((SELECT SUM(d) FROM near{rounds}) AS BIGINT) AS inertia,
+  SHA256(ARRAY_TO_STRING(m.q, ',')) AS centroid_sha256
+FROM fit JOIN near{rounds} USING (r) JOIN about USING (c) JOIN means{rounds} m USING (c)"""
+
+
+def op12(seed: int = 7) -> str:
+    """Lines by a regular expression, parts joined from lists of lines."""
+    h = ", ".join(f"CAST('0x' || SUBSTRING(h, {1 + 8 * i}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    part = lambda a, b: f"ARRAY_TO_STRING(LIST_SLICE(lines, {a} + 1, {b}), '')"
+    return f"""
+WITH docs AS (
+  SELECT doc_id, COALESCE(text, '') AS text, SHA256('{seed}:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+lined AS (
+  SELECT doc_id, text, REGEXP_EXTRACT_ALL(text, '[^\n]*\n|[^\n]+') AS lines, {h} FROM docs),
+placed AS (
+  SELECT *, LEN(lines) AS n, LEAST(h1 % (LEN(lines) + 1), h2 % (LEN(lines) + 1)) AS a, GREATEST(h1 % (LEN(lines) + 1), h2 % (LEN(lines) + 1)) AS b,
+    CASE WHEN text = '' OR CONTAINS(text, '<P>') OR CONTAINS(text, '<S>') OR CONTAINS(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM lined),
+parts AS (
+  SELECT doc_id, text, n, form, {part("0", "a")} AS prefix, {part("a", "b")} AS middle, {part("b", "n")} AS suffix FROM placed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN LENGTH(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN LENGTH(middle) END AS middle_chars,
+  SHA256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  SHA256(prefix || middle || suffix) AS restored_sha256
+FROM parts"""

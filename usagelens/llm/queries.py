@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import byte_bpe, decontaminate, language_id, near_text, near_vectors, oracle, orc_tokens, page_text, quality, sharding, toxicity
+from usagelens.llm import (
+    byte_bpe, decontaminate, exponion, fill_middle, language_id, near_text, near_vectors, oracle, orc_tokens, page_text, piece_bpe, quality, sharding, toxicity,
+)
 from usagelens.llm.common import table
 
 
@@ -50,9 +52,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.classify(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digest_documents(table(spark, sf_dir, "documents"))
+
+
 OPERATORS = (
     op1_orc_tokens, op2_language_id, op3_nn_descent, op4_order_minhash, op5_quality,
     op6_toxicity, op7_jump_sharding, op8_decontamination, op9_page_text, op10_byte_bpe,
+    op11_exponion, op12_fill_middle, op13_piece_bpe,
 )
 
 
@@ -62,4 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can tell; tests/llm holds brute-force versions of the others."""
-    return {op3_nn_descent.__name__: oracle.OP3, op7_jump_sharding.__name__: oracle.op7(), op8_decontamination.__name__: oracle.op8()}
+    return {
+        op3_nn_descent.__name__: oracle.OP3, op7_jump_sharding.__name__: oracle.op7(), op8_decontamination.__name__: oracle.op8(),
+        op11_exponion.__name__: oracle.op11(), op12_fill_middle.__name__: oracle.op12(),
+    }
