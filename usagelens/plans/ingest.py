@@ -1,29 +1,37 @@
 """Sync of parsed job records into the job table (Parquet partitioned by machine and UTC end day).
 
-Only partitions that new records touch are read and rewritten: new jobs are
-added, known ones (same id and submit time) are left or updated, and charges
-are filled or recomputed.
+A job is told by its id and submit time and stands in the table once, wherever
+its records end: a requeued job has several. Beside the table stands an index of
+keys, partitioned by submit day: a sync reads only the days on which its records
+were submitted there, and learns which jobs are known and in which partitions
+they stand. Only partitions that get new jobs, or in an upsert hold known ones,
+are read and rewritten; jobs, keys and roll-up are replaced by one commit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.functions.charging import charged
-from usagelens.functions.timewin import SITE_ZONE, in_site_days
+from usagelens.functions.timewin import SITE_ZONE, in_site_days, site_day
 from usagelens.plans import rollup
+from usagelens.session import stored
+from usagelens.sinks.commit import Change, file_system, recover
 from usagelens.sources.scheduler_log import days_with_logs, first_of_each, in_order, parse, read_days, times_in_order
 
 KEY = ("job_id", "submit")
 # The fields a later record of a job may change.
 UPDATABLE = ("priority", "eligible_secs", "run_count", "cputype", "gputype", "resources", "reqmem", "memory", "vmemory", "mpiprocs", "ompthreads", "walltime")
 CHARGES = ("cpu_hours", "gpu_hours", "memory_hours", "qos", "qos_factor", "charge_version")
+#: Beside a job table's folder: the index of its keys, and changes under way.
+KEYS, CHANGES = "-keys", "-changes"
 MODES = ("plain", "upsert", "incremental", "resummarize", "recalculate")
 
 
@@ -36,6 +44,17 @@ def clean(records: DataFrame) -> DataFrame:
     return first_of_each(in_order(records)).drop("file", "line")
 
 
+def clean_for_upsert(records: DataFrame) -> DataFrame:
+    """Records in time order, one a job as if its log files were taken up one after another: the first, with the updatable fields of its last file's first."""
+    ordered = in_order(records)
+    fields = [c for c in UPDATABLE if c in ordered.columns]
+    told = ordered.select(*KEY, "file", "line", F.struct(*fields).alias("last"))
+    first_of_files = F.row_number().over(Window.partitionBy(*KEY, "file").orderBy("line"))
+    last = told.withColumn("place", first_of_files).where("place = 1").groupBy(*KEY).agg(F.max_by("last", "file").alias("last"))
+    joined = first_of_each(ordered).drop("file", "line").alias("r").join(last.alias("l"), _same("r", "l"))
+    return joined.select("r.*", "l.last").withColumns({c: F.col(f"last.{c}") for c in fields}).drop("last")
+
+
 def rejected(records: DataFrame) -> DataFrame:
     """How many records are dropped for their times."""
     return records.agg(F.count(F.when(~times_in_order(), 1)).alias("rejected"))
@@ -85,8 +104,6 @@ def sync(existing: DataFrame, records: DataFrame | None, machine: str, mode: str
     else:
         new = clean(records)
         if mode == "incremental" and summary is not None:
-            from usagelens.functions.timewin import site_day
-
             new = new.withColumn("date", site_day(F.col("end_ts"))).join(rollup.summarized_days(summary), "date", "left_anti").drop("date")
         jobs = (upserted if mode == "upsert" else added)(existing, new, machine)
     if start is None or end is None:
@@ -98,26 +115,112 @@ def sync(existing: DataFrame, records: DataFrame | None, machine: str, mode: str
     return jobs, summary.where(outside).unionByName(fresh)
 
 
-def write_jobs(jobs: DataFrame, path: str) -> None:
-    """Write whole partitions; others stay. A day's rows go to few files, large days to several, sorted by user for min/max skipping."""
-    partitioned = jobs.withColumn("end_date", F.to_date("end_ts")).hint("rebalance", "machine", "end_date")
-    partitioned.sortWithinPartitions("machine", "end_date", "user").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("machine", "end_date").parquet(path)
+def _partitioned(jobs: DataFrame) -> DataFrame:
+    """A day's rows go to few files, large days to several, sorted by user for min/max skipping."""
+    by_day = jobs.withColumn("end_date", F.to_date("end_ts")).hint("rebalance", "machine", "end_date")
+    return by_day.sortWithinPartitions("machine", "end_date", "user")
 
 
-def write_summary(summary: DataFrame, machine: str, path: str) -> None:
-    """Write the roll-up's days, a partition each; other days stay."""
-    rows = summary.withColumn("machine", F.lit(machine)).repartition("date")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("machine", "date").parquet(path)
+def write_jobs(jobs: DataFrame, path: str) -> None:
+    """Write whole partitions; others stay. The index of keys goes, so the next sync makes it anew."""
+    fs, where = file_system(jobs.sparkSession, path)
+    fs.delete(where(path + KEYS), True)
+    _partitioned(jobs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("machine", "end_date").parquet(path)
 
 
-def _stored(spark: SparkSession, path: str, machine: str) -> DataFrame | None:
+def _stored(spark: SparkSession, path: str, machine: str | None) -> DataFrame | None:
     """A machine's partitions of a stored table; None before it is first written."""
     try:
-        return spark.read.parquet(path).where(F.col("machine") == machine)
+        rows = spark.read.parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
+    return rows if machine is None else rows.where(F.col("machine") == machine)
+
+
+def open_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The stored job table, after what a lost driver has left undone."""
+    recover(spark, path + CHANGES)
+    return spark.read.parquet(path)
+
+
+def _among(column: str, days: set[date | None]) -> Column:
+    """Whether a partition's day is one of some, of which one may be null."""
+    known = F.col(column).isin([d for d in days if d is not None])
+    return known | F.col(column).isNull() if None in days else F.coalesce(known, F.lit(False))
+
+
+def _days(rows: DataFrame, day: Column) -> set[date | None]:
+    """Distinct days: as many as there are partitions to read."""
+    return {r[0] for r in rows.select(day).distinct().collect()}
+
+
+def _keys(jobs: DataFrame) -> DataFrame:
+    return jobs.select("machine", *KEY, "end_ts", F.to_date("submit").alias("submit_date"))
+
+
+def _index(spark: SparkSession, path: str, machine: str) -> DataFrame | None:
+    """The keys of a machine's stored jobs; made from the whole table once, where it was written without them."""
+    index, jobs = _stored(spark, path + KEYS, machine), _stored(spark, path, None)
+    if index is None and jobs is not None:
+        change = Change(spark, path + CHANGES)
+        change.put(_keys(jobs).hint("rebalance", "machine", "submit_date"), path + KEYS, "machine", "submit_date")
+        change.commit()
+        index = _stored(spark, path + KEYS, machine)
+    return index
+
+
+@dataclass(frozen=True)
+class Taken:
+    """The machine's job table as it will be, and the site days on which jobs come in or change."""
+
+    jobs: DataFrame
+    days: set[date]
+
+
+def take_up(change: Change, records: DataFrame, path: str, machine: str, mode: str) -> Taken:
+    """Stage the partitions of jobs and keys that records change: jobs the index lacks come in, in an upsert those it has change."""
+    spark, upsert = change.spark, mode == "upsert"
+    new = stored((clean_for_upsert if upsert else clean)(records))
+    table, index = _stored(spark, path, machine), _index(spark, path, machine)
+    if table is None or index is None:
+        fresh, changed = new, new.limit(0)
+    else:
+        held = index.where(_among("submit_date", _days(new, F.to_date("submit"))))
+        known = stored(new.select(*KEY).alias("n").join(held.alias("h"), _same("n", "h")).select("h.job_id", "h.submit", "h.end_ts"))
+        fresh = new.alias("n").join(known.alias("h"), _same("n", "h"), "left_anti")
+        changed = known if upsert else known.limit(0)
+    coming = fresh.select("end_ts").unionByName(changed.select("end_ts"))
+    touched = _days(coming, F.to_date("end_ts"))
+    if not touched:
+        return Taken(charged(fresh, machine).withColumn("end_date", F.to_date("end_ts")) if table is None else table, set())
+    if table is None:
+        after, rest = charged(fresh, machine), None
+    else:
+        own, rest = table.where(_among("end_date", touched)).drop("end_date"), table.where(~_among("end_date", touched))
+        after = upserted(own, new, machine) if upsert else own.unionByName(charged(fresh, machine), allowMissingColumns=True)
+    staged = spark.read.parquet(change.put(_partitioned(after), path, "machine", "end_date"))
+    keys, submitted = _keys(fresh), _days(fresh, F.to_date("submit"))
+    if index is not None:
+        keys = index.where(_among("submit_date", submitted)).select(*keys.columns).unionByName(keys)
+    change.put(keys.hint("rebalance", "machine", "submit_date"), path + KEYS, "machine", "submit_date")
+    days = {d for d in _days(coming, site_day(F.col("end_ts"))) if d is not None}
+    return Taken(staged if rest is None else rest.unionByName(staged, allowMissingColumns=True), days)
+
+
+def put_summary(change: Change, jobs: DataFrame, days: list[date], machine: str, path: str) -> None:
+    """Stage the roll-up's days, a partition each."""
+    runs = [rollup.daily_summary(_ending(jobs, first, last + timedelta(days=1)), first, last) for first, last in rollup.contiguous(days)]
+    if runs:
+        rows = reduce(DataFrame.unionByName, runs).withColumn("machine", F.lit(machine))
+        change.put(rows.repartition("date"), path, "machine", "date")
+
+
+def summarized(spark: SparkSession, path: str, machine: str, days: Iterable[date]) -> set[date]:
+    """Those of some days that the stored roll-up has."""
+    had = _stored(spark, path, machine)
+    return set() if had is None else {r.date for r in rollup.summarized_days(had.where(F.col("date").isin(list(days)))).collect()}
 
 
 @dataclass(frozen=True)
@@ -132,45 +235,40 @@ def sync_days(spark: SparkSession, logs: str, jobs: str, summary: str, machine:
 
     Incremental leaves days alone that the roll-up has. A day without a log file
     fails: it gets no roll-up, so a later run takes it up; a day whose file has no
-    jobs gets its marker. Only the job partitions on which new records end are
-    read and replaced; recalculate and resummarize read no logs.
+    jobs gets its marker. Days synced apart or together give the same tables. The
+    roll-up of other days that it has is renewed where jobs come in or change;
+    recalculate and resummarize read no logs.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     days = [start + timedelta(days=i) for i in range((end - start).days + 1)]
-    known, skipped, failed = _stored(spark, jobs, machine), [], []
+    change = Change(spark, jobs + CHANGES)
+    after, skipped, failed, renewed = _stored(spark, jobs, machine), [], [], set(days)
     if mode == "recalculate":
-        if known is not None:
-            write_jobs(recalculated(_ending(known, start - timedelta(days=1), end + timedelta(days=1)), machine, start, end), jobs)
+        if after is not None:
+            first, last = start - timedelta(days=1), end + timedelta(days=1)
+            around = F.coalesce(F.col("end_date").between(F.lit(first), F.lit(last)), F.lit(False))
+            inside = recalculated(after.where(around).drop("end_date"), machine, start, end)
+            if not inside.limit(1).isEmpty():
+                after = after.where(~around).unionByName(spark.read.parquet(change.put(_partitioned(inside), jobs, "machine", "end_date")), allowMissingColumns=True)
     elif mode != "resummarize":
-        done = set()
-        if mode == "incremental" and (had := _stored(spark, summary, machine)) is not None:
-            inside = F.col("date").between(F.lit(start), F.lit(end))
-            done = {r.date for r in rollup.summarized_days(had.where(inside)).collect()}
+        done = summarized(spark, summary, machine, days) if mode == "incremental" else set()
         there = days_with_logs(spark, logs, days)
         skipped = [d for d in days if d in done]
         failed = [d for d in days if d not in done and d not in there]
         days = [d for d in days if d not in done and d in there]
         if days:
-            _take_up(clean(parse(read_days(spark, logs, days), machine)), known, jobs, machine, mode)
-    stored = _stored(spark, jobs, machine)
-    if stored is not None:
-        for first, last in rollup.contiguous(days):
-            write_summary(rollup.daily_summary(_ending(stored, first, last + timedelta(days=1)), first, last), machine, summary)
+            taken = take_up(change, parse(read_days(spark, logs, days), machine), jobs, machine, mode)
+            after = taken.jobs
+            renewed = set(days) | summarized(spark, summary, machine, taken.days)
+        else:
+            renewed = set()
+    if after is not None:
+        put_summary(change, after, sorted(renewed), machine, summary)
+    change.commit()
     return Synced(days, skipped, failed)
 
 
 def _ending(jobs: DataFrame, first: date, last: date) -> DataFrame:
     """Stored jobs of UTC end days: whole partitions."""
     return jobs.where(F.col("end_date").between(F.lit(first), F.lit(last)))
-
-
-def _take_up(new: DataFrame, known: DataFrame | None, path: str, machine: str, mode: str) -> None:
-    if known is None:
-        write_jobs(charged(new, machine), path)
-        return
-    # A day's log holds jobs that ended on it, so these days are about as many as the files.
-    ends = [r[0] for r in new.select(F.to_date("end_ts")).distinct().collect()]
-    touched: Sequence[date] = [d for d in ends if d is not None]
-    own = F.col("end_date").isin(touched) | (F.col("end_date").isNull() if None in ends else F.lit(False))
-    write_jobs((upserted if mode == "upsert" else added)(known.where(own), new, machine), path)

@@ -26,11 +26,11 @@ def read_days(spark: SparkSession, folder: str, days: Iterable[date]) -> DataFra
 
 
 def days_with_logs(spark: SparkSession, folder: str, days: Iterable[date]) -> set[date]:
-    """Those of the days that have a file; files are listed, not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]" * 8).load(folder)
-    wanted = {f"{d:%Y%m%d}": d for d in days}
-    names = files.select(F.substring_index("path", "/", -1).alias("name")).where(F.col("name").isin(list(wanted))).collect()
-    return {wanted[r.name] for r in names}
+    """Those of the days that have a file, or a folder of parts; the folder is listed, nothing read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    names = {s.getPath().getName() for s in listed}
+    return {d for d in days if f"{d:%Y%m%d}" in names}
 
 
 def attribute(key: str) -> Column:

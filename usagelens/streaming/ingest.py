@@ -2,43 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from usagelens.plans.ingest import added, clean
+from usagelens.plans import ingest
+from usagelens.sinks.commit import Change
 from usagelens.sources.scheduler_log import parse
 
+#: A log file, or the folder of a file's parts, is called by its day.
+LOG_DAY = r"/(\d{8})(?:/[^/]*)?$"
+
 
-def stream_logs(spark: SparkSession, folder: str, path: str, checkpoint: str, machine: str) -> StreamingQuery:
-    """Add the jobs of new log files to the table at path, a micro-batch at a time.
+def stream_logs(
+    spark: SparkSession, folder: str, path: str, checkpoint: str, machine: str, summary: str | None = None, mode: str = "plain", files_a_batch: int | None = None,
+) -> StreamingQuery:
+    """Take new log files up into the job table at path, and the roll-up if one is named, a micro-batch at a time.
 
-    Jobs the table has are left alone, so a batch that runs twice after a lost
-    driver changes nothing the second time. The batch's id names its folder.
+    A batch is what a sync of its files' days is: the index of keys tells known
+    jobs of any earlier batch, so late and requeued records find theirs, and the
+    roll-up of days that it has is renewed where late jobs end. All tables change
+    by one commit; a batch that runs again after a lost driver finishes that
+    commit, or does the same once more, and changes nothing the second time.
     """
-    lines = spark.readStream.format("text").load(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    if mode not in ("plain", "upsert"):
+        raise ValueError("a stream takes records up in plain or in upsert")
+    reader = spark.readStream.format("text")
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    lines = reader.load(folder).select("value", F.col("_metadata.file_path").alias("file"))
 
     def add(batch: DataFrame, number: int) -> None:
-        new = clean(parse(batch.withColumn("line", F.monotonically_increasing_id()), machine))
-        target = f"{path}/batch={number}"
-        # A known job ends on the same day, so only files that may hold the batch's days are read.
-        days = new.agg(F.min("end_ts"), F.max("end_ts")).first()
-        existing = _others(batch.sparkSession, path, number)
-        if existing is not None and days[0] is not None:
-            existing = existing.where(F.col("end_ts").isNull() | F.col("end_ts").between(F.lit(days[0]), F.lit(days[1])))
-        told = added(existing, new, machine).where("batch is null").drop("batch") if existing is not None else added(new.limit(0), new, machine)
-        told.write.mode("overwrite").parquet(target)
+        session = batch.sparkSession
+        change = Change(session, path + ingest.CHANGES)
+        taken = ingest.take_up(change, parse(batch.withColumn("line", F.monotonically_increasing_id()), machine), path, machine, mode)
+        if summary is not None:
+            # A row a file of the batch at most.
+            names = batch.select(F.regexp_extract("file", LOG_DAY, 1).alias("day")).where("day <> ''").distinct().collect()
+            days = {datetime.strptime(r.day, "%Y%m%d").date() for r in names}
+            ingest.put_summary(change, taken.jobs, sorted(days | ingest.summarized(session, summary, machine, taken.days)), machine, summary)
+        change.commit()
 
     return lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _others(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """What other batches wrote, with a batch column; None before the first."""
-    try:
-        found = spark.read.parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return found.where(F.col("batch") != number)
