@@ -1,7 +1,7 @@
 """Scheduler accounting logs: one text file a day, one record a line.
 
 A line is time;type;job id;key=value ...; records of type E become job rows.
-Everything is a column expression over spark.read.text.
+Everything is a column expression over spark.read.text; a record's pairs are split once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 QUEUE_GPUS = {"a100": "a100", "h100": "h100", "l40": "l40", "nvgpu": "v100"}
 MACHINE_CPU = {"derecho": "milan"}
 EPOCH = "1970-01-01 00:00:00"
+# What is read of a record.
+ATTRIBUTES = (
+    "user", "account", "queue", "jobname", "Exit_status", "run_count", "eligible_time", "ctime", "qtime", "etime", "start", "end",
+    "Resource_List.select", "Resource_List.ncpus", "Resource_List.ngpus", "Resource_List.nodect", "Resource_List.mem", "Resource_List.walltime",
+    "Resource_List.mpiprocs", "Resource_List.job_priority", "resources_used.walltime", "resources_used.mem", "resources_used.vmem",
+)
 
 
 def read_days(spark: SparkSession, folder: str, days: Iterable[date]) -> DataFrame:
@@ -34,9 +40,17 @@ def days_with_logs(spark: SparkSession, folder: str, days: Iterable[date]) -> se
 
 
 def attribute(key: str) -> Column:
-    """The last value of a key in a record, null if it has none."""
-    found = F.regexp_extract_all(F.col("attributes"), F.lit(rf'(?:^|\s){key.replace(".", r"[.]")}=("[^"]*"|\S*)'), F.lit(1))
-    return F.element_at(F.when(F.size(found) > 0, found), -1)
+    """The last value of a key in a record split by `told`, null if it has none."""
+    return F.col("told")[ATTRIBUTES.index(key)]
+
+
+def told(attributes: Column) -> Column:
+    """The values of ATTRIBUTES, in their order: key=value pairs, with quotes around values that hold spaces, are split once."""
+    pair = F.lit(r'(?:^|\s)([^\s=]+)=("[^"]*"|\S*)')
+    split = [F.reverse(F.regexp_extract_all(attributes, pair, F.lit(i))) for i in (1, 2)]  # the last of a key comes first
+    both = F.struct(split[0].alias("names"), split[1].alias("values"))
+    wanted = F.array(*[F.lit(k) for k in ATTRIBUTES])
+    return F.get(F.transform(F.array(both), lambda r: F.transform(wanted, lambda k: F.get(r["values"], F.nullif(F.array_position(r["names"], k), F.lit(0)) - 1))), F.lit(0))
 
 
 def seconds(text: Column) -> Column:
@@ -80,7 +94,7 @@ def parse(lines: DataFrame, machine: str) -> DataFrame:
     fields = F.split("value", ";", 4)
     records = lines.where(F.size(fields) == 4).select(
         "*", fields[1].alias("type"), fields[2].alias("job_id"), fields[3].alias("attributes")
-    ).where("type = 'E'")
+    ).where("type = 'E'").withColumn("told", told(F.col("attributes")))
     select = F.coalesce(attribute("Resource_List.select"), F.lit(""))
     own = {k: attribute(k) for k in ("user", "account", "queue", "jobname", "Exit_status", "run_count", "eligible_time")}
     listed = {k: attribute(f"Resource_List.{k}") for k in ("ncpus", "ngpus", "nodect", "mem", "walltime", "mpiprocs", "job_priority")}
