@@ -20,6 +20,7 @@ from usagelens.functions.patterns import matches_any
 
 # Mount points that paths may be given with.
 MOUNTS = ("/glade/campaign", "/gpfs/csfs1", "/glade/derecho/scratch", "/lustre/desc1")
+# What listings may be sorted by.
 SORTS = {
     "size": "total_size_r", "size_r": "total_size_r", "size_nr": "total_size_nr", "files": "file_count_r", "files_r": "file_count_r",
     "files_nr": "file_count_nr", "dirs": "dir_count_r", "dirs_r": "dir_count_r", "dirs_nr": "dir_count_nr", "atime": "max_atime_r",
@@ -129,9 +130,10 @@ class DirectoryFilters:
 
 class DirectoryQueries:
     def __init__(self, directories: DataFrame, scans: DataFrame | None = None, histograms: DataFrame | None = None, names: DataFrame | None = None,
-                 groups: DataFrame | None = None):
-        """directories (with filesystem), scans (filesystem, scan_timestamp), histograms of files, names (uid, username), groups (gid, groupname)."""
+                 groups: DataFrame | None = None, directory_histograms: DataFrame | None = None):
+        """directories (with filesystem), scans (filesystem, scan_timestamp), histograms of files, names (uid, username), groups (gid, groupname), histograms by directory."""
         self.directories, self.scans, self.histograms, self.names, self.groups = directories, scans, histograms, names, groups
+        self.directory_histograms = directory_histograms
 
     def _rows(self, filters: DirectoryFilters | None, filesystems: Sequence[str] | None) -> DataFrame:
         rows = self.directories.where((filters or DirectoryFilters()).predicate())
@@ -254,6 +256,29 @@ class DirectoryQueries:
         summed = both.groupBy("bucket_index").agg(F.sum("file_count").alias("file_count"), F.sum("total_size").alias("total_size"))
         return exact.select("bucket_index", "label").join(summed, "bucket_index").select("bucket_index", "label", "file_count", "total_size", F.lit(bool(parts)).alias("approximate"))
 
+    def exact_histogram(self, kind: str, filters: DirectoryFilters | None = None, owner: int | None = None, filesystems: Sequence[str] | None = None, by_owner: bool = False) -> DataFrame:
+        """File histogram of any scope counted by file, from the histograms kept by directory; bands without files are left out.
+
+        Where the filters are path prefixes alone, a prefix is one look at what is
+        kept for all files below it. Any other filter chooses directories, whose
+        own files count. Owner is the owner of the files.
+        """
+        filters = filters or DirectoryFilters()
+        rows = self.directory_histograms.where(F.col("kind") == kind)
+        if owner is not None:
+            rows = rows.where(F.col("owner_uid") == owner)
+        if filesystems is not None:
+            rows = rows.where(F.col("filesystem").isin(list(filesystems)))
+        if filters == DirectoryFilters(paths=filters.paths):
+            kept = ["/"] if filters.paths is None else collapse(filters.paths)
+            top = F.length(F.translate("path", "/", "")) == F.length("path") - 1
+            rows, suffix = rows.where(top if "/" in kept else F.col("path").isin(kept)), "_r"
+        else:
+            chosen = self._rows(filters, filesystems).select("filesystem", "path")
+            rows, suffix = rows.where("file_count_nr > 0").join(chosen, ["filesystem", "path"], "left_semi"), "_nr"
+        keys = ["bucket_index", *(["owner_uid"] if by_owner else [])]
+        return rows.groupBy(*keys).agg(F.sum(f"file_count{suffix}").alias("file_count"), F.sum(f"total_size{suffix}").alias("total_size"))
+
     def top_owners(self, kind: str, top: int = 10) -> DataFrame:
         """The largest owners of each band with their share of it, and how many more there are."""
         owners = self.histograms.where(F.col("kind") == kind).groupBy("bucket_index", "owner_uid").agg(F.sum("total_size").alias("total_size"), F.sum("file_count").alias("file_count"))

@@ -1,9 +1,10 @@
 """Import of scan logs: from log files of a collection to its stored directory tables.
 
 A collection has a partition (filesystem) in each table below a root: directories,
-histograms of files, summaries of owners and of groups, and the scan itself. An
-import replaces the collection's partitions and leaves the others. Directories lie
-in ranges of paths, sorted, so that a path prefix prunes files by their minima and maxima.
+histograms of files as a whole and by directory, summaries of owners and of groups,
+and the scan itself. An import replaces the collection's partitions by one commit
+and leaves the others. Directories, and their histograms, lie in ranges of paths,
+sorted, so that a path prefix prunes files by their minima and maxima.
 """
 
 from __future__ import annotations
@@ -16,14 +17,11 @@ from pyspark.sql import functions as F
 from usagelens.operators.directories import DirectoryQueries
 from usagelens.plans import tree
 from usagelens.session import stored
+from usagelens.sinks.commit import Change, file_system, recover
 from usagelens.sources import scan_log
 
-TABLES = ("directories", "histograms", "owner_uid_summary", "owner_gid_summary", "scans")
-
-
-def _write(rows: DataFrame, root: str, table: str, filesystem: str) -> None:
-    named = rows.drop("filesystem").withColumn("filesystem", F.lit(filesystem))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filesystem").parquet(f"{root}/{table}")
+TABLES = ("directories", "histograms", "directory_histograms", "owner_uid_summary", "owner_gid_summary", "scans")
+CHANGES = "changes"
 
 
 def import_entries(entries: DataFrame, root: str, filesystem: str, scanned: datetime | None, source: str = "") -> None:
@@ -31,11 +29,16 @@ def import_entries(entries: DataFrame, root: str, filesystem: str, scanned: date
     entries = stored(entries)
     at = F.lit(None if scanned is None else scanned.isoformat(" ")).cast("timestamp_ntz")
     dirs = stored(tree.directories(entries))
-    _write(dirs.repartitionByRange("path").sortWithinPartitions("path"), root, "directories", filesystem)
-    _write(tree.file_histograms(entries, at).coalesce(1), root, "histograms", filesystem)
-    for entity in ("owner_uid", "owner_gid"):
-        _write(tree.entity_summary(dirs, entity), root, f"{entity}_summary", filesystem)
-    _write(tree.scan_metadata(entries, source, at, filesystem), root, "scans", filesystem)
+    by_path = lambda rows: rows.repartitionByRange("path").sortWithinPartitions("path")
+    tables = {
+        "directories": by_path(dirs), "histograms": tree.file_histograms(entries, at).coalesce(1), "directory_histograms": by_path(tree.directory_histograms(entries, at)),
+        "owner_uid_summary": tree.entity_summary(dirs, "owner_uid"), "owner_gid_summary": tree.entity_summary(dirs, "owner_gid"),
+        "scans": tree.scan_metadata(entries, source, at, filesystem),
+    }
+    change = Change(entries.sparkSession, f"{root}/{CHANGES}")
+    for name in TABLES:
+        change.put(tables[name].drop("filesystem").withColumn("filesystem", F.lit(filesystem)), f"{root}/{name}", "filesystem")
+    change.commit()
 
 
 def import_scan(spark: SparkSession, logs: str, root: str, filesystem: str | None = None, kind: str | None = None, scanned: datetime | None = None) -> str:
@@ -54,6 +57,9 @@ def import_scan(spark: SparkSession, logs: str, root: str, filesystem: str | Non
 
 
 def open_collections(spark: SparkSession, root: str, names: DataFrame | None = None, groups: DataFrame | None = None) -> DirectoryQueries:
-    """Questions about all collections stored below a root."""
+    """Questions about all collections stored below a root, after what a lost driver has left undone."""
+    recover(spark, f"{root}/{CHANGES}")
     read = lambda table: spark.read.parquet(f"{root}/{table}").withColumn("filesystem", F.col("filesystem").cast("string"))
-    return DirectoryQueries(read("directories"), read("scans"), read("histograms"), names, groups)
+    fs, path = file_system(spark, root)
+    by_directory = read("directory_histograms") if fs.exists(path(f"{root}/directory_histograms")) else None
+    return DirectoryQueries(read("directories"), read("scans"), read("histograms"), names, groups, by_directory)

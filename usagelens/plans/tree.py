@@ -92,17 +92,36 @@ def entity_summary(dirs: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def file_histograms(entries: DataFrame, scan_date: Column) -> DataFrame:
-    """kind, owner_uid, bucket_index, file_count and total_size: each file by access age and by size."""
+def file_histograms(entries: DataFrame, scan_date: Column, *keys: Column) -> DataFrame:
+    """kind, owner_uid, bucket_index, file_count and total_size: each file by access age and by size, and by further keys."""
     kinds = F.explode(F.array(
         F.struct(F.lit("access").alias("kind"), atime_bucket(F.col("atime"), scan_date).alias("bucket_index")),
         F.struct(F.lit("size").alias("kind"), size_bucket(F.col("allocated")).alias("bucket_index")),
     ))
-    return entries.where("not is_dir").select(F.col("uid").alias("owner_uid"), "allocated", kinds.alias("k")).groupBy("k.kind", "owner_uid", "k.bucket_index").agg(
+    files = entries.where("not is_dir").select(*keys, F.col("uid").alias("owner_uid"), "allocated", kinds.alias("k"))
+    return files.groupBy(*files.columns[: len(keys)], "k.kind", "owner_uid", "k.bucket_index").agg(
         F.count(F.lit(1)).alias("file_count"), F.sum("allocated").alias("total_size")
     )
 
 
+def directory_histograms(entries: DataFrame, scan_date: Column) -> DataFrame:
+    """The same by path: of the files directly in a directory (_nr) and of all below it (_r), for every directory above a file.
+
+    Files are counted by directory before they are told to the directories above, so bands and owners, which are few,
+    are what is shuffled.
+    """
+    by_dir = file_histograms(entries, scan_date, parent_of(F.col("path")).alias("path"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    own = by_dir.withColumnRenamed("path", "own_path").withColumn("path", F.col("own_path")).withColumn("path", F.explode(F.when(F.size(parts) > 1, above).otherwise(F.array("path"))))
+    directly = F.col("path") == F.col("own_path")
+    zero = F.lit(0).cast("bigint")
+    return own.groupBy("path", "kind", "owner_uid", "bucket_index").agg(
+        F.sum(F.when(directly, F.col("file_count")).otherwise(zero)).alias("file_count_nr"), F.sum(F.when(directly, F.col("total_size")).otherwise(zero)).alias("total_size_nr"),
+        F.sum("file_count").alias("file_count_r"), F.sum("total_size").alias("total_size_r"),
+    )
+
+
 def scan_metadata(entries: DataFrame, source: str, scanned: Column, filesystem: str) -> DataFrame:
     files = ~F.col("is_dir")
     return entries.agg(

@@ -492,7 +492,7 @@ register("records_missing", lambda s, d: records.without_record(*_archived(s, d)
 # directories
 
 
-def _with_entries(body: str) -> str:
+def with_entries(body: str) -> str:
     return f"""WITH {ENTRIES_CTE}, dirs AS (SELECT path, parent FROM entries WHERE is_dir), files AS (SELECT * FROM entries WHERE NOT is_dir),
       own AS (SELECT parent AS path, COUNT(*) AS n, SUM(allocated) AS size, MAX(atime) AS atime, MIN(uid) AS lo, MAX(uid) AS hi, MIN(gid) AS glo, MAX(gid) AS ghi FROM files GROUP BY parent),
       inner_dirs AS (SELECT parent AS path, COUNT(*) AS n FROM dirs GROUP BY parent),
@@ -522,11 +522,11 @@ def _directories(spark: SparkSession, sf_dir: str) -> DirectoryQueries:
 
 _LISTED = ("path", "depth", "file_count_nr", "total_size_nr", "dir_count_nr", "max_atime_nr", "file_count_r", "total_size_r", "dir_count_r", "max_atime_r", "owner_uid", "owner_gid")
 _LISTED_SQL = ", ".join(_LISTED)
-register("directory_tree", lambda s, d: tree.directories(_entries(s, d)).select(*_LISTED), _with_entries(f"SELECT {_LISTED_SQL} FROM tree"))
+register("directory_tree", lambda s, d: tree.directories(_entries(s, d)).select(*_LISTED), with_entries(f"SELECT {_LISTED_SQL} FROM tree"))
 register(
     "directory_ids",
     lambda s, d: tree.directories(_entries(s, d)).select("dir_id", "parent_id", "name", "path", "anc_d1", "anc_d2", "anc_d3", "anc_d4"),
-    _with_entries("""SELECT a.dir_id, b.dir_id AS parent_id, SPLIT_PART(a.path, '/', -1) AS name, a.path, '/' || SPLIT_PART(a.path, '/', 2) AS anc_d1,
+    with_entries("""SELECT a.dir_id, b.dir_id AS parent_id, SPLIT_PART(a.path, '/', -1) AS name, a.path, '/' || SPLIT_PART(a.path, '/', 2) AS anc_d1,
         CASE WHEN a.depth >= 2 THEN '/' || SPLIT_PART(a.path, '/', 2) || '/' || SPLIT_PART(a.path, '/', 3) END AS anc_d2, CASE WHEN a.depth >= 3 THEN a.path END AS anc_d3, CAST(NULL AS STRING) AS anc_d4
       FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY depth, path) - 1 AS dir_id FROM tree) a LEFT JOIN (SELECT path, ROW_NUMBER() OVER (ORDER BY depth, path) - 1 AS dir_id FROM tree) b ON a.parent = b.path"""),
 )
@@ -545,50 +545,50 @@ DIRECTORY_FILTERS: dict[str, tuple[DirectoryFilters, str]] = {
     "avg_size": (DirectoryFilters(min_avg_size=8 * 10**9, max_avg_size=10**10), "file_count_nr > 0 AND total_size_nr // file_count_nr >= 8000000000 AND total_size_nr // file_count_nr < 10000000000"),
 }
 for _name, (_filters, _where) in DIRECTORY_FILTERS.items():
-    register(f"directories_{_name}", lambda s, d, f=_filters: _directories(s, d).list(f, limit=None).select(*_LISTED), _with_entries(f"SELECT {_LISTED_SQL} FROM tree WHERE {_where}"))
-register("directories_largest", lambda s, d: _directories(s, d).list(DirectoryFilters(min_depth=3), limit=50).select(*_LISTED), _with_entries(f"SELECT {_LISTED_SQL} FROM tree WHERE depth >= 3 ORDER BY total_size_r DESC, path LIMIT 50"))
-register("directories_oldest", lambda s, d: _directories(s, d).list(DirectoryFilters(min_depth=3), sort="atime", descending=False, limit=20).select(*_LISTED), _with_entries(f"SELECT {_LISTED_SQL} FROM tree WHERE depth >= 3 ORDER BY max_atime_r ASC NULLS FIRST, path LIMIT 20"))
-register("directory_totals", lambda s, d: _directories(s, d).total(), _with_entries("SELECT 'tank' AS filesystem, COUNT(*) AS total_directories, CAST(SUM(file_count_nr) AS BIGINT) AS total_files, MAX(CASE WHEN parent = '' THEN total_size_r END) AS total_size FROM tree"))
+    register(f"directories_{_name}", lambda s, d, f=_filters: _directories(s, d).list(f, limit=None).select(*_LISTED), with_entries(f"SELECT {_LISTED_SQL} FROM tree WHERE {_where}"))
+register("directories_largest", lambda s, d: _directories(s, d).list(DirectoryFilters(min_depth=3), limit=50).select(*_LISTED), with_entries(f"SELECT {_LISTED_SQL} FROM tree WHERE depth >= 3 ORDER BY total_size_r DESC, path LIMIT 50"))
+register("directories_oldest", lambda s, d: _directories(s, d).list(DirectoryFilters(min_depth=3), sort="atime", descending=False, limit=20).select(*_LISTED), with_entries(f"SELECT {_LISTED_SQL} FROM tree WHERE depth >= 3 ORDER BY max_atime_r ASC NULLS FIRST, path LIMIT 20"))
+register("directory_totals", lambda s, d: _directories(s, d).total(), with_entries("SELECT 'tank' AS filesystem, COUNT(*) AS total_directories, CAST(SUM(file_count_nr) AS BIGINT) AS total_files, MAX(CASE WHEN parent = '' THEN total_size_r END) AS total_size FROM tree"))
 for _entity in ("owner_uid", "owner_gid"):
     _sums = "CAST(SUM(total_size_nr) AS BIGINT) AS total_size, CAST(SUM(file_count_nr) AS BIGINT) AS total_files, COUNT(*) AS directory_count"
-    register(f"{_entity}_summary", lambda s, d, e=_entity: tree.entity_summary(tree.directories(_entries(s, d)), e), _with_entries(f"SELECT {_entity}, {_sums} FROM tree WHERE {_entity} >= 0 GROUP BY {_entity}"))
+    register(f"{_entity}_summary", lambda s, d, e=_entity: tree.entity_summary(tree.directories(_entries(s, d)), e), with_entries(f"SELECT {_entity}, {_sums} FROM tree WHERE {_entity} >= 0 GROUP BY {_entity}"))
     register(
         f"{_entity}_scoped", lambda s, d, e=_entity: _directories(s, d).by_entity(e, DirectoryFilters(paths=["/ASIA"]), breakdown=True),
-        _with_entries(f"SELECT 'tank' AS filesystem, {_entity}, {_sums} FROM tree WHERE {_entity} >= 0 AND (path = '/ASIA' OR path LIKE '/ASIA/%') GROUP BY {_entity}"),
+        with_entries(f"SELECT 'tank' AS filesystem, {_entity}, {_sums} FROM tree WHERE {_entity} >= 0 AND (path = '/ASIA' OR path LIKE '/ASIA/%') GROUP BY {_entity}"),
     )
 register(
     "owner_names", lambda s, d: (lambda q: q.named(q.by_entity("owner_uid")).select("owner_uid", "username", "total_files"))(_directories(s, d)),
-    _with_entries("SELECT owner_uid, CASE owner_uid WHEN 1000 THEN 'root' WHEN 1003 THEN 'ann' ELSE CAST(owner_uid AS STRING) END AS username, CAST(SUM(file_count_nr) AS BIGINT) AS total_files FROM tree WHERE owner_uid >= 0 GROUP BY owner_uid"),
+    with_entries("SELECT owner_uid, CASE owner_uid WHEN 1000 THEN 'root' WHEN 1003 THEN 'ann' ELSE CAST(owner_uid AS STRING) END AS username, CAST(SUM(file_count_nr) AS BIGINT) AS total_files FROM tree WHERE owner_uid >= 0 GROUP BY owner_uid"),
 )
 
 
-def _age_case(column: str) -> str:
+def age_case(column: str) -> str:
     return f"CASE WHEN {column} IS NULL THEN 9 " + " ".join(f"WHEN {column} > TIMESTAMP '{SCANNED}' - INTERVAL '{days}' DAY THEN {i}" for i, (_, days) in enumerate(buckets.ATIME_DAYS[:-1])) + " ELSE 9 END"
 
 
-def _size_case(column: str) -> str:
+def size_case(column: str) -> str:
     return "CASE " + " ".join(f"WHEN {column} < {top} THEN {i}" for i, (_, top) in enumerate(buckets.FILE_SIZES[:-1])) + " ELSE 9 END"
 
 
 _BUCKETED = "CAST(SUM(file_count_nr) AS BIGINT) AS file_count, CAST(SUM(total_size_nr) AS BIGINT) AS total_size FROM tree WHERE file_count_nr > 0"
-register("access_history", lambda s, d: _directories(s, d).access_history(by_owner=True), _with_entries(f"SELECT {_age_case('max_atime_nr')} AS bucket_index, owner_uid, {_BUCKETED} GROUP BY 1, 2"))
-register("file_size_history", lambda s, d: _directories(s, d).file_sizes(DirectoryFilters(paths=["/ASIA"])), _with_entries(f"SELECT {_size_case('(total_size_nr // file_count_nr)')} AS bucket_index, {_BUCKETED} AND (path = '/ASIA' OR path LIKE '/ASIA/%') GROUP BY 1"))
-for _kind, _case, _labels in (("access", _age_case("atime"), buckets.ATIME_DAYS), ("size", _size_case("allocated"), buckets.FILE_SIZES)):
+register("access_history", lambda s, d: _directories(s, d).access_history(by_owner=True), with_entries(f"SELECT {age_case('max_atime_nr')} AS bucket_index, owner_uid, {_BUCKETED} GROUP BY 1, 2"))
+register("file_size_history", lambda s, d: _directories(s, d).file_sizes(DirectoryFilters(paths=["/ASIA"])), with_entries(f"SELECT {size_case('(total_size_nr // file_count_nr)')} AS bucket_index, {_BUCKETED} AND (path = '/ASIA' OR path LIKE '/ASIA/%') GROUP BY 1"))
+for _kind, _case, _labels in (("access", age_case("atime"), buckets.ATIME_DAYS), ("size", size_case("allocated"), buckets.FILE_SIZES)):
     _values = ", ".join(f"({i}, '{label}')" for i, (label, _) in enumerate(_labels))
     register(
         f"file_histogram_{_kind}", lambda s, d, k=_kind: _directories(s, d).file_histogram(k),
-        _with_entries(f"""SELECT t.bucket_index, t.label, COALESCE(h.n, 0) AS file_count, CAST(COALESCE(h.size, 0) AS BIGINT) AS total_size FROM (VALUES {_values}) t(bucket_index, label)
+        with_entries(f"""SELECT t.bucket_index, t.label, COALESCE(h.n, 0) AS file_count, CAST(COALESCE(h.size, 0) AS BIGINT) AS total_size FROM (VALUES {_values}) t(bucket_index, label)
           LEFT JOIN (SELECT {_case} AS b, COUNT(*) AS n, SUM(allocated) AS size FROM files GROUP BY 1) h ON t.bucket_index = h.b"""),
     )
 register(
     "top_owners_by_age", lambda s, d: rounded(_directories(s, d).top_owners("access", 3), 6),
-    _with_entries(f"""SELECT bucket_index, owner_uid, CAST(total_size AS BIGINT) AS total_size, file_count, CAST(place AS INTEGER) AS place, ROUND(total_size / whole, 6) AS share, GREATEST(n - 3, 0) AS more FROM (
+    with_entries(f"""SELECT bucket_index, owner_uid, CAST(total_size AS BIGINT) AS total_size, file_count, CAST(place AS INTEGER) AS place, ROUND(total_size / whole, 6) AS share, GREATEST(n - 3, 0) AS more FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY bucket_index ORDER BY total_size DESC, owner_uid) AS place, CAST(SUM(total_size) OVER (PARTITION BY bucket_index) AS DOUBLE) AS whole, COUNT(*) OVER (PARTITION BY bucket_index) AS n
-        FROM (SELECT {_age_case('atime')} AS bucket_index, uid AS owner_uid, SUM(allocated) AS total_size, COUNT(*) AS file_count FROM files GROUP BY 1, 2) g) r WHERE place <= 3"""),
+        FROM (SELECT {age_case('atime')} AS bucket_index, uid AS owner_uid, SUM(allocated) AS total_size, COUNT(*) AS file_count FROM files GROUP BY 1, 2) g) r WHERE place <= 3"""),
 )
 register(
     "scan_metadata", lambda s, d: tree.scan_metadata(_entries(s, d), "scan.list", F.lit(SCANNED).cast("timestamp_ntz"), "tank"),
-    _with_entries(f"SELECT 'scan.list' AS source_file, TIMESTAMP '{SCANNED}' AS scan_timestamp, 'tank' AS filesystem, SUM(CASE WHEN is_dir THEN 1 ELSE 0 END)::BIGINT AS total_directories, SUM(CASE WHEN is_dir THEN 0 ELSE 1 END)::BIGINT AS total_files, SUM(CASE WHEN is_dir THEN 0 ELSE allocated END)::BIGINT AS total_size FROM entries"),
+    with_entries(f"SELECT 'scan.list' AS source_file, TIMESTAMP '{SCANNED}' AS scan_timestamp, 'tank' AS filesystem, SUM(CASE WHEN is_dir THEN 1 ELSE 0 END)::BIGINT AS total_directories, SUM(CASE WHEN is_dir THEN 0 ELSE 1 END)::BIGINT AS total_files, SUM(CASE WHEN is_dir THEN 0 ELSE allocated END)::BIGINT AS total_size FROM entries"),
 )
 
 
@@ -602,11 +602,11 @@ def _collections(spark: SparkSession, sf_dir: str) -> DirectoryQueries:
     return DirectoryQueries(region(tree.directories(_entries(spark, sf_dir))), scans, reduce(DataFrame.unionByName, parts))
 
 
-for _kind, _file_case, _dir_case, _labels in (("access", _age_case("atime"), _age_case("max_atime_nr"), buckets.ATIME_DAYS), ("size", _size_case("allocated"), _size_case("(total_size_nr // file_count_nr)"), buckets.FILE_SIZES)):
+for _kind, _file_case, _dir_case, _labels in (("access", age_case("atime"), age_case("max_atime_nr"), buckets.ATIME_DAYS), ("size", size_case("allocated"), size_case("(total_size_nr // file_count_nr)"), buckets.FILE_SIZES)):
     _values = ", ".join(f"({i}, '{label}')" for i, (label, _) in enumerate(_labels))
     register(
         f"histogram_mixed_{_kind}", lambda s, d, k=_kind: _collections(s, d).histogram(k, DirectoryFilters(paths=["/ASIA", "/EUROPE/FRANCE", "/EUROPE/FRANCE/x"])),
-        _with_entries(f"""SELECT t.bucket_index, t.label, CAST(COALESCE(SUM(h.n), 0) AS BIGINT) AS file_count, CAST(COALESCE(SUM(h.size), 0) AS BIGINT) AS total_size, TRUE AS approximate FROM (VALUES {_values}) t(bucket_index, label)
+        with_entries(f"""SELECT t.bucket_index, t.label, CAST(COALESCE(SUM(h.n), 0) AS BIGINT) AS file_count, CAST(COALESCE(SUM(h.size), 0) AS BIGINT) AS total_size, TRUE AS approximate FROM (VALUES {_values}) t(bucket_index, label)
           LEFT JOIN (SELECT {_file_case} AS b, COUNT(*) AS n, SUM(allocated) AS size FROM files WHERE path LIKE '/ASIA/%' GROUP BY 1
             UNION ALL SELECT {_dir_case}, SUM(file_count_nr), SUM(total_size_nr) FROM tree WHERE file_count_nr > 0 AND (path = '/EUROPE/FRANCE' OR path LIKE '/EUROPE/FRANCE/%') GROUP BY 1) h ON t.bucket_index = h.b
           GROUP BY t.bucket_index, t.label"""),
@@ -636,7 +636,7 @@ for _name, _lines, _parse in (("gpfs", _gpfs_lines, scan_log.parse_gpfs), ("lust
     register(f"scan_log_{_name}", lambda s, d, f=_lines, p=_parse: p(f(s, d)).drop("inode", "fileset_id"), f"WITH {ENTRIES_CTE} SELECT {_PARSED} FROM entries WHERE NOT is_dir")
 
 
-def _imported(spark: SparkSession, sf_dir: str) -> DirectoryQueries:
+def imported(spark: SparkSession, sf_dir: str) -> DirectoryQueries:
     """A scan log of all entries, written as text, imported, and opened again."""
     rows = _entries(spark, sf_dir)
     fields = F.concat(
@@ -650,15 +650,19 @@ def _imported(spark: SparkSession, sf_dir: str) -> DirectoryQueries:
     return importer.open_collections(spark, f"{root}/tables")
 
 
-register("imported_directories", lambda s, d: _imported(s, d).list(limit=None).select("filesystem", "dir_id", *_LISTED), _with_entries(f"SELECT 'tank' AS filesystem, ROW_NUMBER() OVER (ORDER BY depth, path) - 1 AS dir_id, {_LISTED_SQL} FROM tree"))
+register("imported_directories", lambda s, d: imported(s, d).list(limit=None).select("filesystem", "dir_id", *_LISTED), with_entries(f"SELECT 'tank' AS filesystem, ROW_NUMBER() OVER (ORDER BY depth, path) - 1 AS dir_id, {_LISTED_SQL} FROM tree"))
 register(
-    "imported_scans", lambda s, d: _imported(s, d).scans.select("filesystem", "source_file", "scan_timestamp", "total_directories", "total_files", "total_size"),
-    _with_entries("SELECT 'tank' AS filesystem, '19980101_gpfs_tank.list.all.log' AS source_file, TIMESTAMP '1998-01-01' AS scan_timestamp, SUM(CASE WHEN is_dir THEN 1 ELSE 0 END)::BIGINT AS total_directories, SUM(CASE WHEN is_dir THEN 0 ELSE 1 END)::BIGINT AS total_files, SUM(CASE WHEN is_dir THEN 0 ELSE allocated END)::BIGINT AS total_size FROM entries"),
+    "imported_scans", lambda s, d: imported(s, d).scans.select("filesystem", "source_file", "scan_timestamp", "total_directories", "total_files", "total_size"),
+    with_entries("SELECT 'tank' AS filesystem, '19980101_gpfs_tank.list.all.log' AS source_file, TIMESTAMP '1998-01-01' AS scan_timestamp, SUM(CASE WHEN is_dir THEN 1 ELSE 0 END)::BIGINT AS total_directories, SUM(CASE WHEN is_dir THEN 0 ELSE 1 END)::BIGINT AS total_files, SUM(CASE WHEN is_dir THEN 0 ELSE allocated END)::BIGINT AS total_size FROM entries"),
 )
-SCAN_NAMES = ("20260115_gpfs_tank.list.all.log", "20251231_desc1.lfs-scan", "20260229_x.list", "notes.txt")
+# A scan's name for every customer: two formats, one without a collection, one with a day that is none.
+SCAN_NAMES_SQL = """SELECT CASE c_custkey % 4 WHEN 0 THEN '2026' || LPAD(CAST(c_custkey % 12 + 1 AS STRING), 2, '0') || '15_gpfs_c' || CAST(c_custkey AS STRING) || '.list.all.log'
+  WHEN 1 THEN '202512' || LPAD(CAST(c_custkey % 31 + 1 AS STRING), 2, '0') || '_desc' || CAST(c_custkey AS STRING) || '.lfs-scan'
+  WHEN 2 THEN '20260229_c' || CAST(c_custkey AS STRING) || '.list' ELSE 'notes' || CAST(c_custkey AS STRING) || '.txt' END AS name, c_custkey AS k FROM {customer}"""
 register(
-    "scan_names", lambda s, d: s.createDataFrame([(n,) for n in SCAN_NAMES], "name string").select("name", scan_log.file_system(F.col("name")).alias("filesystem"), scan_log.scan_date(F.col("name")).alias("scanned")),
-    """SELECT * FROM (VALUES ('20260115_gpfs_tank.list.all.log', 'tank', TIMESTAMP '2026-01-15'), ('20251231_desc1.lfs-scan', 'desc1', TIMESTAMP '2025-12-31'), ('20260229_x.list', 'x', NULL), ('notes.txt', '', NULL)) t(name, filesystem, scanned)""",
+    "scan_names", lambda s, d: s.sql(SCAN_NAMES_SQL, customer=s.read.parquet(f"{d}/customer.parquet")).select("name", scan_log.file_system(F.col("name")).alias("filesystem"), scan_log.scan_date(F.col("name")).alias("scanned")),
+    f"""SELECT name, CASE k % 4 WHEN 0 THEN 'c' || k WHEN 1 THEN 'desc' || k WHEN 2 THEN 'c' || k ELSE '' END AS filesystem,
+      CASE k % 4 WHEN 0 THEN MAKE_TIMESTAMP(2026, k % 12 + 1, 15, 0, 0, 0) WHEN 1 THEN MAKE_TIMESTAMP(2025, 12, k % 31 + 1, 0, 0, 0) END AS scanned FROM ({SCAN_NAMES_SQL.format(customer="customer")}) n""",
 )
 register("collections", lambda s, d: _collections(s, d).filesystems(), "SELECT LOWER(r_name) AS filesystem FROM region")
 

@@ -8,8 +8,9 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.plans import ingest
-from usagelens.queries import Query, rounded
+from usagelens.operators.directories import DirectoryFilters
+from usagelens.plans import idtree, ingest
+from usagelens.queries import Query, age_case, imported, rounded, size_case, with_entries
 from usagelens.session import fresh_path
 from usagelens.sinks.commit import file_system
 from usagelens.streaming.ingest import stream_logs
@@ -113,6 +114,64 @@ register("stream_requeued", lambda s, d: _jobs(s, _streamed(s, d)), _jobs_sql("r
 register("stream_requeued_rollup", lambda s, d: _rollup(s, _streamed(s, d)), _ROLLUP_SQL)
 
 
+# Directory trees by id: regions and nations, and below these the customers in chains of 200, each holding its orders.
+TREE_SQL = """
+SELECT CAST(r_regionkey AS BIGINT) AS dir_id, CAST(NULL AS BIGINT) AS parent_id, r_name AS name FROM {region}
+UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_name FROM {nation}
+UNION ALL SELECT 1000 + c_custkey, CASE WHEN c_custkey % 200 = 1 THEN 100 + c_nationkey ELSE 999 + c_custkey END, 'c' || CAST(c_custkey AS STRING) FROM {customer}
+"""
+STATS_SQL = "SELECT 1000 + o_custkey AS dir_id, COUNT(*) AS files, SUM(o_orderkey * 7919 % 5000000 * 4096) AS size, MAX(o_orderdate) AS newest FROM {orders} GROUP BY o_custkey"
+_WALK_CTE = f"""RECURSIVE tree AS ({TREE_SQL.format(region="region", nation="nation", customer="customer")}), stats AS ({STATS_SQL.format(orders="orders")}),
+ways AS (SELECT dir_id, '/' || name AS path, 1 AS depth FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.dir_id, w.path || '/' || t.name, w.depth + 1 FROM ways w JOIN tree t ON t.parent_id = w.dir_id),
+under AS (SELECT dir_id AS top, dir_id FROM tree UNION ALL SELECT u.top, t.dir_id FROM under u JOIN tree t ON t.parent_id = u.dir_id)"""
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TREE_SQL, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer")})
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = spark.sql(STATS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return idtree.rolled(_tree(spark, sf_dir), stats, sums=("files", "size"), greatest=("newest",))
+
+
+def _stored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tree")
+    idtree.write(idtree.intervals(idtree.paths(_tree(spark, sf_dir))), path)
+    return spark.read.parquet(path)
+
+
+register("tree_paths_by_id", lambda s, d: idtree.paths(_tree(s, d)), f"WITH {_WALK_CTE} SELECT t.*, w.path, CAST(w.depth AS INTEGER) AS depth FROM tree t LEFT JOIN ways w ON t.dir_id = w.dir_id")
+register(
+    "tree_totals_by_id", _totals,
+    f"WITH {_WALK_CTE} SELECT top AS dir_id, CAST(COALESCE(SUM(files), 0) AS BIGINT) AS files, CAST(COALESCE(SUM(size), 0) AS BIGINT) AS size, MAX(newest) AS newest FROM under LEFT JOIN stats ON under.dir_id = stats.dir_id GROUP BY top",
+)
+register(
+    "tree_intervals_by_id", lambda s, d: _stored_tree(s, d).select("dir_id", "low", "high"),
+    f"""WITH {_WALK_CTE}, sizes AS (SELECT top AS dir_id, COUNT(*) AS n FROM under GROUP BY top)
+      SELECT t.dir_id, low, low + n AS high FROM tree t LEFT JOIN (SELECT dir_id, ROW_NUMBER() OVER (ORDER BY REPLACE(path, '/', CHR(1))) - 1 AS low FROM ways) w ON t.dir_id = w.dir_id LEFT JOIN sizes z ON t.dir_id = z.dir_id""",
+)
+register(
+    "tree_subtree_by_id", lambda s, d: (lambda t: idtree.below(t, list(idtree.ids_of(t, ["/ASIA/", "/EUROPE/FRANCE"]).values())).select("dir_id", "path"))(_stored_tree(s, d)),
+    f"WITH {_WALK_CTE} SELECT dir_id, path FROM ways WHERE path = '/ASIA' OR STARTS_WITH(path, '/ASIA/') OR path = '/EUROPE/FRANCE' OR STARTS_WITH(path, '/EUROPE/FRANCE/')",
+)
+
+# exact histograms of parts of a collection
+
+_SCOPES: dict[str, tuple[DirectoryFilters, str]] = {
+    "scoped": (DirectoryFilters(paths=["/ASIA", "/EUROPE/FRANCE", "/EUROPE/FRANCE/x"]), "(path LIKE '/ASIA/%' OR path LIKE '/EUROPE/FRANCE/%')"),
+    "whole": (DirectoryFilters(), "TRUE"),
+    "filtered": (DirectoryFilters(paths=["/ASIA", "/AFRICA"], exclude=["/ASIA/CHINA"], min_depth=3, min_files=5), """(path LIKE '/ASIA/%' OR path LIKE '/AFRICA/%') AND path NOT LIKE '/ASIA/CHINA/%'
+      AND parent IN (SELECT path FROM tree WHERE depth >= 3 AND file_count_r >= 5)"""),
+}
+for _kind, _case in (("access", age_case("atime")), ("size", size_case("allocated"))):
+    for _scope, (_filters, _where) in _SCOPES.items():
+        register(
+            f"histogram_exact_{_scope}_{_kind}", lambda s, d, k=_kind, f=_filters: imported(s, d).exact_histogram(k, f, by_owner=True),
+            with_entries(f"SELECT {_case} AS bucket_index, uid AS owner_uid, COUNT(*) AS file_count, CAST(SUM(allocated) AS BIGINT) AS total_size FROM files WHERE {_where} GROUP BY 1, 2"),
+        )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
