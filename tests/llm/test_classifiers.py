@@ -58,6 +58,10 @@ def test_languages_of_odd_and_no_documents(spark, odd_documents, no_documents):
     assert {r.lang_pred for r in unlearned.collect()} == {"und"}
 
 
+def test_signs_for_numbers_are_no_letters():
+    assert language_id.words_of("½ ² ① Ⅷ 12 __ \u0301\u0308 ٣") == [] and language_id.words_of("a½ Ⅷth Größe\u0301") == ["a½", "ⅷth", "größe"]
+
+
 @pytest.mark.parametrize(("query", "target", "least"), [(op5_quality, "quality", 0.95), (op6_toxicity, "toxic", 0.9)])
 def test_labels_of_held_out_documents(spark, medium, query, target, least):
     labels = {r.doc_id: r[target] for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}

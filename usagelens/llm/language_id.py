@@ -47,8 +47,8 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, long ones in blocks."""
-    found = WORD.findall(text.lower())
+    """Lower-cased runs of letters, long ones in blocks. Signs for numbers that are no digits stand in words, but make none."""
+    found = [w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))]
     if found and len(max(found, key=len)) > BLOCK:
         found = [w[i : i + BLOCK] for w in found for i in range(0, len(w), BLOCK)]
     return found
