@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from usagelens.llm import near_text, near_vectors
 from usagelens.llm.graph import components
@@ -293,3 +294,21 @@ def test_odd_and_no_vectors(spark, kind):
     table = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>, label int")
     check_vectors(table.collect(), near_vectors.near_links(table).collect())
     assert near_vectors.near_links(table.limit(0)).count() == 0
+
+
+def test_recall_is_checked_where_pairs_are_rare(spark, monkeypatch):
+    rng = random.Random(8)
+    made = [" ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(300)]
+    pairs = made + [" ".join([*made[i].split()[:-1], "other"]) for i in range(4)]  # about one text in a hundred has a near copy
+    docs = spark.createDataFrame(list(enumerate(pairs)), "doc_id bigint, text string")
+    nodes = near_text.text_nodes(near_text.sketch_documents(docs)).cache()
+    texts = near_text.node_texts(docs, near_text.sketch_documents(docs), nodes)
+    apart = nodes.select("node", F.col("node").alias("component"))
+    whole = nodes.select("node", F.lit(1).alias("component"))
+    asked = []
+    monkeypatch.setattr(near_text, "audit", lambda *a, plain=near_text.audit: asked.append(a[3:]) or plain(*a))
+    true, found = near_text.check_recall(nodes, texts, whole)
+    assert 4 <= true == found <= 8  # a pair is met from one end or both
+    assert asked == [(64, 0), (256, 64), (1024, 256)]  # of 304 nodes all are asked
+    with pytest.raises(RuntimeError, match="0 of "):
+        near_text.check_recall(nodes, texts, apart)

@@ -53,8 +53,9 @@ PARTNERS, MOST_BROADCAST = 128, 100_000
 MOST_ASKED = 1_000_000
 #: Keys of about more rows than this are found in a sample of one node in HOT_SAMPLE; they need no shuffle to be known as shared.
 HOT_ROWS, HOT_SAMPLE, MOST_HOT = 65_536, 256, 1000
-#: Texts that are compared with all others in the end, the recall asked for, and how many true pairs that takes.
-AUDITED, LEAST_RECALL, LEAST_TRUE = 64, 0.9, 20
+#: Texts that are compared with all others in the end, the recall asked for, and how many true pairs that takes:
+#: of fewer, AUDIT_GROWS times as many texts are compared, up to MOST_AUDITED, which bounds what is broadcast.
+AUDITED, LEAST_RECALL, LEAST_TRUE, AUDIT_GROWS, MOST_AUDITED = 64, 0.9, 20, 4, 4096
 #: Texts from this many words on are first aligned between runs of so many words that both have once.
 ANCHORED, ANCHOR = 512, 3
 MEMO_WORDS = 300_000
@@ -500,9 +501,9 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return rows.repartition("a", "part").sortWithinPartitions(*order).mapInArrow(compare, "a bigint, b bigint")
 
 
-def audit(nodes: DataFrame, texts: DataFrame, merged: DataFrame, most: int = AUDITED) -> tuple[int, int]:
+def audit(nodes: DataFrame, texts: DataFrame, merged: DataFrame, most: int = AUDITED, skip: int = 0) -> tuple[int, int]:
     """True pairs of some nodes with all nodes, by comparison with every node, and how many of them are in one class."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "words", "counts").collect()
+    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("node", "words", "counts").collect()[skip:]
     told = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["words"], bytes(r["counts"])) for r in asked])
 
     def near(batches):
@@ -521,6 +522,27 @@ def audit(nodes: DataFrame, texts: DataFrame, merged: DataFrame, most: int = AUD
     return row[0], row[1]
 
 
+def check_recall(nodes: DataFrame, texts: DataFrame, merged: DataFrame) -> tuple[int, int]:
+    """audit, of more and more nodes until LEAST_TRUE pairs are seen or MOST_AUDITED or all nodes are asked.
+
+    A recall below LEAST_RECALL is an error. Where there are fewer pairs, as many
+    may be missing as of LEAST_TRUE: the check is never left out.
+    """
+    true = found = skip = 0
+    most, count = AUDITED, None
+    while True:
+        more, met = audit(nodes, texts, merged, most, skip)
+        true, found = true + more, found + met
+        if true < LEAST_TRUE and count is None:
+            count = nodes.count()
+        if true >= LEAST_TRUE or most >= min(count, MOST_AUDITED):
+            break
+        most, skip = min(most * AUDIT_GROWS, MOST_AUDITED), most
+    if true - found > (1 - LEAST_RECALL) * max(true, LEAST_TRUE) + 1e-9:
+        raise RuntimeError(f"near texts: {found} of {true} audited pairs are in one class, fewer than {LEAST_RECALL}")
+    return true, found
+
+
 def _classed(docs: DataFrame) -> DataFrame:
     """doc_id, t1, t2, class_id and kept of every row with an id and a text that is not blank."""
     sketched = cut(sketch_documents(docs))
@@ -529,9 +551,7 @@ def _classed(docs: DataFrame) -> DataFrame:
     keys = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("n")).select("digest", "n.keys")
     rows = cut(bucket_rows(keys.join(nodes.select("digest", "node"), "digest").select("node", "keys"), hot_keys(sketched)))
     merged = cut(components(linked(rows, nodes, texts)))
-    true, found = audit(nodes, texts, merged)
-    if true >= LEAST_TRUE and found < LEAST_RECALL * true:
-        raise RuntimeError(f"near texts: {found} of {true} audited pairs are in one class, fewer than {LEAST_RECALL}")
+    check_recall(nodes, texts, merged)
     placed = nodes.join(merged, "node", "left").select("digest", "node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("l")).select("component", "l.doc_id", F.col("l.digest").alias("first"))
     of_text = placed.select("digest", "component").join(least.withColumnRenamed("doc_id", "class_id"), "component").select("digest", "class_id", "first")
