@@ -1,14 +1,16 @@
 """Tables that several syncs and streams keep: one job a row, one commit, finished after a lost driver."""
 
 import re
-from datetime import date
+from datetime import date, datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_ingest import line, parsed
 from usagelens import table_queries
-from usagelens.plans import ingest
+from usagelens.operators.directories import DirectoryFilters
+from usagelens.plans import distinct, importer, ingest, tree
 from usagelens.sinks import commit
 from usagelens.streaming.ingest import stream_logs
 
@@ -64,6 +66,8 @@ def test_days_apart_and_together(spark, tmp_path, mode):
     # The late job counts on the day it ended, though that was rolled up before.
     days = spark.read.parquet(f"{apart.root}/summary").groupBy("date").sum("job_count").collect()
     assert {r.date.day: r[1] for r in days} == {14: 4, 15: 1, 16: 1}
+    users = [distinct.unique_by_period(spark.read.parquet(f"{t.root}/summary{distinct.BITMAPS}"), "user", period="month").collect() for t in (together, apart, streamed)]
+    assert users[0] == users[1] == users[2] and users[0][0].n == 1
     before = apart.files()
     apart.sync(14, 16, "plain")
     assert apart.files() == before and apart.rows() == want
@@ -98,7 +102,7 @@ def test_a_lost_driver_leaves_no_half_of_a_sync(spark, tmp_path, monkeypatch, lo
 
     with monkeypatch.context() as m:
         if lost == "before the journal":
-            m.setattr(commit.json, "dumps", lambda told: 1 / 0)
+            m.setattr(commit, "_partitions", lambda *told: 1 / 0)
         else:
             m.setattr(commit, "recover", half_recovered(commit.recover))
         with pytest.raises(ZeroDivisionError):
@@ -125,6 +129,51 @@ def half_recovered(recover):
     return stopped
 
 
+ENTRIES = "path string, size bigint, allocated bigint, uid bigint, gid bigint, is_dir boolean, atime timestamp_ntz"
+
+
+def scanned(spark, extra=()):
+    at = datetime(2025, 1, 1)
+    rows = [("/t", 0, 0, 0, 0, True, at), ("/t/a", 0, 0, 0, 0, True, at), ("/t/a/b", 0, 0, 0, 0, True, at), ("/t/c", 0, 0, 0, 0, True, at)]
+    rows += [(f"/t/a/x{i}", 1, 4096 << i, 7 + i % 2, 1, False, datetime(2024 - i, 5, 1)) for i in range(4)]
+    rows += [("/t/a/b/y", 1, 10**9, 9, 1, False, None), ("/t/c/z", 1, 10, 7, 1, False, at), *extra]
+    return spark.createDataFrame(rows, ENTRIES)
+
+
+def test_exact_histograms_of_scopes(spark, tmp_path):
+    entries, at = scanned(spark), datetime(2025, 1, 15)
+    importer.import_entries(entries, f"{tmp_path}/tables", "tank", at)
+    q = importer.open_collections(spark, f"{tmp_path}/tables")
+    under = {None: "true", "/t/a": "path LIKE '/t/a/%'", "/t/a/b/": "path LIKE '/t/a/b/%'", "/": "true", "/nowhere": "false"}
+    for kind in ("access", "size"):
+        for path, files in under.items():
+            for owner in (None, 7):
+                told = q.exact_histogram(kind, DirectoryFilters(paths=None if path is None else [path]), owner, by_owner=True)
+                rows = entries.where(files).where("true" if owner is None else f"uid = {owner}")
+                want = tree.file_histograms(rows, F.lit(at).cast("timestamp_ntz")).where(F.col("kind") == kind).select("bucket_index", "owner_uid", "file_count", "total_size")
+                assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+    some = q.exact_histogram("size", DirectoryFilters(paths=["/t"], exclude=["/t/a/b"], min_files=2)).agg(F.sum("file_count")).first()[0]
+    assert some == 4  # in /t itself and /t/a; /t/c has one file
+    plan = q.exact_histogram("size", DirectoryFilters(paths=["/t/a"]))._jdf.queryExecution().toString()
+    assert "EqualTo(path,/t/a)" in plan or "In(path, [/t/a])" in plan
+
+
+@pytest.mark.parametrize("lost", ["before the journal", "between two moves"])
+def test_a_lost_driver_leaves_no_half_of_an_import(spark, tmp_path, monkeypatch, lost):
+    root, at = f"{tmp_path}/tables", datetime(2025, 1, 15)
+    importer.import_entries(scanned(spark), root, "tank", at)
+    with monkeypatch.context() as m:
+        if lost == "before the journal":
+            m.setattr(commit, "_partitions", lambda *told: 1 / 0)
+        else:
+            m.setattr(commit, "recover", half_recovered(commit.recover))
+        with pytest.raises(ZeroDivisionError):
+            importer.import_entries(scanned(spark, [("/t/c/new", 1, 5, 7, 1, False, at)]), root, "tank", at)
+    q, files = importer.open_collections(spark, root), 6 if lost == "before the journal" else 7
+    assert q.scans.first().total_files == files and q.file_histogram("size").agg(F.sum("file_count")).first()[0] == files
+    assert q.exact_histogram("size").agg(F.sum("file_count")).first()[0] == files and q.total().first().total_files == files
+
+
 def test_a_stream_takes_records_up_only(spark, tmp_path):
     with pytest.raises(ValueError):
         stream_logs(spark, str(tmp_path), str(tmp_path), str(tmp_path), "casper", mode="recalculate")

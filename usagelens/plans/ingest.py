@@ -10,6 +10,7 @@ are read and rewritten; jobs, keys and roll-up are replaced by one commit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date, timedelta
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from usagelens.functions.charging import charged
 from usagelens.functions.timewin import SITE_ZONE, in_site_days, site_day
-from usagelens.plans import rollup
+from usagelens.plans import distinct, rollup
 from usagelens.session import stored
 from usagelens.sinks.commit import Change, file_system, recover
 from usagelens.sources.scheduler_log import days_with_logs, first_of_each, in_order, parse, read_days, times_in_order
@@ -210,11 +211,24 @@ def take_up(change: Change, records: DataFrame, path: str, machine: str, mode: s
 
 
 def put_summary(change: Change, jobs: DataFrame, days: list[date], machine: str, path: str) -> None:
-    """Stage the roll-up's days, a partition each."""
-    runs = [rollup.daily_summary(_ending(jobs, first, last + timedelta(days=1)), first, last) for first, last in rollup.contiguous(days)]
-    if runs:
-        rows = reduce(DataFrame.unionByName, runs).withColumn("machine", F.lit(machine))
-        change.put(rows.repartition("date"), path, "machine", "date")
+    """Stage the roll-up's days, a partition each, and with them the bitmaps of their names and the numbers of new ones."""
+    parts = [(_ending(jobs, first, last + timedelta(days=1)), first, last) for first, last in rollup.contiguous(days)]
+    if not parts:
+        return
+    own = F.lit(machine).alias("machine")
+    rows = reduce(DataFrame.unionByName, [rollup.daily_summary(*p) for p in parts])
+    change.put(rows.select("*", own).repartition("date"), path, "machine", "date")
+    named = [distinct.names_by_day(j.where(in_site_days(F.col("end_ts"), first, last))) for j, first, last in parts]
+    daily, known = stored(reduce(DataFrame.unionByName, named)), _stored(change.spark, path + distinct.NAMES, machine)
+    new = stored(distinct.new_numbers(daily, known))
+    if not new.isEmpty():
+        # Numbers are only ever added: a partition a change.
+        change.put(new.select("*", own, F.lit(uuid.uuid4().hex).alias("added")), path + distinct.NAMES, "machine", "added")
+    columns = ["kind", "name", "id"]
+    dictionary = new if known is None else known.select(columns).unionByName(new.select(columns))
+    bitmaps = distinct.day_bitmaps(daily, dictionary).select("*", own)
+    if not daily.isEmpty():
+        change.put(bitmaps.repartition("date"), path + distinct.BITMAPS, "machine", "date")
 
 
 def summarized(spark: SparkSession, path: str, machine: str, days: Iterable[date]) -> set[date]:

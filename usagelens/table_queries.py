@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelens.operators.directories import DirectoryFilters
-from usagelens.plans import idtree, ingest
+from usagelens.plans import distinct, idtree, ingest
 from usagelens.queries import Query, age_case, imported, rounded, size_case, with_entries
 from usagelens.session import fresh_path
 from usagelens.sinks.commit import file_system
@@ -172,6 +172,22 @@ for _kind, _case in (("access", age_case("atime")), ("size", size_case("allocate
         )
 
 
+# distinct names from bitmaps that two syncs have kept
+
+
+def _unique(spark: SparkSession, sf_dir: str, kind: str, period: str) -> DataFrame:
+    bitmaps = spark.read.parquet(_synced(spark, sf_dir, "plain", CUT)[1] + distinct.BITMAPS)
+    return distinct.unique_by_period(bitmaps, kind, FIRST, LAST, period)
+
+
+for _kind, _column in (("user", "usr"), ("account", "account")):
+    for _period, _label in (("day", "STRFTIME(end_ts, '%Y-%m-%d')"), ("month", "STRFTIME(end_ts, '%Y-%m')")):
+        register(
+            f"unique_{_kind}s_from_rollup_{_period}", lambda s, d, k=_kind, p=_period: _unique(s, d, k, p),
+            f"WITH {_RECORDS_CTE}, {_KEPT_CTE} SELECT {_label} AS period, COUNT(DISTINCT {_column}) AS n FROM kept WHERE place = 1 GROUP BY 1",
+        )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
