@@ -45,8 +45,9 @@ MINIMA, KEYS, WORDS = 64, 128, 2
 SHORT_TEXT, SHORT_MINIMA, SHORT_KEYS, ONE_EDIT = 24, 32, 32, 10
 #: Rounds in which a bucket's texts meet its smallest document, before all that are still apart meet each other.
 SMALLEST_ROUNDS = 2
-#: Bins of the word counts that bound an edit distance from below, and texts of a bucket that meet in one group.
-BINS, BLOCK = 128, 256
+#: Bins of the word counts that bound an edit distance from below, and texts of a bucket that meet in one group: a text is
+#: copied once for so many others, and a group's bins take about half a megabyte.
+BINS, BLOCK = 128, 2048
 #: A document with more partners than this is sent to several tasks; hubs are broadcast up to so many.
 PARTNERS, MOST_BROADCAST = 128, 100_000
 #: Up to so many nodes that a search asks for, they are broadcast so that no other text is shuffled; of more, all texts are.
@@ -400,7 +401,7 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
     size = F.floor(F.log("words") / -math.log(SIMILARITY) + 1e-9).cast("int")
-    rows = placed.join(several, "key").join(nodes.select("node", "words", "counts"), "node").withColumn("own", size)
+    rows = placed.join(several, "key").join(nodes.select("node", "words"), "node").withColumn("own", size).drop("words")
     rows = cut(rows.withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))))
     parts = rows.groupBy("key", "size", "component").agg(F.count(F.lit(1)).alias("many"), F.min("own").alias("least"))
     dealt = parts.groupBy("key", "size").agg(
@@ -410,7 +411,8 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     dealt = dealt.where("parts > 1 and least = size").select(
         "key", "size", F.col("largest.component").alias("main"), blocks(F.col("all") - F.col("largest.many")).alias("strays"), blocks(F.col("all")).alias("blocks")
     )
-    known = rows.join(dealt, ["key", "size"])
+    # The counts are many times longer than the rest: only rows that meet others are given them.
+    known = rows.join(dealt, ["key", "size"]).join(nodes.select("node", "words", "counts"), "node")
     spread = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
     told = ("component", "node", "words", "counts")
     stray = known.where("component <> main").select(
