@@ -187,6 +187,24 @@ def test_pairs_ruled_out_by_word_counts_are_not_similar(spark):
     assert alike <= left and len(alike) >= 20 and len(left) < len(pairs) / 2
 
 
+@pytest.mark.parametrize("block", [4096, 40])
+def test_crossing_pairs_of_small_and_of_large_buckets(spark, monkeypatch, block):
+    """A bucket of one group, and one that is dealt in blocks: all pairs across components that may be similar, each once."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
+    rng = random.Random(31)
+    passage = [f"p{i}" for i in range(70)]
+    texts = {i: [*passage, *(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 30)))] for i in range(120)}
+    texts |= {200 + i: replaced(rng, texts[i], set(rng.sample(range(60), 4))) for i in range(0, 120, 5)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    nodes = near_text.sketch_documents(docs).selectExpr("doc_id AS node", "words", "counts")
+    component = {i: 0 if i < 50 else 60 if i in (60, 70) else i for i in texts}
+    placed = spark.createDataFrame([(1, i, component[i]) for i in texts] + [(2, 0, 0), (2, 1, 0), (3, 5, 0)], "key bigint, node bigint, component bigint")
+    found = [tuple(r) for r in near_text.crossing_pairs(placed, nodes).collect()]
+    alike = {(a, b) for a in texts for b in texts if a < b and component[a] != component[b] and near_text.similar(texts[a], texts[b])}
+    assert len(found) == len(set(found)) and alike <= set(found) and len(alike) >= 20
+    assert all(a < b and component[a] != component[b] for a, b in found)
+
+
 def test_audit_counts_pairs_that_were_missed(spark):
     base = [f"w{i}" for i in range(50)]
     docs = spark.createDataFrame([(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(12)], "node bigint, text string")

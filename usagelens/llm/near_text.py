@@ -45,9 +45,13 @@ MINIMA, KEYS, WORDS = 64, 128, 2
 SHORT_TEXT, SHORT_MINIMA, SHORT_KEYS, ONE_EDIT = 24, 32, 32, 10
 #: Rounds in which a bucket's texts meet its smallest document, before all that are still apart meet each other.
 SMALLEST_ROUNDS = 2
-#: Bins of the word counts that bound an edit distance from below, and texts of a bucket that meet in one group: a text is
-#: copied once for so many others, and a group's bins take about half a megabyte.
-BINS, BLOCK = 128, 2048
+#: The side of rows whose group is a whole bucket.
+BOTH = 2
+#: Bins of the word counts that bound an edit distance from below, and the finer ones, two to a byte, that pairs meet next.
+BINS, FINE_BINS, MOST_FINE = 128, 1024, 15
+#: Texts of a bucket that meet in one group: smaller buckets are one, in larger ones a text is copied once for so many
+#: others. A group's bins take about two and a half megabytes.
+BLOCK = 2048
 #: A document with more partners than this is sent to several tasks; hubs are broadcast up to so many.
 PARTNERS, MOST_BROADCAST = 128, 100_000
 #: Up to so many nodes that a search asks for, they are broadcast so that no other text is shuffled; of more, all texts are.
@@ -214,8 +218,7 @@ class Sketcher:
         if len(hashes) < ONE_EDIT:
             rests = [hashes, *(np.delete(hashes, i) for i in range(len(hashes)))]
             keys += [int(_combined(rest[None, :], np.full(1, 2000, dtype=np.uint64))[0]) for rest in rests if len(rest)]
-        counts = np.bincount((_mixed(hashes) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-        return keys, np.minimum(counts, 255).astype(np.uint8).tobytes()
+        return keys, _binned(hashes, BINS, 255).tobytes() + _halves(_binned(hashes, FINE_BINS, MOST_FINE)).tobytes()
 
     def _keys(self, kmers: np.ndarray, threes: np.ndarray, count: int, kind: int) -> list[int]:
         told = _mixed(kmers + _occurrence(kmers) * _C)
@@ -225,6 +228,15 @@ class Sketcher:
         return _combined(told[np.sort(np.concatenate(at)[threes], axis=1)], number).tolist()
 
 
+def _binned(hashes: np.ndarray, bins: int, most: int) -> np.ndarray:
+    counts = np.bincount((_mixed(hashes) % np.uint64(bins)).astype(np.int64), minlength=bins)
+    return np.minimum(counts, most).astype(np.uint8)
+
+
+def _halves(counts: np.ndarray) -> np.ndarray:
+    return counts[::2] | counts[1::2] << 4
+
+
 def _threes(chosen: np.random.Generator, minima: int, count: int) -> np.ndarray:
     """Every minimum is in about as many keys as any other."""
     rounds = -(-3 * count // (minima - minima % 3))
@@ -395,13 +407,19 @@ def _apart_from_smallest(placed: DataFrame) -> DataFrame:
 def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of nodes of a bucket that are in different components and may be similar by their word counts.
 
-    A bucket is told apart by length, as similar texts are in one class of lengths
-    or in two next to each other. Nodes outside its largest component (strays) meet
-    all others: both sides are dealt in blocks, and a pair of blocks is one bounded group.
+    Nodes outside a bucket's largest component (strays) meet all others. A bucket of
+    up to BLOCK nodes is one group, and each node is sent to it once. A larger one is
+    told apart by length, as similar texts are in one class of lengths or in two next
+    to each other; there both sides are dealt in blocks, and a pair of blocks is one
+    bounded group.
     """
-    several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("key")
+    several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("all"))
+    found = cut(placed.join(several.where("c < d").select("key", (F.col("all") > BLOCK).alias("large")), "key"))
+    told = ("component", "node", "words", "counts")
+    alone = [F.lit(n).alias(c) for c, n in (("size", -1), ("i", 0), ("j", 0), ("side", BOTH))]
+    whole = found.where("not large").join(nodes.select("node", "words", "counts"), "node").select("key", *alone, *told)
     size = F.floor(F.log("words") / -math.log(SIMILARITY) + 1e-9).cast("int")
-    rows = placed.join(several, "key").join(nodes.select("node", "words"), "node").withColumn("own", size).drop("words")
+    rows = found.where("large").join(nodes.select("node", "words"), "node").select("key", "node", "component", size.alias("own"))
     rows = cut(rows.withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))))
     parts = rows.groupBy("key", "size", "component").agg(F.count(F.lit(1)).alias("many"), F.min("own").alias("least"))
     dealt = parts.groupBy("key", "size").agg(
@@ -414,7 +432,6 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     # The counts are many times longer than the rest: only rows that meet others are given them.
     known = rows.join(dealt, ["key", "size"]).join(nodes.select("node", "words", "counts"), "node")
     spread = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
-    told = ("component", "node", "words", "counts")
     stray = known.where("component <> main").select(
         "key", "size", F.pmod(F.xxhash64("node"), F.col("strays")).cast("int").alias("i"), spread("blocks").alias("j"), F.lit(0).alias("side"), *told
     )
@@ -428,41 +445,58 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
             side = np.asarray(group["side"])
             ids, part, words = np.asarray(group["node"]), np.asarray(group["component"]), np.asarray(group["words"])
             counts = _bins(group["counts"])
-            rest = np.flatnonzero(side == 1)
+            if side[0] == BOTH:
+                _, member, many = np.unique(part, return_inverse=True, return_counts=True)
+                strays = np.flatnonzero(member != many.argmax())
+                turn = np.full(len(ids), len(ids))  # each two strays meet once
+                turn[strays] = strays
+            else:
+                strays = np.flatnonzero(side == 0)
+                turn = np.where(side == 1, len(ids), -1)
             a, b = [], []
-            for k in np.flatnonzero(side == 0):
-                met = rest[part[rest] != part[k]]
+            for k in strays:
+                met = np.flatnonzero((part != part[k]) & (turn > k))
                 met = met[_may_be_similar(words[k], counts[k], words[met], counts[met])]
                 a.append(np.minimum(ids[met], ids[k]))
                 b.append(np.maximum(ids[met], ids[k]))
             if a and sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return stray.union(every).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return whole.union(stray).union(every).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _bins(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+    """A row a text: its words in BINS bins, then in FINE_BINS."""
+    held = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS + FINE_BINS // 2)
+    out = np.empty((len(held), BINS + FINE_BINS), dtype=np.uint8)
+    out[:, :BINS] = held[:, :BINS]
+    out[:, BINS::2], out[:, BINS + 1 :: 2] = held[:, BINS:] & 15, held[:, BINS:] >> 4
+    return out
 
 
 def _may_be_similar(words, counts, other_words, other_counts) -> np.ndarray:
-    """Whether numbers of words, in all and a bin, leave it open that one text is similar to others, or each of several to its own other."""
+    """Whether numbers of words, in all and a bin, leave it open that one text is similar to others, or each of several to its own other.
+
+    An edit takes away and brings one word at most, whatever the bins are.
+    """
     most = ((1 - SIMILARITY) * np.maximum(other_words, words) + 1e-9).astype(np.int64)
     close = np.abs(other_words.astype(np.int64) - words) <= most
-    more = other_counts[close] - np.broadcast_to(counts, other_counts.shape)[close]
-    lost = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
-    close[close] = lost <= most[close]
+    for bins in (slice(0, BINS), slice(BINS, None)):
+        own = counts[bins] if counts.ndim == 1 else counts[close, bins]
+        more = other_counts[close, bins].astype(np.int16) - own
+        close[close] = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most[close]
     return close
 
 
 def linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar nodes that share a bucket. rows: key, node; nodes: node, words, counts; texts: node, text."""
     links, apart = None, rows
-    for _ in range(SMALLEST_ROUNDS):
+    for turn in range(SMALLEST_ROUNDS):
+        if turn:
+            apart = cut(_apart_from_smallest(placed))
         found = verified(_possible(smallest_pairs(apart), nodes), texts)
         links = cut(found if links is None else links.union(found))
         placed = cut(_placed(rows, links))
-        apart = _apart_from_smallest(placed)
     return cut(links.union(verified(crossing_pairs(placed, nodes), texts)))
 
 
@@ -509,7 +543,7 @@ def audit(nodes: DataFrame, texts: DataFrame, merged: DataFrame, most: int = AUD
     told = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["words"], bytes(r["counts"])) for r in asked])
 
     def near(batches):
-        queries = [(n, w, np.frombuffer(c, dtype=np.uint8).astype(np.int16)) for n, w, c in told.value]
+        queries = [(n, w, _bins(pa.array([c]))[0]) for n, w, c in told.value]
         for batch in batches:
             if batch.num_rows:
                 ids, words, counts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _bins(batch.column(2))
