@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from usagelens.session import fresh_path, shared_dir
 
 
-__all__ = ["Memo", "bucket_of_id", "cut", "discard", "free_name", "fresh_path", "groups", "kept_in_worker", "map_texts", "shared_dir", "slices", "table"]
+__all__ = ["Memo", "bucket_of_id", "cut", "discard", "free_name", "fresh_path", "groups", "kept_in_worker", "map_texts", "shared_dir", "slices", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows, read again from a compressed table at a fresh path; a checkpoint of the same rows is several times as large."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_of_id(column, divisor: int):
     """crc32 of the id as text, modulo a divisor; a null id counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -14,6 +14,8 @@ A document that many pairs share is sent once to each of several tasks, each wit
 some of its partners. In the end some texts are compared with all others, and a
 recall below LEAST_RECALL is an error.
 
+Sketches, nodes and buckets are written as compressed tables of the shared folder.
+
 Cases: texts that are null or without a visible character link with nothing;
 texts without a word character are compared as one word, as they stand; a null
 doc_id gets a null class and is kept; rows with equal ids and texts have one
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import Memo, cut, free_name, groups, kept_in_worker, map_texts, slices
+from usagelens.llm.common import Memo, cut, discard, free_name, fresh_path, groups, kept_in_worker, map_texts, slices, written
 from usagelens.llm.graph import components
 
 SIMILARITY = 0.8
@@ -321,7 +323,8 @@ def text_nodes(sketched: DataFrame) -> DataFrame:
     A node's number is that doc_id. Where several digests share it, the others get
     numbers below zero made from their digests.
     """
-    least = cut(sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "t1", "t2", "words", "counts")).alias("n")).select("digest", "n.*"))
+    least = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "t1", "t2", "words", "counts")).alias("n")).select("digest", "n.*")
+    least = written(least, fresh_path(sketched.sparkSession, "near-least"))
     shared = least.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     own = -F.lit(1) - F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1))
     node = F.when(F.col("first").isNull() | (F.col("first") == F.col("digest")), F.col("doc_id")).otherwise(own)
@@ -414,7 +417,8 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     bounded group.
     """
     several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("all"))
-    found = cut(placed.join(several.where("c < d").select("key", (F.col("all") > BLOCK).alias("large")), "key"))
+    found = placed.join(several.where("c < d").select("key", (F.col("all") > BLOCK).alias("large")), "key")
+    found = written(found, fresh_path(placed.sparkSession, "near-found"))
     told = ("component", "node", "words", "counts")
     alone = [F.lit(n).alias(c) for c, n in (("size", -1), ("i", 0), ("j", 0), ("side", BOTH))]
     whole = found.where("not large").join(nodes.select("node", "words", "counts"), "node").select("key", *alone, *told)
@@ -490,14 +494,20 @@ def _may_be_similar(words, counts, other_words, other_counts) -> np.ndarray:
 
 def linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect all similar nodes that share a bucket. rows: key, node; nodes: node, words, counts; texts: node, text."""
-    links, apart = None, rows
+    spark = rows.sparkSession
+    links, apart, path = None, rows, None
     for turn in range(SMALLEST_ROUNDS):
         if turn:
             apart = cut(_apart_from_smallest(placed))
         found = verified(_possible(smallest_pairs(apart), nodes), texts)
         links = cut(found if links is None else links.union(found))
-        placed = cut(_placed(rows, links))
-    return cut(links.union(verified(crossing_pairs(placed, nodes), texts)))
+        before, path = path, fresh_path(spark, "near-placed")
+        placed = written(_placed(rows, links), path)
+        if before:
+            discard(spark, before)
+    links = cut(links.union(verified(crossing_pairs(placed, nodes), texts)))
+    discard(spark, path)
+    return links
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -581,11 +591,13 @@ def check_recall(nodes: DataFrame, texts: DataFrame, merged: DataFrame) -> tuple
 
 def _classed(docs: DataFrame) -> DataFrame:
     """doc_id, t1, t2, class_id and kept of every row with an id and a text that is not blank."""
-    sketched = cut(sketch_documents(docs))
-    nodes = cut(text_nodes(sketched))
+    fresh = lambda name: fresh_path(docs.sparkSession, name)
+    sketched = written(sketch_documents(docs), fresh("near-sketched"))
+    nodes = written(text_nodes(sketched), fresh("near-nodes"))
     texts = node_texts(docs, sketched, nodes)
     keys = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("n")).select("digest", "n.keys")
-    rows = cut(bucket_rows(keys.join(nodes.select("digest", "node"), "digest").select("node", "keys"), hot_keys(sketched)))
+    rows = bucket_rows(keys.join(nodes.select("digest", "node"), "digest").select("node", "keys"), hot_keys(sketched))
+    rows = written(rows, fresh("near-buckets"))
     merged = cut(components(linked(rows, nodes, texts)))
     check_recall(nodes, texts, merged)
     placed = nodes.join(merged, "node", "left").select("digest", "node", "doc_id", F.coalesce("component", "node").alias("component"))
