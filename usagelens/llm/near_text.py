@@ -14,7 +14,8 @@ A document that many pairs share is sent once to each of several tasks, each wit
 some of its partners. In the end some texts are compared with all others, and a
 recall below LEAST_RECALL is an error.
 
-Sketches, nodes and buckets are written as compressed tables of the shared folder.
+Sketches, nodes and buckets are written as compressed tables of the shared folder,
+which are removed when what follows from them stands; the classes stay.
 
 Cases: texts that are null or without a visible character link with nothing;
 texts without a word character are compared as one word, as they stand; a null
@@ -317,14 +318,14 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
     return map_texts(kept, make, "doc_id bigint, t1 bigint, t2 bigint, digest binary, words int, counts binary, keys array<bigint>")
 
 
-def text_nodes(sketched: DataFrame) -> DataFrame:
-    """One row a digest: node, its smallest doc_id and that row's t1 and t2, words and counts.
+def text_nodes(sketched: DataFrame, path: str | None = None) -> DataFrame:
+    """One row a digest: node, its smallest doc_id and that row's t1 and t2, words and counts. A table is written to path.
 
     A node's number is that doc_id. Where several digests share it, the others get
     numbers below zero made from their digests.
     """
     least = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "t1", "t2", "words", "counts")).alias("n")).select("digest", "n.*")
-    least = written(least, fresh_path(sketched.sparkSession, "near-least"))
+    least = written(least, path or fresh_path(sketched.sparkSession, "near-least"))
     shared = least.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     own = -F.lit(1) - F.xxhash64("digest").bitwiseAND(F.lit((1 << 62) - 1))
     node = F.when(F.col("first").isNull() | (F.col("first") == F.col("digest")), F.col("doc_id")).otherwise(own)
@@ -395,9 +396,9 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return told.mapInArrow(keep, "a bigint, b bigint")
 
 
-def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, merged: DataFrame) -> DataFrame:
     """key, node and component of rows."""
-    merged = components(links).withColumnRenamed("node", "member")
+    merged = merged.withColumnRenamed("node", "member")
     return rows.join(merged, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
 
 
@@ -407,10 +408,11 @@ def _apart_from_smallest(placed: DataFrame) -> DataFrame:
     return placed.join(first, "key").where("component <> of").select("key", "node")
 
 
-def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs of nodes of a bucket that are in different components and may be similar by their word counts.
+def crossing_pairs(placed: DataFrame, nodes: DataFrame, path: str | None = None) -> DataFrame:
+    """All pairs of nodes of a bucket that are in different components and may be similar by their word counts. A table is written to path.
 
-    Nodes outside a bucket's largest component (strays) meet all others. A bucket of
+    A pair meets in every bucket that both its nodes are in, and is looked at in the
+    one of the smallest key: rows carry the smaller keys of their node. Nodes outside a bucket's largest component (strays) meet all others. A bucket of
     up to BLOCK nodes is one group, and each node is sent to it once. A larger one is
     told apart by length, as similar texts are in one class of lengths or in two next
     to each other; there both sides are dealt in blocks, and a pair of blocks is one
@@ -418,10 +420,13 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("all"))
     found = placed.join(several.where("c < d").select("key", (F.col("all") > BLOCK).alias("large")), "key")
-    found = written(found, fresh_path(placed.sparkSession, "near-found"))
-    told = ("component", "node", "words", "counts")
+    found = written(found, path or fresh_path(placed.sparkSession, "near-found"))
+    # All buckets in which a node may meet others; a text has a bounded number of keys.
+    keys_of = found.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    met = nodes.select("node", "words", "counts").join(keys_of, "node")
+    told = ("component", "node", "words", "counts", F.filter("keys", lambda k: k < F.col("key")).alias("before"))
     alone = [F.lit(n).alias(c) for c, n in (("size", -1), ("i", 0), ("j", 0), ("side", BOTH))]
-    whole = found.where("not large").join(nodes.select("node", "words", "counts"), "node").select("key", *alone, *told)
+    whole = found.where("not large").join(met, "node").select("key", *alone, *told)
     size = F.floor(F.log("words") / -math.log(SIMILARITY) + 1e-9).cast("int")
     rows = found.where("large").join(nodes.select("node", "words"), "node").select("key", "node", "component", size.alias("own"))
     rows = cut(rows.withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))))
@@ -434,7 +439,7 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
         "key", "size", F.col("largest.component").alias("main"), blocks(F.col("all") - F.col("largest.many")).alias("strays"), blocks(F.col("all")).alias("blocks")
     )
     # The counts are many times longer than the rest: only rows that meet others are given them.
-    known = rows.join(dealt, ["key", "size"]).join(nodes.select("node", "words", "counts"), "node")
+    known = rows.join(dealt, ["key", "size"]).join(met, "node")
     spread = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
     stray = known.where("component <> main").select(
         "key", "size", F.pmod(F.xxhash64("node"), F.col("strays")).cast("int").alias("i"), spread("blocks").alias("j"), F.lit(0).alias("side"), *told
@@ -449,6 +454,7 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
             side = np.asarray(group["side"])
             ids, part, words = np.asarray(group["node"]), np.asarray(group["component"]), np.asarray(group["words"])
             counts = _bins(group["counts"])
+            before = _KeySets(group["before"].combine_chunks())
             if side[0] == BOTH:
                 _, member, many = np.unique(part, return_inverse=True, return_counts=True)
                 strays = np.flatnonzero(member != many.argmax())
@@ -460,6 +466,7 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
             a, b = [], []
             for k in strays:
                 met = np.flatnonzero((part != part[k]) & (turn > k))
+                met = met[~before.shared(k)[met]]
                 met = met[_may_be_similar(words[k], counts[k], words[met], counts[met])]
                 a.append(np.minimum(ids[met], ids[k]))
                 b.append(np.maximum(ids[met], ids[k]))
@@ -469,6 +476,23 @@ def crossing_pairs(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     return whole.union(stray).union(every).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+class _KeySets:
+    """The key lists of the rows of a group."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        known, self.keys = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+        self.own = np.zeros(len(known), dtype=bool)
+
+    def shared(self, row: int) -> np.ndarray:
+        """Which rows have a key of this one."""
+        mine = self.keys[self.ends[row] : self.ends[row + 1]]
+        self.own[mine] = True
+        many = np.concatenate([[0], np.cumsum(self.own[self.keys])])[self.ends]
+        self.own[mine] = False
+        return many[1:] > many[:-1]
+
+
 def _bins(column) -> np.ndarray:
     """A row a text: its words in BINS bins, then in FINE_BINS."""
     held = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BINS + FINE_BINS // 2)
@@ -499,14 +523,18 @@ def linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     for turn in range(SMALLEST_ROUNDS):
         if turn:
             apart = cut(_apart_from_smallest(placed))
-        found = verified(_possible(smallest_pairs(apart), nodes), texts)
-        links = cut(found if links is None else links.union(found))
+        found = cut(verified(_possible(smallest_pairs(apart), nodes), texts))
+        # What was linked before is known by its components: each node and the smallest of its own.
+        merged = cut(components(found if links is None else links.union(found)))
+        links = merged.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         before, path = path, fresh_path(spark, "near-placed")
-        placed = written(_placed(rows, links), path)
+        placed = written(_placed(rows, merged), path)
         if before:
             discard(spark, before)
-    links = cut(links.union(verified(crossing_pairs(placed, nodes), texts)))
+    crossing = fresh_path(spark, "near-found")
+    links = cut(links.union(verified(crossing_pairs(placed, nodes, crossing), texts)))
     discard(spark, path)
+    discard(spark, crossing)
     return links
 
 
@@ -591,20 +619,29 @@ def check_recall(nodes: DataFrame, texts: DataFrame, merged: DataFrame) -> tuple
 
 def _classed(docs: DataFrame) -> DataFrame:
     """doc_id, t1, t2, class_id and kept of every row with an id and a text that is not blank."""
-    fresh = lambda name: fresh_path(docs.sparkSession, name)
-    sketched = written(sketch_documents(docs), fresh("near-sketched"))
-    nodes = written(text_nodes(sketched), fresh("near-nodes"))
-    texts = node_texts(docs, sketched, nodes)
+    spark = docs.sparkSession
+    paths = {name: fresh_path(spark, f"near-{name}") for name in ("sketched", "least", "nodes", "buckets", "rows", "classes")}
+    sketched = written(sketch_documents(docs), paths["sketched"])
+    nodes = written(text_nodes(sketched, paths["least"]), paths["nodes"])
+    discard(spark, paths["least"])
     keys = sketched.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("n")).select("digest", "n.keys")
-    rows = bucket_rows(keys.join(nodes.select("digest", "node"), "digest").select("node", "keys"), hot_keys(sketched))
-    rows = written(rows, fresh("near-buckets"))
-    merged = cut(components(linked(rows, nodes, texts)))
+    buckets = bucket_rows(keys.join(nodes.select("digest", "node"), "digest").select("node", "keys"), hot_keys(sketched))
+    buckets = written(buckets, paths["buckets"])
+    rows = written(sketched.select("doc_id", "t1", "t2", "digest"), paths["rows"])
+    discard(spark, paths["sketched"])
+    texts = node_texts(docs, rows, nodes)
+    merged = cut(components(linked(buckets, nodes, texts)))
+    discard(spark, paths["buckets"])
     check_recall(nodes, texts, merged)
     placed = nodes.join(merged, "node", "left").select("digest", "node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("l")).select("component", "l.doc_id", F.col("l.digest").alias("first"))
     of_text = placed.select("digest", "component").join(least.withColumnRenamed("doc_id", "class_id"), "component").select("digest", "class_id", "first")
     kept = (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("first"))
-    return sketched.select("doc_id", "t1", "t2", "digest").join(of_text, "digest").select("doc_id", "t1", "t2", "class_id", kept.alias("kept"))
+    classed = rows.join(of_text, "digest").select("doc_id", "t1", "t2", "class_id", kept.alias("kept"))
+    classed = written(classed, paths["classes"])
+    discard(spark, paths["nodes"])
+    discard(spark, paths["rows"])
+    return classed
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -621,7 +658,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     A row is told by its id and text. Rows equal in both are one; rows without an id
     or with a blank text all stay.
     """
-    decided = cut(_classed(docs))
+    decided = _classed(docs)
     keys = ["doc_id", "t1", "t2"]
     text = F.col("text").cast("string")
     told = [F.col("doc_id").cast("bigint"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
