@@ -39,8 +39,9 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    """Doubles rounded, since sums depend on their order."""
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Doubles rounded, since sums depend on their order: the scaled double is rounded, as the SQL's ROUND does, not its decimal digits."""
+    scale = float(10**places)
+    return df.select(*[(F.round(F.col(f"`{c}`") * scale) / scale).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def _r(expression: str) -> str:
