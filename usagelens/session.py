@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,6 +46,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def once(column: Column) -> Column:
+    """A column that is computed once a row: Spark moves filters below a projection, and there computes a column as often as they name it, but not below a generator."""
+    return F.explode(F.array(column))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared folder, so that they are the same however often they are read."""
     shared_dir(df.sparkSession)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelens.session import once
+
 # Fixed value: files of up to so many bytes may lie in their inode and take no blocks.
 SMALL_FILE = 4096
 REQUIRED = ["size", "allocated", "uid", "gid", "is_dir", "atime"]
@@ -26,12 +28,15 @@ def _split(lines: DataFrame) -> DataFrame:
     """told (the part before the first mark, single spaces between its words and around it), head (its words) and path."""
     halves = F.split("value", r"\s--\s", 2)
     told = F.concat(F.lit(" "), F.trim(F.regexp_replace(halves[0], r"\s+", " ")), F.lit(" "))
-    return lines.where(F.size(halves) == 2).select(told.alias("told"), F.ltrim(halves[1]).alias("path")).withColumn("head", F.split(F.trim("told"), " ")).where("path <> ''")
+    split = lines.where(F.size(halves) == 2).select(once(F.struct(told.alias("told"), F.ltrim(halves[1]).alias("path"))).alias("line"))
+    return split.select("line.told", "line.path", once(F.split(F.trim("line.told"), " ")).alias("head")).where("path <> ''")
 
 
 def _text(key: str, words: int = 1) -> Column:
     """What follows key= up to the next space, or some words of it; null without the key."""
-    return F.substring_index(F.get(F.split("told", f" {key}=", 2), 1), " ", words)
+    mark = f" {key}="
+    at = F.instr("told", mark)
+    return F.when(at > 0, F.substring_index(F.substr("told", at + len(mark)), " ", words))
 
 
 def _number(key: str) -> Column:
