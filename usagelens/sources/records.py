@@ -13,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.sources.scheduler_log import last_of, of_ended, with_pairs
+
 #: Record fields that are columns of the job table.
 COLUMN_OF = {"user": "user", "account": "account", "queue": "queue", "jobname": "name", "priority": "priority", "Exit_status": "status"}
 TESTS = {
@@ -23,16 +25,13 @@ TESTS = {
 
 def archive(lines: DataFrame) -> DataFrame:
     """job_id, submit and record (all key=value pairs, the last of a key) of E records among lines."""
-    fields = F.split("value", ";", 4)
-    pairs = F.regexp_extract_all(F.col("attributes"), F.lit(r'[^\s=]+=(?:"[^"]*"|\S*)'), F.lit(0))
-    value = lambda p: F.regexp_replace(F.regexp_replace(p, r"^[^=]*=", ""), '^"(.*)"$', "$1")
-    entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("key"), value(p).alias("value")))
-    # One pass over the pairs: a later one takes the place of an earlier one with its key.
-    empty = F.create_map().cast("map<string,string>")
-    record = F.aggregate(entries, empty, lambda told, e: F.map_concat(F.map_filter(told, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
-    records = lines.where(F.size(fields) == 4).select(fields[1].alias("type"), fields[2].alias("job_id"), fields[3].alias("attributes")).where("type = 'E'")
-    told = records.select("job_id", record.alias("record"))
-    return told.select("job_id", F.timestamp_seconds(F.col("record").getItem("ctime").try_cast("bigint")).cast("timestamp_ntz").alias("submit"), "record")
+    bare = lambda v: F.when(v.startswith('"'), F.regexp_replace(v, '^"(.*)"$', "$1")).otherwise(v)
+    last = lambda key: bare(last_of(key))
+    names = F.reverse(F.array_distinct("pairs.names"))
+    record = F.map_from_arrays(names, F.transform(names, last))
+    told = with_pairs(of_ended(lines), r'([^\s=]+)=("[^"]*"|\S*)')
+    # submit is told without the map, so who needs no record makes none.
+    return told.select("job_id", F.timestamp_seconds(last(F.lit("ctime")).try_cast("bigint")).cast("timestamp_ntz").alias("submit"), record.alias("record"))
 
 
 def _value(field: str) -> Column:

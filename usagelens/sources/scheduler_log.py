@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from usagelens.session import once
+
 # Hardware by queue, and a machine's CPU type where nothing else tells.
 QUEUE_GPUS = {"a100": "a100", "h100": "h100", "l40": "l40", "nvgpu": "v100"}
 MACHINE_CPU = {"derecho": "milan"}
@@ -44,13 +48,29 @@ def attribute(key: str) -> Column:
     return F.col("told")[ATTRIBUTES.index(key)]
 
 
-def told(attributes: Column) -> Column:
-    """The values of ATTRIBUTES, in their order: key=value pairs, with quotes around values that hold spaces, are split once."""
-    pair = F.lit(r'(?:^|\s)([^\s=]+)=("[^"]*"|\S*)')
-    split = [F.reverse(F.regexp_extract_all(attributes, pair, F.lit(i))) for i in (1, 2)]  # the last of a key comes first
-    both = F.struct(split[0].alias("names"), split[1].alias("values"))
-    wanted = F.array(*[F.lit(k) for k in ATTRIBUTES])
-    return F.get(F.transform(F.array(both), lambda r: F.transform(wanted, lambda k: F.get(r["values"], F.nullif(F.array_position(r["names"], k), F.lit(0)) - 1))), F.lit(0))
+def with_pairs(records: DataFrame, pair: str = r'(?:^|\s)([^\s=]+)=("[^"]*"|\S*)') -> DataFrame:
+    """records with pairs (names and values, from the last to the first) of their attributes: what the pattern finds.
+
+    A record without spaces in quotes is what its words are; only others take the pattern, which is slow.
+    """
+    text, words = F.col("attributes"), F.col("words")
+    blank = reduce(or_, [text.contains(c) for c in "\t\n\x0b\f\r"])
+    odd = F.exists(words, lambda w: w.startswith("=") | (w.contains('"') & ~w.rlike('^[^="]+="[^"]*"$')))
+    own = F.filter(words, lambda w: w.contains("="))
+    names, values = F.transform(own, lambda w: F.substring_index(w, "=", 1)), F.transform(own, lambda w: F.substr(w, F.instr(w, "=") + 1))
+    found = [F.reverse(F.when(F.col("plain"), quick).otherwise(F.regexp_extract_all(text, F.lit(pair), F.lit(i)))) for i, quick in ((1, names), (2, values))]
+    split = records.select("*", once(F.split("attributes", " ")).alias("words")).select("*", once(~(blank | odd)).alias("plain"))
+    return split.select("*", once(F.struct(found[0].alias("names"), found[1].alias("values"))).alias("pairs")).drop("words", "plain")
+
+
+def last_of(key: Column) -> Column:
+    """The value of a key's last pair."""
+    return F.get("pairs.values", F.nullif(F.array_position("pairs.names", key), F.lit(0)) - 1)
+
+
+def told() -> Column:
+    """The values of ATTRIBUTES, in their order."""
+    return F.array(*[last_of(F.lit(k)) for k in ATTRIBUTES])
 
 
 def seconds(text: Column) -> Column:
@@ -89,12 +109,15 @@ def _mapped(value: Column, table: dict[str, str]) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
+def of_ended(lines: DataFrame) -> DataFrame:
+    """lines of E records with their job_id and attributes."""
+    split, fields = lines.select("*", once(F.split("value", ";", 4)).alias("fields")), F.col("fields")
+    return split.where((F.size(fields) == 4) & (fields[1] == "E")).select(*lines.columns, fields[2].alias("job_id"), fields[3].alias("attributes"))
+
+
 def parse(lines: DataFrame, machine: str) -> DataFrame:
     """Job rows of the E records among lines (value, and any further columns)."""
-    fields = F.split("value", ";", 4)
-    records = lines.where(F.size(fields) == 4).select(
-        "*", fields[1].alias("type"), fields[2].alias("job_id"), fields[3].alias("attributes")
-    ).where("type = 'E'").withColumn("told", told(F.col("attributes")))
+    records = with_pairs(of_ended(lines)).select("*", once(told()).alias("told"))
     select = F.coalesce(attribute("Resource_List.select"), F.lit(""))
     own = {k: attribute(k) for k in ("user", "account", "queue", "jobname", "Exit_status", "run_count", "eligible_time")}
     listed = {k: attribute(f"Resource_List.{k}") for k in ("ncpus", "ngpus", "nodect", "mem", "walltime", "mpiprocs", "job_priority")}

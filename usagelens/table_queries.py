@@ -60,7 +60,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write_logs(lines: DataFrame, folder: str) -> None:
     """A folder of parts a log day, called YYYYMMDD."""
     days = lines.withColumn("day", F.date_format("file_day", "yyyyMMdd")).drop("file_day")
-    days.repartition("day").write.partitionBy("day").mode("append").text(folder)
+    days.hint("rebalance", "day").write.partitionBy("day").mode("append").text(folder)
     fs, path = file_system(lines.sparkSession, folder)
     for part in fs.listStatus(path(folder)):
         name = part.getPath().getName()
