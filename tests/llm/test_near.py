@@ -205,6 +205,41 @@ def test_crossing_pairs_of_small_and_of_large_buckets(spark, monkeypatch, block)
     assert all(a < b and component[a] != component[b] for a, b in found)
 
 
+def test_a_node_meets_the_others_of_many_shared_buckets_in_one_group(spark):
+    """Texts that share 100 keys are sent to one comparison, not to 100; pairs of later buckets are found there too."""
+    rng = random.Random(37)
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: replaced(rng, base, set(rng.sample(range(60), 3))) for i in range(40)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    nodes = near_text.sketch_documents(docs).selectExpr("doc_id AS node", "words", "counts")
+    keys_of = {i: [k for k in range(100) if i == 0 or rng.random() < 0.5] for i in texts}
+    component = {i: 0 if i < 20 else i for i in texts}
+    placed = spark.createDataFrame([(k, i, component[i]) for i in texts for k in keys_of[i]], "key bigint, node bigint, component bigint")
+    path = near_text.fresh_path(spark, "near-found")
+    found = [tuple(r) for r in near_text.crossing_pairs(placed, nodes, path).collect()]
+    alike = {(a, b) for a in texts for b in texts if a < b and component[a] != component[b] and set(keys_of[a]) & set(keys_of[b]) and near_text.similar(texts[a], texts[b])}
+    assert len(found) == len(set(found)) and alike <= set(found) and len(alike) >= 100
+    assert spark.read.parquet(path).count() == len(texts)
+
+
+@pytest.mark.parametrize("block", [4096, 30, 8])
+def test_buckets_of_a_leader_that_overlap_or_do_not(spark, monkeypatch, block):
+    """Leaders of overlapping and of disjoint buckets, small and large: the pairs that share a bucket, and no others."""
+    monkeypatch.setattr(near_text, "BLOCK", block)
+    rng = random.Random(41)
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: replaced(rng, base, set(rng.sample(range(60), 2))) for i in range(90)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    nodes = near_text.sketch_documents(docs).selectExpr("doc_id AS node", "words", "counts")
+    buckets = [{0, *rng.sample(range(1, 40), 30)} for _ in range(12)] + [{40, *range(41 + 12 * n, min(90, 53 + 12 * n))} for n in range(5)] + [{7, 50, 80}, {50, 80, 81}]
+    component = {i: i // 2 for i in texts}
+    placed = spark.createDataFrame([(k, i, component[i]) for k, b in enumerate(buckets) for i in b], "key bigint, node bigint, component bigint")
+    found = [tuple(r) for r in near_text.crossing_pairs(placed, nodes).collect()]
+    together = {(a, b) for bucket in buckets for a in bucket for b in bucket if a < b and component[a] != component[b]}
+    alike = {(a, b) for a, b in together if near_text.similar(texts[a], texts[b])}
+    assert len(found) == len(set(found)) and alike <= set(found) <= together and len(alike) >= 300
+
+
 def test_audit_counts_pairs_that_were_missed(spark):
     base = [f"w{i}" for i in range(50)]
     docs = spark.createDataFrame([(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(12)], "node bigint, text string")

@@ -408,65 +408,97 @@ def _apart_from_smallest(placed: DataFrame) -> DataFrame:
     return placed.join(first, "key").where("component <> of").select("key", "node")
 
 
+def meeting_groups(placed: DataFrame) -> DataFrame:
+    """leader, one, node, component, here (keys) and large: the groups in which a node meets others, each once.
+
+    Buckets of one component have nothing to compare. The others are put together
+    by their smallest node, their leader: texts of one kind share many keys, and
+    meet under one leader once instead of in every bucket. `one` is 0 then. A
+    leader whose buckets have little in common keeps them apart (`one` is the
+    key) where that copies fewer rows. Groups of more than BLOCK nodes are large.
+    """
+    blocks = lambda many: F.ceil(many / BLOCK).cast("bigint")
+    several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.min("node").alias("leader"), F.count(F.lit(1)).alias("all"))
+    found = cut(placed.join(several.where("c < d").select("key", "leader", "all"), "key"))
+    by_node = found.groupBy("leader", "node").agg(F.sum(blocks(F.col("all"))).alias("apart"))
+    wide = by_node.groupBy("leader").agg(F.count(F.lit(1)).alias("many"), F.sum("apart").alias("apart")).where(F.col("many") > BLOCK)
+    wide = cut(wide.select("leader", (F.col("many") * blocks(F.col("many")) <= F.col("apart")).alias("as_one")))  # one leader in BLOCK rows at most
+    told = found.join(F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide, "leader", "left")
+    apart = ~F.coalesce("as_one", F.lit(True))
+    rows = told.select(
+        "leader", F.when(apart, F.col("key")).otherwise(0).alias("one"), "node", "component", "key",
+        F.when(apart, F.col("all") > BLOCK).otherwise(F.col("as_one").isNotNull()).alias("large"),
+    )
+    return rows.groupBy("leader", "one", "node", "component", "large").agg(F.sort_array(F.collect_list("key")).alias("here"))
+
+
 def crossing_pairs(placed: DataFrame, nodes: DataFrame, path: str | None = None) -> DataFrame:
     """All pairs of nodes of a bucket that are in different components and may be similar by their word counts. A table is written to path.
 
-    A pair meets in every bucket that both its nodes are in, and is looked at in the
-    one of the smallest key: rows carry the smaller keys of their node. Nodes outside a bucket's largest component (strays) meet all others. A bucket of
-    up to BLOCK nodes is one group, and each node is sent to it once. A larger one is
+    A pair meets in every group in which both its nodes have a key, and is looked
+    at in the first: rows carry the keys of their node in the groups before. Nodes
+    outside a bucket's largest component (strays) meet all others. A group of up
+    to BLOCK nodes is whole, and each node is sent to it once. A larger one is
     told apart by length, as similar texts are in one class of lengths or in two next
     to each other; there both sides are dealt in blocks, and a pair of blocks is one
     bounded group.
     """
-    several = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d"), F.count(F.lit(1)).alias("all"))
-    found = placed.join(several.where("c < d").select("key", (F.col("all") > BLOCK).alias("large")), "key")
-    found = written(found, path or fresh_path(placed.sparkSession, "near-found"))
-    # All buckets in which a node may meet others; a text has a bounded number of keys.
-    keys_of = found.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    found = written(meeting_groups(placed), path or fresh_path(placed.sparkSession, "near-found"))
+    # All keys with which a node may meet others; a text has a bounded number of keys.
+    keys_of = found.groupBy("node").agg(F.collect_list(F.struct("leader", "one", "here")).alias("keys"))
     met = nodes.select("node", "words", "counts").join(keys_of, "node")
-    told = ("component", "node", "words", "counts", F.filter("keys", lambda k: k < F.col("key")).alias("before"))
+    earlier = F.filter("keys", lambda k: (k["leader"] < F.col("leader")) | (k["leader"] == F.col("leader")) & (k["one"] < F.col("one")))
+    told = ("component", "node", "words", "counts", "here", F.flatten(F.transform(earlier, lambda k: k["here"])).alias("before"))
+    group = ["leader", "one"]
     alone = [F.lit(n).alias(c) for c, n in (("size", -1), ("i", 0), ("j", 0), ("side", BOTH))]
-    whole = found.where("not large").join(met, "node").select("key", *alone, *told)
+    whole = found.where("not large").join(met, "node").select(*group, *alone, *told)
     size = F.floor(F.log("words") / -math.log(SIMILARITY) + 1e-9).cast("int")
-    rows = found.where("large").join(nodes.select("node", "words"), "node").select("key", "node", "component", size.alias("own"))
+    rows = found.where("large").join(nodes.select("node", "words"), "node").select(*group, "node", "component", "here", size.alias("own"))
     rows = cut(rows.withColumn("size", F.explode(F.array(F.col("own"), F.col("own") - 1))))
-    parts = rows.groupBy("key", "size", "component").agg(F.count(F.lit(1)).alias("many"), F.min("own").alias("least"))
-    dealt = parts.groupBy("key", "size").agg(
+    parts = rows.groupBy(*group, "size", "component").agg(F.count(F.lit(1)).alias("many"), F.min("own").alias("least"))
+    dealt = parts.groupBy(*group, "size").agg(
         F.max(F.struct("many", "component")).alias("largest"), F.sum("many").alias("all"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least")
     )
     blocks = lambda many: F.ceil(many / BLOCK).cast("int")
     dealt = dealt.where("parts > 1 and least = size").select(
-        "key", "size", F.col("largest.component").alias("main"), blocks(F.col("all") - F.col("largest.many")).alias("strays"), blocks(F.col("all")).alias("blocks")
+        *group, "size", F.col("largest.component").alias("main"), blocks(F.col("all") - F.col("largest.many")).alias("strays"), blocks(F.col("all")).alias("blocks")
     )
     # The counts are many times longer than the rest: only rows that meet others are given them.
-    known = rows.join(dealt, ["key", "size"]).join(met, "node")
+    known = rows.join(dealt, [*group, "size"]).join(met, "node")
     spread = lambda to: F.explode(F.sequence(F.lit(0), F.col(to) - 1))
     stray = known.where("component <> main").select(
-        "key", "size", F.pmod(F.xxhash64("node"), F.col("strays")).cast("int").alias("i"), spread("blocks").alias("j"), F.lit(0).alias("side"), *told
+        *group, "size", F.pmod(F.xxhash64("node"), F.col("strays")).cast("int").alias("i"), spread("blocks").alias("j"), F.lit(0).alias("side"), *told
     )
     every = known.select(
-        "key", "size", spread("strays").alias("i"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), *told
+        *group, "size", spread("strays").alias("i"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), *told
     )
-    keys = ["key", "size", "i", "j"]
+    keys = [*group, "size", "i", "j"]
 
     def compare(batches):
-        for group in groups(batches, 4):
+        for group in groups(batches, 5):
             side = np.asarray(group["side"])
             ids, part, words = np.asarray(group["node"]), np.asarray(group["component"]), np.asarray(group["words"])
-            counts = _bins(group["counts"])
-            before = _KeySets(group["before"].combine_chunks())
-            if side[0] == BOTH:
-                _, member, many = np.unique(part, return_inverse=True, return_counts=True)
-                strays = np.flatnonzero(member != many.argmax())
-                turn = np.full(len(ids), len(ids))  # each two strays meet once
-                turn[strays] = strays
-            else:
-                strays = np.flatnonzero(side == 0)
-                turn = np.where(side == 1, len(ids), -1)
+            here, before = (_KeySets(group[n].combine_chunks()) for n in ("here", "before"))
+            counts, buckets, meets = None, here.buckets(), []
+            for rows in buckets:
+                if side[0] == BOTH:
+                    _, member, many = np.unique(part[rows], return_inverse=True, return_counts=True)
+                    # Each two strays meet once.
+                    meets.append(np.where(member != many.argmax(), rows, len(ids)))
+                else:
+                    meets.append(np.where(side[rows] == 1, len(ids), -1))
             a, b = [], []
-            for k in strays:
-                met = np.flatnonzero((part != part[k]) & (turn > k))
+            for k in range(len(ids)):
+                near = np.zeros(len(ids), dtype=bool)
+                for key in here.of(k):
+                    rows, turn = buckets[key], meets[key]
+                    if turn[np.searchsorted(rows, k)] < len(ids):  # a stray
+                        near[rows[turn > k]] = True
+                met = np.flatnonzero(near & (part != part[k]))
+                if not len(met):
+                    continue
                 met = met[~before.shared(k)[met]]
+                counts = _bins(group["counts"]) if counts is None else counts
                 met = met[_may_be_similar(words[k], counts[k], words[met], counts[met])]
                 a.append(np.minimum(ids[met], ids[k]))
                 b.append(np.maximum(ids[met], ids[k]))
@@ -484,9 +516,19 @@ class _KeySets:
         known, self.keys = np.unique(np.asarray(lists.flatten()), return_inverse=True)
         self.own = np.zeros(len(known), dtype=bool)
 
+    def of(self, row: int) -> np.ndarray:
+        """The keys of a row, numbered from 0."""
+        return self.keys[self.ends[row] : self.ends[row + 1]]
+
+    def buckets(self) -> list[np.ndarray]:
+        """The rows of each key, ascending."""
+        owner = np.repeat(np.arange(len(self.ends) - 1), np.diff(self.ends))
+        order = np.argsort(self.keys, kind="stable")
+        return np.split(owner[order], np.flatnonzero(np.diff(self.keys[order])) + 1)
+
     def shared(self, row: int) -> np.ndarray:
         """Which rows have a key of this one."""
-        mine = self.keys[self.ends[row] : self.ends[row + 1]]
+        mine = self.of(row)
         self.own[mine] = True
         many = np.concatenate([[0], np.cumsum(self.own[self.keys])])[self.ends]
         self.own[mine] = False
