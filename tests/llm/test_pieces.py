@@ -38,6 +38,17 @@ def test_ids_and_texts_are_the_librarys(serialized, library):
     codec.check()
 
 
+def test_short_segments_are_merged_by_the_list(serialized, library, monkeypatch):
+    """Words take no heap, cut or not; their ids are the heap's and the library's, ties and unknown letters too."""
+    codec = piece_bpe.Codec(serialized)
+    words = {w for text in odd_texts() for w in text.replace(" ", piece_bpe.MARK).split(piece_bpe.MARK) if len(w) <= piece_bpe.LONGEST_REMEMBERED}
+    told = {w: codec.model.encode(piece_bpe.MARK + w) for w in words}
+    assert all(list(ids) == library.encode(w) for w, ids in told.items() if w) and len(told) > 3000
+    monkeypatch.setattr(piece_bpe.heapq, "heapify", None)
+    assert {w: codec.after_mark[w] for w in words} == told
+    codec.check()
+
+
 def test_whole_texts_without_cuts(serialized, library):
     codec = piece_bpe.Codec(serialized)
     codec.model.cuts_before_marks = False
