@@ -83,6 +83,23 @@ def check_files(rows, docs, tokenizer):
         start += len(ids)
 
 
+def test_words_of_letters_are_told_apart_by_their_ends(tokenizer):
+    """Many words go through the library's quicker call at once; without known ends each goes alone."""
+
+    class Quick:
+        encode_batch_fast = staticmethod(tokenizer.encode_batch_fast)
+
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abehtéßñöw") for _ in range(rng.randint(1, 12))) for _ in range(5000)})
+    encoder = orc_tokens.WordEncoder(tokenizer.to_str())
+    assert encoder.ends.any()
+    encoder.tokenizer = Quick()
+    wanted = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+    assert encoder._letters(words) == wanted and encoder._letters(["a b", *words]) == [encoder._whole(["a b"])[0], *wanted]
+    encoder.ends[:] = False
+    assert encoder._letters(words) == wanted
+
+
 def test_orc_query(spark, small, tokenizer):
     check_files(op1_orc_tokens(spark, small).collect(), spark.read.parquet(f"{small}/documents.parquet").collect(), tokenizer)
 
