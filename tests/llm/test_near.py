@@ -240,6 +240,23 @@ def test_buckets_of_a_leader_that_overlap_or_do_not(spark, monkeypatch, block):
     assert len(found) == len(set(found)) and alike <= set(found) <= together and len(alike) >= 300
 
 
+@pytest.mark.parametrize("room", [near_text.HELD_WORDS, 100])
+def test_texts_of_a_dense_set_are_sent_to_few_groups(spark, monkeypatch, room):
+    """Pairs grow with the square of a set, the texts that are sent do not: each goes to one group for so many partners."""
+    monkeypatch.setattr(near_text, "HELD_WORDS", room)
+    rng = random.Random(43)
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: replaced(rng, base, set(rng.sample(range(60), 7))) for i in range(100)} | {100 + i: texts_i.split() for i, texts_i in enumerate(["one two three", "one two four"])}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "node bigint, text string")
+    pairs = [(a, b) for a in range(100) for b in range(a + 1, 100)] + [(100, 101)]
+    table = spark.createDataFrame(pairs, "a bigint, b bigint")
+    sent = near_text.meetings(table).collect()
+    assert {(a, r.node) for r in sent for a in r.near} == set(pairs) and sum(len(r.near) for r in sent) == len(pairs)
+    assert len(sent) <= len(pairs) / 4
+    alike = {(a, b) for a, b in pairs if near_text.similar(texts[a], texts[b])}
+    assert {tuple(r) for r in near_text.verified(table, docs).collect()} == alike and 0 < len(alike) < len(pairs) - 100
+
+
 def test_audit_counts_pairs_that_were_missed(spark):
     base = [f"w{i}" for i in range(50)]
     docs = spark.createDataFrame([(i, " ".join([*base[:i], "x", *base[i + 1 :]])) for i in range(12)], "node bigint, text string")

@@ -10,8 +10,8 @@ then all pairs of a bucket that no links connect are compared, unless their word
 counts alone tell that they differ too much. A pair is a link when
 its edit similarity over words, 1 - distance / longer length, is at least 0.8 by
 an alignment in a band. A class is what links connect; equal texts are one node.
-A document that many pairs share is sent once to each of several tasks, each with
-some of its partners. In the end some texts are compared with all others, and a
+Pairs are compared in bounded groups to which a text is sent once, whatever many
+pairs of the group share it. In the end some texts are compared with all others, and a
 recall below LEAST_RECALL is an error.
 
 Sketches, nodes and buckets are written as compressed tables of the shared folder,
@@ -34,7 +34,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import Memo, cut, discard, free_name, fresh_path, groups, kept_in_worker, map_texts, slices, written
@@ -55,8 +55,10 @@ BINS, FINE_BINS, MOST_FINE = 128, 1024, 15
 #: Texts of a bucket that meet in one group: smaller buckets are one, in larger ones a text is copied once for so many
 #: others. A group's bins take about two and a half megabytes.
 BLOCK = 2048
-#: A document with more partners than this is sent to several tasks; hubs are broadcast up to so many.
-PARTNERS, MOST_BROADCAST = 128, 100_000
+#: About so many smaller and larger nodes of pairs are compared in one group; a list of the wide leaders is broadcast up to so many.
+LEADERS, PARTNERS, MOST_BROADCAST = 32, 64, 100_000
+#: Words of a group's smaller nodes that are held as lists; further texts are split again for each pair.
+HELD_WORDS = 1 << 18
 #: Up to so many nodes that a search asks for, they are broadcast so that no other text is shuffled; of more, all texts are.
 MOST_ASKED = 1_000_000
 #: Keys of about more rows than this are found in a sample of one node in HOT_SAMPLE; they need no shuffle to be known as shared.
@@ -580,41 +582,59 @@ def linked(rows: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return links
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b: nodes) whose texts are similar.
+def meetings(pairs: DataFrame) -> DataFrame:
+    """lead, i, j, turn, node and near: the texts of each group in which pairs (a < b: nodes) are compared, once.
 
-    One join fetches all texts. Then each pair is one row with b's text, and a's
-    text comes once before up to about PARTNERS of them: a node with more
-    partners is dealt to several groups.
+    A pair is told to the smallest node that its b is paired with, so the pairs of a
+    dense set of nodes, which are many times its nodes, are one leader's. Its
+    smaller and its larger nodes are dealt in blocks, and two blocks are a group:
+    turn 0 has the smaller nodes, turn 1 the larger with their partners (near).
     """
-    pairs = cut(pairs)
-    hubs = cut(pairs.groupBy("a").count().where(F.col("count") > PARTNERS).select("a", F.ceil(F.col("count") / PARTNERS).cast("int").alias("parts")))
-    dealt = pairs.join(F.broadcast(hubs) if hubs.count() <= MOST_BROADCAST else hubs, "a", "left")
-    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "b")
-    first = dealt.select(F.col("a").alias("node"), "a", "part").distinct().select("node", "a", "part", F.lit(0).alias("turn"))
-    others = dealt.select(F.col("b").alias("node"), "a", "part", F.lit(1).alias("turn"))
-    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    told = cut(pairs.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("lead")))
+    blocks = lambda n, most: F.ceil(F.approx_count_distinct(n) / most).cast("int")
+    wide = told.groupBy("lead").agg(blocks("a", LEADERS).alias("high"), blocks("b", PARTNERS).alias("across")).where("high > 1 or across > 1")
+    wide = cut(wide)  # one leader in LEADERS pairs at most
+    dealt = told.join(F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide, "lead", "left")
+    block = lambda n, many: F.pmod(F.xxhash64(n), F.coalesce(many, F.lit(1))).cast("int")
+    ends = F.array(
+        F.struct(F.lit(0).alias("turn"), F.col("a").alias("node"), F.lit(None).cast("bigint").alias("near")), F.struct(F.lit(1).alias("turn"), F.col("b").alias("node"), F.col("a").alias("near"))
+    )
+    ends = dealt.select("lead", block("a", "high").alias("i"), block("b", "across").alias("j"), F.explode(ends).alias("e")).select("lead", "i", "j", "e.*")
+    return ends.groupBy("lead", "i", "j", "turn", "node").agg(F.collect_set("near").alias("near"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b: nodes) whose texts are similar. One join fetches the texts of all meetings."""
+    met = cut(meetings(pairs))
+    asked = cut(met.select("node").distinct())
     known = texts.select("node", "text")
     if asked.count() <= MOST_ASKED:
         known = known.join(F.broadcast(asked), "node", "left_semi")
-    rows = first.union(others).join(known, "node").select("a", "part", "turn", "node", "text")
+    rows = met.join(known, "node").select("lead", "i", "j", "turn", "node", "near", "text")
 
     def compare(batches):
-        leader, words = None, []
+        group, held, room = None, {}, HELD_WORDS
         for batch in batches:
             for some in slices(batch, 1 << 20):
                 out_a, out_b = [], []
-                for a, part, turn, node, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                for lead, i, j, turn, node, near, text in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    if group != (lead, i, j):
+                        group, held, room = (lead, i, j), {}, HELD_WORDS
+                    words = words_of(text)
                     if not turn:
-                        leader, words = (a, part), words_of(text)
-                    elif leader == (a, part) and similar(words, words_of(text), least):
-                        out_a.append(a)
-                        out_b.append(node)
+                        held[node] = words if len(words) <= room else text
+                        room -= len(words) if held[node] is words else 0
+                        continue
+                    for a in near:
+                        own = held.get(a)
+                        if own is not None and similar(words_of(own) if isinstance(own, str) else own, words, least):
+                            out_a.append(a)
+                            out_b.append(node)
                 if out_a:
                     yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    order = ["a", "part", "turn", "node"]
-    return rows.repartition("a", "part").sortWithinPartitions(*order).mapInArrow(compare, "a bigint, b bigint")
+    group = ["lead", "i", "j"]
+    return rows.repartition(*group).sortWithinPartitions(*group, "turn", "node").mapInArrow(compare, "a bigint, b bigint")
 
 
 def audit(nodes: DataFrame, texts: DataFrame, merged: DataFrame, most: int = AUDITED, skip: int = 0) -> tuple[int, int]:
