@@ -139,3 +139,15 @@ def test_orc_files_are_sorted_and_prunable(spark, small, tmp_path):
     rows = orc_tokens.read_orc(spark, path).where("doc_id = 17")
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in rows._jdf.queryExecution().toString()
     assert rows.count() == 1
+
+
+def test_a_codec_keeps_bounded_memory():
+    """A word that is one piece with its space is remembered once, and the memos stay small beside each other."""
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.DEFAULT_RANKS)), public_tokenizers.PATTERN)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q" for i in range(5000)]
+    packed = codec.encode(" ".join(["first", *words]))
+    assert packed == codec.pack(" ".join(["first", *words])) and len(codec.after_space) == 5000
+    fresh = byte_bpe.Codec(codec.encoder.ranks, public_tokenizers.PATTERN)
+    fresh.encode(" ".join(["first", *words]))
+    assert len(fresh.pieces) == 1
+    assert byte_bpe.MEMO_WORDS + byte_bpe.MEMO_PIECES + byte_bpe.MEMO_PAIRS <= 600_000

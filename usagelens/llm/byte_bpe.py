@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from usagelens.llm.common import Memo, kept_in_worker, map_texts
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-#: Entries of each worker's memo of pieces and of pairs.
-MEMO_WORDS = 400_000
-MEMO_PIECES = 400_000
-MEMO_PAIRS = 400_000
+#: Entries of each worker's memos; with two workers an executor, and models of earlier stages before them, larger ones fill its memory.
+MEMO_WORDS = 200_000
+MEMO_PIECES = 100_000
+MEMO_PAIRS = 200_000
 #: Longer pieces are encoded but not remembered.
 LONGEST_REMEMBERED = 64
 #: Beyond every rank.
@@ -145,14 +145,22 @@ class Codec:
         top = max(self.encoder.bytes_of, default=-1)
         self.bytes_of = [self.encoder.bytes_of.get(i, b"") for i in range(top + 1)]
         self.pieces = Memo(self._piece, MEMO_PIECES)
-        self.after_space = Memo(lambda word: self.pack(" " + word), MEMO_WORDS)
+        self.after_space = Memo(self._after_space, MEMO_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         return array("I", self.encoder.encode(piece.encode())).tobytes()
 
+    def _after_space(self, word: str) -> bytes:
+        """A word that is one piece with its space is remembered here alone."""
+        found = self.find(" " + word)
+        return self._piece(found[0]) if len(found) == 1 else self._packed(found)
+
     def pack(self, text: str) -> bytes:
+        return self._packed(self.find(text))
+
+    def _packed(self, found: list[str]) -> bytes:
         pieces = self.pieces
-        return b"".join([pieces[p] if len(p) <= LONGEST_REMEMBERED else self._piece(p) for p in self.find(text)])
+        return b"".join([pieces[p] if len(p) <= LONGEST_REMEMBERED else self._piece(p) for p in found])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
