@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from usagelens.plans import idtree
 
@@ -73,3 +74,22 @@ def test_odd_trees(spark):
     assert idtree.intervals(idtree.paths(empty)).count() == 0
     with pytest.raises(Exception, match="repeated"):
         idtree.paths(spark.createDataFrame([(1, None, "a"), (1, None, "b")], TREE))
+
+
+def test_intervals_are_written_in_the_order_they_come_in(spark, tmp_path):
+    """Paths are dealt once: sizes stand beside them before, and ranges of paths are ranges of low. Rounds don't multiply partitions."""
+    rows = random_tree(60, 3) + [(5003, 5099, "lost"), (5004, 5003, "under")]
+    tree = spark.createDataFrame(rows, TREE)
+    placed = idtree.paths(tree, idtree.sizes(tree))
+    assert placed.rdd.getNumPartitions() <= 32
+    path = f"file://{tmp_path}/tree"
+    idtree.write(idtree.intervals(placed), path, ordered=True)
+    table = spark.read.parquet(path)
+    told = {r.dir_id: (r.path, r.low, r.high) for r in table.collect()}
+    found, under = walked(rows)
+    assert table.columns == [*tree.columns, "path", "depth", "low", "high"] and {d: p for d, (p, _, _) in told.items()} == found
+    assert all(low is None if p is None else h - low == len(under[d]) for d, (p, low, h) in told.items())
+    order = sorted((low, p.replace("/", "\x01")) for p, low, _ in told.values() if p is not None)
+    assert [low for low, _ in order] == list(range(60)) and [p for _, p in order] == sorted(p for _, p in order)
+    ranges = sorted((r.a, r.b) for r in table.where("low IS NOT NULL").groupBy("_metadata.file_path").agg(F.min("low").alias("a"), F.max("low").alias("b")).collect())
+    assert all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))

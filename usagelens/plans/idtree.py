@@ -20,7 +20,7 @@ error. A null name counts as an empty one; an empty table stays empty.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
@@ -31,6 +31,8 @@ from usagelens.session import stored
 
 #: So many distinct ancestors are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
+#: Of so many directories one is a mark, whose path those below it are told from.
+STEP = 16
 
 
 def _unique(tree: DataFrame) -> DataFrame:
@@ -45,29 +47,49 @@ def _rounds(rows: DataFrame) -> int:
     return max(1, rows.count().bit_length() + 1)
 
 
-def paths(tree: DataFrame) -> DataFrame:
-    """dir_id, parent_id, name, path and depth of every directory; a root of name a has path /a and depth 1."""
-    rows = stored(_unique(tree))
-    # way: the names from below `up` on; up is null where a root has been reached, way where there is none to reach.
-    state = rows.select("dir_id", F.col("parent_id").alias("up"), F.concat(F.lit("/"), "name").alias("way"), F.lit(1).alias("depth"))
-    for _ in range(_rounds(rows)):
-        open_ = state.where("up IS NOT NULL")
+def _ways(state: DataFrame, rounds: int, stops: Callable[[str], Column] = lambda up: F.lit(False)) -> DataFrame:
+    """state (dir_id, up, way, depth) with ways that reach up to a root (up is null), to a stop or nowhere (both are null)."""
+    ended = lambda: F.col("up").isNull() | stops("up")
+    for _ in range(rounds):
+        open_ = state.where(~ended())
         wanted = open_.select("up").distinct()
         many = wanted.limit(MOST_BROADCAST + 1).count()
         if not many:
             break
         above = state.select(F.col("dir_id").alias("up"), F.col("up").alias("next"), F.col("way").alias("above"), F.col("depth").alias("more"), F.lit(True).alias("found"))
-        if many <= MOST_BROADCAST:
+        few = many <= MOST_BROADCAST
+        if few:
             above = F.broadcast(above.join(F.broadcast(wanted), "up", "left_semi"))
-        met = open_.join(above, "up", "left")
+        # Rows that have ended take no part in a shuffle; beside a broadcast they stay in their partitions, whose number would double.
+        met = (state if few else open_).join(above, "up", "left")
         gone = F.col("found").isNull() | F.col("above").isNull()
-        grown = met.select(
-            "dir_id", F.when(~gone, F.col("next")).alias("up"), F.when(~gone, F.concat("above", "way")).alias("way"), F.when(~gone, F.col("depth") + F.col("more")).alias("depth"),
-        )
-        state = stored(state.where("up IS NULL").unionByName(grown))
-    known = F.col("up").isNull()
-    told = state.select("dir_id", F.when(known, F.col("way")).alias("path"), F.when(known, F.col("depth")).alias("depth"))
-    return rows.join(told, "dir_id")
+        grow = lambda n, more: F.when(ended(), F.col(n)).when(~gone, more).alias(n)
+        grown = met.select("dir_id", grow("up", F.col("next")), grow("way", F.concat("above", "way")), grow("depth", F.col("depth") + F.col("more")))
+        state = stored(grown if few else state.where(ended()).unionByName(grown))
+    return state
+
+
+def paths(tree: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """dir_id, parent_id, name, path and depth of every directory, and what beside tells of its dir_id; a root of name a has path /a and depth 1.
+
+    Ways are told up to the next mark, one directory in STEP; only the marks' own ways reach up to the roots before
+    all paths are put together, so long paths are not dealt anew in every round.
+    """
+    rows = stored(_unique(tree))
+    marked = lambda n: F.pmod(F.xxhash64(n), F.lit(STEP)) == 0
+    # way: the names from below `up` on; up is null where a root has been reached, way where there is none to reach.
+    state = rows.select("dir_id", F.col("parent_id").alias("up"), F.concat(F.lit("/"), "name").alias("way"), F.lit(1).alias("depth"))
+    state = _ways(state, _rounds(rows), marked)
+    marks = stored(state.where(marked("dir_id")))
+    above = _ways(marks, _rounds(marks)).where("up IS NULL").select(F.col("dir_id").alias("up"), F.col("way").alias("above"), F.col("depth").alias("more"))
+    told = rows.join(state, "dir_id")
+    if beside is not None:
+        told = told.join(beside, "dir_id", "left")
+    names = [c for c in told.columns if c not in ("up", "way", "depth")]
+    low = told.where("up IS NOT NULL").join(F.broadcast(above) if marks.count() <= MOST_BROADCAST // STEP else above, "up", "left")
+    whole = told.where("up IS NULL").select(*names, F.col("way").alias("path"), "depth")
+    found = whole.unionByName(low.select(*names, F.concat("above", "way").alias("path"), (F.col("more") + F.col("depth")).alias("depth")))
+    return found.select("dir_id", "parent_id", "name", "path", "depth", *names[3:])
 
 
 def rolled(tree: DataFrame, stats: DataFrame, sums: Sequence[str] = (), greatest: Sequence[str] = (), least: Sequence[str] = ()) -> DataFrame:
@@ -92,18 +114,25 @@ def rolled(tree: DataFrame, stats: DataFrame, sums: Sequence[str] = (), greatest
     return state.select("dir_id", *[F.when(F.col("up").isNull(), F.col(c)).alias(c) for c in names])
 
 
+def sizes(tree: DataFrame) -> DataFrame:
+    """dir_id and size: how many directories each subtree has."""
+    return rolled(tree, tree.select("dir_id", F.lit(1).cast("bigint").alias("size")), sums=("size",))
+
+
 def intervals(placed: DataFrame) -> DataFrame:
-    """placed (of paths) with low and high: directories by pre-order, siblings by name."""
-    # A separator below every other character puts a directory right before what is in it.
+    """placed (of paths) with low and high: directories by pre-order, siblings by name, in that order. `size` (of sizes) is used up if placed has it."""
+    # A separator below every other character puts a directory right before what is in it; null paths come first.
     key = F.translate("path", "/", "\x01")
-    ranged = stored(placed.where("path IS NOT NULL").repartitionByRange(key).withColumn("part", F.spark_partition_id()))
-    first = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(key, "dir_id"))
-    numbered = ranged.withColumn("place", place).join(F.broadcast(first), "part")  # a row a partition
-    sizes = rolled(placed, placed.select("dir_id", F.lit(1).cast("bigint").alias("size")), sums=("size",))
-    low = (F.col("first") + F.col("place") - 1).alias("low")
-    ends = numbered.select(*placed.columns, low).join(sizes, "dir_id").withColumn("high", F.col("low") + F.col("size")).drop("size")
-    return ends.unionByName(placed.where("path IS NULL"), allowMissingColumns=True)
+    sized = placed if "size" in placed.columns else placed.join(sizes(placed), "dir_id", "left")
+    ranged = stored(sized.repartitionByRange(key).sortWithinPartitions(key, "dir_id").withColumn("at", F.monotonically_increasing_id()))
+    # The number has the partition's above the row's place in it.
+    ranged = ranged.select("*", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("path").isNull()).alias("lost"))  # a row a partition
+    before, all_ = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = counts.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.sum("lost").over(all_)).alias("first"))
+    low = F.when(F.col("path").isNotNull(), F.col("first") + F.col("place"))
+    numbered = ranged.join(F.broadcast(first), "part").withColumn("low", low).withColumn("high", F.col("low") + F.col("size"))
+    return numbered.select(*[c for c in placed.columns if c != "size"], "low", "high")
 
 
 def ids_of(placed: DataFrame, wanted: Sequence[str]) -> dict[str, int]:
@@ -131,6 +160,6 @@ def above(table: DataFrame, dir_id: int) -> DataFrame:
     return table.where((F.col("low") <= at.low) & (F.col("high") > at.low)).orderBy("depth")
 
 
-def write(table: DataFrame, path: str) -> None:
-    """Store a table with intervals so that a subtree is a few row groups."""
-    table.repartitionByRange("low").sortWithinPartitions("low").write.mode("overwrite").parquet(path)
+def write(table: DataFrame, path: str, ordered: bool = False) -> None:
+    """Store a table with intervals so that a subtree is a few row groups. ordered: the rows come from intervals and stay as they are dealt."""
+    (table if ordered else table.repartitionByRange("low").sortWithinPartitions("low")).write.mode("overwrite").parquet(path)

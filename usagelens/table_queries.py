@@ -137,7 +137,8 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tree")
-    idtree.write(idtree.intervals(idtree.paths(_tree(spark, sf_dir))), path)
+    tree = _tree(spark, sf_dir)
+    idtree.write(idtree.intervals(idtree.paths(tree, idtree.sizes(tree))), path, ordered=True)
     return spark.read.parquet(path)
 
 
